@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import scalars as S
 from ledgerline.queries import fixtures as fx
 from ledgerline.queries.registry import query
-from ledgerline.session import scratch_path
+from ledgerline.session import materialize, scratch_path
 from ledgerline.sources import archives, files, reports
 
 END = "(date + INTERVAL 3 MONTH - INTERVAL 1 DAY)"
@@ -126,7 +126,8 @@ def split_part_detect(spark, sf):
     'SELECT archive, tab AS "table", code, count(*) AS n, sum(num) AS total FROM tabled GROUP BY 1, 2, 3',
 )
 def split_part_combine(spark, sf):
-    combined = reports.combine_parts(_cells(spark, sf), reports.split_groups(_lines(spark, sf)))
+    heads = materialize(reports.headers(_lines(spark, sf)), "headers")
+    combined = reports.combine_parts(_cells(spark, sf), reports.table_columns(heads))
     return combined.groupBy("archive", "table", "code").agg(F.count("*").alias("n"), F.sum(S.to_number("value")).alias("total"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
 from ledgerline.functions.codes import BASE_TABLE_NAMES
+from ledgerline.session import materialize
 
 KEY = "IDRSSD"
 MEMBER = ["archive", "member"]
@@ -49,13 +50,13 @@ def code_dictionary(lines: DataFrame) -> DataFrame:
     return named.filter(usable).groupBy("code").agg(F.min_by("description", "_seen").alias("description"))
 
 
-def rows(lines: DataFrame) -> DataFrame:
+def rows(lines: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """Cleaned data rows of every member: id, codes and values as arrays.
 
     Rows without a key or without any value are dropped, and of rows with the same key the
     first stays. Members without a key column yield nothing.
     """
-    heads = headers(lines).select(*MEMBER, "codes")
+    heads = (headers(lines) if heads is None else heads).select(*MEMBER, "codes")
     data = lines.filter((F.col("line_no") >= 2) & (F.length("line") > 0)).join(heads, MEMBER)
     at = F.array_position("codes", KEY)
     parsed = data.filter(at > 0).select(
@@ -103,41 +104,54 @@ def file_metrics(parsed: DataFrame) -> DataFrame:
 
 
 def split_groups(members: DataFrame) -> DataFrame:
-    """Table every member belongs to: complete split groups share one, other parts stand alone."""
-    part = members.select(*MEMBER, "member_no").distinct().withColumn("_p", S.split_part("member"))
+    """Table every member belongs to: complete split groups share one, other parts stand alone.
+
+    ``members`` has a row per member, as :func:`headers` returns.
+    """
+    part = members.select(*MEMBER, "member_no", S.split_part("member").alias("_p"))
     groups = part.filter(F.col("_p").isNotNull()).select(*MEMBER, "member_no", "_p.*")
-    complete = groups.groupBy("archive", "base", "total").agg(
-        (F.count_distinct(F.when(F.col("part").between(1, F.col("total")), F.col("part"))) == F.col("total")).alias("complete"),
-    )
     # Of two members that claim the same part, the later one counts.
-    last = groups.groupBy("archive", "base", "total", "part").agg(F.max_by("member", "member_no").alias("member"))
-    named = (
-        groups.join(last, ["archive", "base", "total", "part", "member"])
-        .join(complete, ["archive", "base", "total"])
-        .withColumn(
-            "table",
-            F.when(F.col("complete"), F.concat("base", F.lit("_Combined_"), "total", F.lit("parts"))).otherwise(
-                F.concat("base", F.lit("_Part_"), "part", F.lit("_of_"), "total")
-            ),
-        )
+    last = groups.groupBy("archive", "base", "total", "part").agg(
+        F.max_by(F.struct("member", "member_no"), "member_no").alias("m")
     )
-    whole = part.filter(F.col("_p").isNull()).select(
-        *MEMBER, "member_no", F.regexp_replace("member", r"(?i)\.txt$", "").alias("table"), F.lit(1).alias("part"), F.lit(False).alias("complete")
+    per_group = last.groupBy("archive", "base", "total").agg(
+        F.collect_list(F.struct("part", "m")).alias("parts"),
+        (F.count_if(F.col("part").between(1, F.col("total"))) == F.col("total")).alias("complete"),
     )
-    return named.withColumn("late", F.lit(True)).unionByName(whole.withColumn("late", F.lit(False)), allowMissingColumns=True).select(
-        *MEMBER, "member_no", "table", "part", "complete", "late"
+    named = per_group.select("archive", "base", "total", "complete", F.inline("parts")).select(
+        "archive", "m.member", "m.member_no",
+        F.when(F.col("complete"), F.concat("base", F.lit("_Combined_"), "total", F.lit("parts")))
+        .otherwise(F.concat("base", F.lit("_Part_"), "part", F.lit("_of_"), "total"))
+        .alias("table"),
+        "part", "complete", F.lit(True).alias("late"),
     )
+    whole = part.filter(F.col("_p").isNull()).select(
+        *MEMBER, "member_no", F.regexp_replace("member", r"(?i)\.txt$", "").alias("table"),
+        F.lit(1).alias("part"), F.lit(False).alias("complete"), F.lit(False).alias("late"),
+    )
+    return named.unionByName(whole)
+
 
+def table_columns(members: DataFrame) -> DataFrame:
+    """(archive, table, code) with the member that supplies it.
 
-def combine_parts(cells_: DataFrame, groups: DataFrame) -> DataFrame:
-    """Cells by table; a column that several parts have is taken from the first of them."""
-    tagged = cells_.join(groups.select(*MEMBER, "table", "part", "complete", "late"), MEMBER)
-    owner = tagged.groupBy("archive", "table", "code").agg(F.min("part").alias("part"))
-    return tagged.join(owner, ["archive", "table", "code", "part"]).select(
-        "archive", "table", "complete", "late", "member_no", "id", "code", "value"
+    A column that several parts of a combined table have is taken from the first of them. The
+    result is as small as the headers; no data row is needed to know it.
+    """
+    codes = members.select(*MEMBER, F.explode("codes").alias("code")).filter((F.col("code") != KEY) & (F.length("code") > 0))
+    tagged = codes.join(split_groups(members), MEMBER)
+    owner = F.min(F.struct("part", "member_no", "member", "complete", "late")).alias("o")
+    return tagged.groupBy("archive", "table", "code").agg(owner).select(
+        "archive", "table", "code", "o.member", "o.member_no", "o.complete", "o.late"
     )
 
 
+def combine_parts(cells_: DataFrame, columns: DataFrame) -> DataFrame:
+    """Cells by table, from the member that supplies each column."""
+    owned = columns.select(*MEMBER, "code", "table")
+    return cells_.join(owned, [*MEMBER, "code"]).select("archive", "table", "id", "code", "value")
+
+
 def _preference(table: Column) -> Column:
     rank = F.lit(len(BASE_TABLE_NAMES) + 1)
     for i in reversed(range(len(BASE_TABLE_NAMES))):
@@ -147,44 +161,53 @@ def _preference(table: Column) -> Column:
     return rank
 
 
-def merged_names(combined: DataFrame) -> DataFrame:
-    """Column name of every (archive, table, code) after the merge.
+def merged_names(columns: DataFrame, row_counts: DataFrame | None = None) -> DataFrame:
+    """``column``, the name of every (archive, table, code) after the merge.
 
     The base table (a combined one, else a preferred name, else the one with most cells) comes
     first, then the others in archive order with split members last; a code an earlier table
-    already has gets the table name as suffix.
+    already has gets the table name as suffix. ``row_counts`` (archive, member, rows) is only
+    needed where no table has a preferred name.
     """
-    codes = combined.groupBy("archive", "table", "code").agg(
-        F.max("complete").alias("complete"), F.max("late").alias("late"), F.min("member_no").alias("member_no"), F.count("*").alias("n")
-    )
+    if row_counts is not None:
+        sized = columns.join(row_counts.select(*MEMBER, F.col("rows").alias("_rows")), MEMBER, "left")
+    else:
+        sized = columns.withColumn("_rows", F.lit(0))
     per_table = Window.partitionBy("archive", "table")
     score = F.when(F.col("complete"), F.lit(0)).otherwise(_preference(F.col("table")))
-    sized = codes.withColumns({"_cells": F.sum("n").over(per_table), "_no": F.min("member_no").over(per_table), "_score": score})
+    sized = sized.withColumns(
+        {"_no": F.min("member_no").over(per_table), "_cells": F.sum(F.coalesce("_rows", F.lit(0))).over(per_table), "_score": score}
+    )
     by_size = F.when(F.col("_score") > len(BASE_TABLE_NAMES), -F.col("_cells")).otherwise(F.lit(0))
     place = F.struct("_score", by_size.alias("_size"), "late", "_no", "table")
-    base = sized.groupBy("archive").agg(F.min(place)["table"].alias("_base"))
+    based = sized.withColumn("_base", F.min(place).over(Window.partitionBy("archive"))["table"])
     order = Window.partitionBy("archive", "code").orderBy((F.col("table") != F.col("_base")).cast("int"), "late", "_no", "table")
-    ranked = sized.join(base, "archive").withColumn("_rank", F.row_number().over(order))
-    return ranked.select(
-        "archive", "table", "code",
+    return based.withColumn("_rank", F.row_number().over(order)).select(
+        *MEMBER, "table", "code",
         F.when(F.col("_rank") == 1, F.col("code")).otherwise(F.concat("code", F.lit("_"), "table")).alias("column"),
     )
 
 
-def merge_tables(combined: DataFrame) -> DataFrame:
+def merge_tables(cells_: DataFrame, names: DataFrame) -> DataFrame:
     """Cells (archive, id, column, value) of the full outer join of an archive's tables."""
-    return combined.join(merged_names(combined), ["archive", "table", "code"]).select("archive", "id", "column", "value")
+    return cells_.join(names.select(*MEMBER, "code", "column"), [*MEMBER, "code"]).select("archive", "id", "column", "value")
 
 
 def widen(merged: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per (archive, id) with the wanted columns: a single shuffle in place of N outer joins."""
-    picked = merged.groupBy("archive", "id").agg(
+    return merged.groupBy("archive", "id").agg(
         *[F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in columns]
     )
-    return picked
 
 
 def read_reports(lines: DataFrame) -> DataFrame:
-    """Merged cells of all archives from their lines."""
-    long = melt(rows(lines))
-    return merge_tables(combine_parts(long, split_groups(lines)))
+    """Merged cells of all archives from their lines.
+
+    Headers and cells are written once each: the headers are small and used throughout, and the
+    cells must not be parsed again for every table that reads them.
+    """
+    heads = materialize(headers(lines), "report-headers")
+    parsed = rows(lines, heads)
+    long = materialize(melt(parsed), "report-cells")
+    counts = long.groupBy(*MEMBER).agg(F.count_distinct("id").alias("rows"))
+    return merge_tables(long, merged_names(table_columns(heads), counts))
