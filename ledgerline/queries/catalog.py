@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.queries import sources  # noqa: F401
+from ledgerline.queries import cleaning, sources  # noqa: F401
 from ledgerline.queries.registry import ORACLES, QUERIES, Query
 
 
