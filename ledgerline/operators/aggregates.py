@@ -125,6 +125,12 @@ def complete_entities(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def missingness_report(df: DataFrame, column: str, min_observations: int) -> DataFrame:
+    """Completeness of the panel and the entities a minimum of observations would remove."""
+    few = df.groupBy("id").agg(F.count(column).alias("known")).agg(F.count_if(F.col("known") < min_observations))
+    return complete_entities(df, column).withColumn("removed_entities", few.scalar())
+
+
 def pivot_mean(df: DataFrame, rows: Sequence[str], column: str, value: str, values: Sequence[str]) -> DataFrame:
     return df.groupBy(*rows).pivot(column, list(values)).agg(F.avg(value))
 
