@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.queries import cleaning, joining, profiling, sources, windowing  # noqa: F401
+from ledgerline.queries import cleaning, joining, modelling, profiling, sources, windowing  # noqa: F401
 from ledgerline.queries.registry import ORACLES, QUERIES, Query
 
 
