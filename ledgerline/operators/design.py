@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerline.config import PanelConfig
 from ledgerline.functions import scalars as S
 from ledgerline.operators.sample import smallest_keys
-from ledgerline.operators.windows import ar_lags, feature_lags, lead_target, scalar_struct
+from ledgerline.operators.windows import ar_lags, feature_lags, lead_target
 
 TRAIN, TEST = "train", "test"
 # Doubles carry about 16 digits; a spread below this share of the mean is rounding noise.
@@ -50,19 +50,18 @@ def split_by_entity(df: DataFrame, test_split: float, seed: int = 42) -> DataFra
 
 
 def standard_scale(df: DataFrame, columns: Sequence[str], prefix: str = "num__") -> DataFrame:
-    """(x - mean) / population deviation, fitted on the train rows; constants only centred."""
+    """(x - mean) / population deviation, fitted on the train rows; constants only centred.
+
+    All statistics come from one aggregate over the train rows, used as a scalar subquery.
+    """
+    # Wide matrices have hundreds of columns; SQL text keeps building their plan cheap.
+    noise = "count(`{c}`) * {e} * var_pop(`{c}`) + pow(count(`{c}`) * avg(`{c}`) * {e}, 2)"
+    spread = f"if(var_pop(`{{c}}`) <= {noise}, 1D, stddev_pop(`{{c}}`))"
+    pairs = ", ".join(f"'m{i}', avg(`{c}`), 's{i}', {spread.format(c=c, e=f'{EPSILON}D')}" for i, c in enumerate(columns))
     train = df.filter(F.col("split") == TRAIN)
-    stats = {}
-    for i, c in enumerate(columns):
-        mean, var = F.avg(c), F.var_pop(c)
-        noise = F.count(c) * EPSILON * var + F.pow(F.count(c) * mean * EPSILON, 2)
-        stats[f"m{i}"] = mean
-        stats[f"s{i}"] = F.when(var <= noise, F.lit(1.0)).otherwise(F.sqrt(var))
-    rest = [c for c in df.columns if c not in columns]
-    fitted = df.withColumn("_fit", scalar_struct(train, **stats))
-    return fitted.select(
-        *rest, *[((F.col(c) - F.col(f"_fit.m{i}")) / F.col(f"_fit.s{i}")).alias(f"{prefix}{c}") for i, c in enumerate(columns)]
-    )
+    fitted = df.withColumn("_fit", train.agg(F.expr(f"named_struct({pairs})").alias("_fit")).scalar())
+    rest = [f"`{c}`" for c in df.columns if c not in columns]
+    return fitted.selectExpr(*rest, *[f"(`{c}` - _fit.m{i}) / _fit.s{i} as `{prefix}{c}`" for i, c in enumerate(columns)])
 
 
 def train_levels(df: DataFrame, column: str, max_levels: int = 1000) -> list[str]:

@@ -75,10 +75,9 @@ def eliminate_features(moments: Moments, keep: int | None = None) -> list[str]:
 
 
 def linear_prediction(features: Sequence[str], beta: Sequence[float], intercept: float | Column) -> Column:
-    out = intercept if isinstance(intercept, Column) else F.lit(float(intercept))
-    for name, b in zip(features, beta):
-        out = out + F.col(name) * F.lit(float(b))
-    return out
+    start = intercept if isinstance(intercept, Column) else F.lit(float(intercept))
+    terms = " + ".join(f"`{name}` * {float(b)!r}D" for name, b in zip(features, beta))
+    return start + F.expr(terms)
 
 
 def within_transform(df: DataFrame, columns: Sequence[str], id_col: str = "id") -> DataFrame:
@@ -92,7 +91,5 @@ def fixed_effects(df: DataFrame, features: Sequence[str], label: str = "label")
     demeaned = within_transform(df.select("id", label, *features), [label, *features])
     beta, _ = solve(cross_products(demeaned, features, label))
     means = df.groupBy("id").agg(F.avg(label).alias("_y"), *[F.avg(f).alias(f"_x{i}") for i, f in enumerate(features)])
-    effect = F.col("_y")
-    for i, b in enumerate(beta):
-        effect = effect - F.col(f"_x{i}") * F.lit(float(b))
+    effect = linear_prediction([f"_x{i}" for i in range(len(beta))], [-b for b in beta], F.col("_y"))
     return beta, means.select("id", effect.alias("effect"))

@@ -75,8 +75,10 @@ def ratio_columns(available: Sequence[str]) -> dict[str, Column]:
     return out
 
 
-def ratio_suite(df: DataFrame) -> DataFrame:
-    return df.withColumns(ratio_columns(df.columns))
+def ratio_suite(df: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
+    """Append all ratios the columns allow, or just the named ones."""
+    made = ratio_columns(df.columns)
+    return df.withColumns({n: c for n, c in made.items() if only is None or n in only})
 
 
 def entity_panel(reports: DataFrame, order: list[Column], events: DataFrame | None = None, event_order: list[Column] | None = None) -> DataFrame:
@@ -126,14 +128,15 @@ def stage_stats(stages: dict[str, DataFrame]) -> DataFrame:
 def prepare_panel(panel: DataFrame, macro: DataFrame, index: DataFrame | None, cfg: PanelConfig) -> PreparedPanel:
     """Gap fill, ratios, changes, macro join, sample rules, break correction and winsorising.
 
-    ``panel`` has one row per (id, date). All entity windows share one shuffle on ``id``. The wide
-    result of the feature step is written once, and the rules after it, which need statistics of
-    the whole sample, read only their columns from there.
+    ``panel`` has one row per (id, date). All entity windows share one shuffle on ``id``. The steps
+    whose successors need statistics of the whole sample are written once; the passes that take
+    the statistics then read only their own columns.
     """
     on_dates = panel.filter(F.col("id").isNotNull() & F.col("date").isNotNull())
     on_dates = on_dates.join(checked_broadcast(macro.select("date").distinct()), "date", "left_semi")
     filled = windows.gap_fill_single(on_dates, "total_assets")
-    featured = windows.panel_changes(ratio_suite(filled), cfg.entity_variables)
+    ratios = ratio_suite(filled, {*cfg.features, *cfg.targets, "log_total_assets", "deposit_ratio"})
+    featured = windows.panel_changes(ratios, cfg.entity_variables)
     joined = macro_panel_join(featured, macro, index)
 
     features = cfg.base_features
@@ -149,11 +152,13 @@ def prepare_panel(panel: DataFrame, macro: DataFrame, index: DataFrame | None, c
 
     enough = sample.min_observations(base, counted, cfg.min_obs_per_entity) if cfg.min_obs_per_entity > 1 else base
     without_outliers = sample.remove_outliers(enough, cfg.targets, cfg.outlier_threshold)
-    restricted = sample.restrict_sample(without_outliers, cfg)
+    # Break and winsorising limits are statistics of the restricted sample, so it is kept as well.
+    restricted = materialize(sample.restrict_sample(without_outliers, cfg), "panel-sample")
     final = restricted
     if cfg.correct_breaks and "log_total_assets" in final.columns:
         final = windows.back_adjust(windows.break_flags(final, "log_total_assets", cfg.break_std_threshold), "log_total_assets")
     if cfg.winsorize:
+        final = materialize(final, "panel-adjusted")
         final = sample.winsorize(final, cfg.winsorize, cfg.winsorize_lower, cfg.winsorize_upper)
     effects = {}
     if cfg.include_quarter_effect:

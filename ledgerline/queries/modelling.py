@@ -87,8 +87,8 @@ def winsorize(spark, sf):
 
 _RESTRICT = """r1 AS (SELECT * FROM ratios WHERE date BETWEEN DATE '1996-01-01' AND DATE '2000-10-01'),
 r2 AS (SELECT * FROM (SELECT *, coalesce(abs(deposit_ratio - lag(deposit_ratio) OVER (PARTITION BY id ORDER BY date)), 0) AS step FROM r1) WHERE step <= 0.2),
-r3 AS (SELECT * FROM r2 WHERE id IN (SELECT id FROM r2 GROUP BY id HAVING avg(total_assets) >= 900000)),
-r4 AS (SELECT * FROM r3 WHERE id IN (SELECT id FROM r3 GROUP BY id HAVING min(deposit_ratio) >= 0.5)),
+r3 AS (SELECT * FROM r2 WHERE id IN (SELECT id FROM r2 GROUP BY id HAVING avg(total_assets) >= 1100000)),
+r4 AS (SELECT * FROM r3 WHERE id IN (SELECT id FROM r3 GROUP BY id HAVING min(deposit_ratio) >= 0.33)),
 r5 AS (SELECT * FROM r4 WHERE id IN (SELECT id FROM r4 GROUP BY id ORDER BY avg(log_total_assets) DESC, id LIMIT 40))"""
 
 
@@ -98,7 +98,7 @@ r5 AS (SELECT * FROM r4 WHERE id IN (SELECT id FROM r4 GROUP BY id ORDER BY avg(
 )
 def restrict_sample(spark, sf):
     cfg = PanelConfig(
-        data_begin="1996-01-01", data_end="2000-10-01", max_ratio_change=0.2, min_mean_size=900000.0, min_ratio=0.5,
+        data_begin="1996-01-01", data_end="2000-10-01", max_ratio_change=0.2, min_mean_size=1100000.0, min_ratio=0.33,
         largest_entities=40, sample_entities=15,
     )
     return sample.restrict_sample(_ratios(spark, sf), cfg)
