@@ -26,13 +26,13 @@ def date_mean(df: DataFrame, columns: Iterable[str], date: str = "date") -> Data
 def date_profile(df: DataFrame, column: str, date: str = "date") -> DataFrame:
     """Mean, median and quartiles of a variable per date."""
     means = df.groupBy(date).agg(F.avg(column).alias("mean"))
-    return means.join(grouped_quantiles(df, [date], column, QUARTILES), date, "left")
+    return means.join(grouped_quantiles(df, [date], column, QUARTILES, few_groups=True), date, "left")
 
 
 def quantile_bands(df: DataFrame, columns: Sequence[str], date: str = "date") -> DataFrame:
     """Quartiles per date of several columns side by side, named ``{column}_q25`` and so on."""
     long = unpivot(df, [date], columns)
-    bands = grouped_quantiles(long, [date, "variable"], "value", QUARTILES)
+    bands = grouped_quantiles(long, [date, "variable"], "value", QUARTILES, few_groups=True)
     cells = [
         F.max(F.when(F.col("variable") == c, F.col(q))).alias(f"{c}_{q}") for c in columns for q in QUARTILES
     ]
@@ -54,7 +54,7 @@ def describe_by_variable(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    return basic.join(grouped_quantiles(long, ["variable"], "value", QUARTILES), "variable")
+    return basic.join(grouped_quantiles(long, ["variable"], "value", QUARTILES, few_groups=True), "variable")
 
 
 def correlation_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -87,7 +87,7 @@ def global_moments(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 
 def global_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, float]) -> DataFrame:
-    return grouped_quantiles(unpivot(df, [], columns), ["variable"], "value", probs)
+    return grouped_quantiles(unpivot(df, [], columns), ["variable"], "value", probs, few_groups=True)
 
 
 def rows_per_date(df: DataFrame, date: str = "date", name: str = "rows") -> DataFrame:

@@ -27,10 +27,13 @@ def _sub_bucket(v: Column, lo: Column, hi: Column) -> Column:
     return F.when(hi > lo, F.floor((v - lo) / F.when(hi > lo, hi - lo) * SUB_BUCKETS)).otherwise(F.lit(0).cast("bigint"))
 
 
-def _attach(df: DataFrame, by: list[str], brackets: DataFrame) -> DataFrame:
+def _attach(df: DataFrame, by: list[str], brackets: DataFrame, few_groups: bool) -> DataFrame:
     """Rows of ``df`` inside a bracket of their group, one row per bracket."""
     targets = brackets.groupBy(*by).agg(F.collect_list(F.struct("t", "r", "n", "lo", "hi")).alias("_targets"))
-    joined = df.join(targets, by) if by else df.withColumn("_targets", targets.scalar())
+    if by:
+        joined = df.join(F.broadcast(targets) if few_groups else targets, by)
+    else:
+        joined = df.withColumn("_targets", targets.scalar())
     inside = F.filter("_targets", lambda t: F.col("_v").between(t["lo"], t["hi"]))
     return joined.select(*by, "_v", F.inline(inside))
 
@@ -45,10 +48,13 @@ def _narrow(counts: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def order_statistics(df: DataFrame, by: list[str], value: str, ranks: Callable[[Column], list[Column]]) -> DataFrame:
+def order_statistics(df: DataFrame, by: list[str], value: str, ranks: Callable[[Column], list[Column]], few_groups: bool = False) -> DataFrame:
     """Values at 0-based ranks of each group: columns ``by``, ``n``, ``s0``, ``s1``, ...
 
-    ``ranks`` maps the group size to the wanted ranks. NULLs are ignored.
+    ``ranks`` maps the group size to the wanted ranks. NULLs are ignored. ``few_groups`` states that
+    the groups are calendar dates or column names: their number does not grow with the rows, so
+    the brackets (a few numbers per group) are broadcast and the rows are never shuffled. For other
+    groupings the join is left to the adaptive planner.
     """
     data = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     for c in by:
@@ -70,13 +76,13 @@ def order_statistics(df: DataFrame, by: list[str], value: str, ranks: Callable[[
     )
 
     second = _narrow(
-        _attach(data, by, first)
+        _attach(data, by, first, few_groups)
         .groupBy(*by, "t", "r", "n", _sub_bucket(F.col("_v"), F.col("lo"), F.col("hi")).alias("_b"))
         .agg(F.count("*").alias("_c"), F.min("_v").alias("lo"), F.max("_v").alias("hi")),
         by,
     )
     third = _narrow(
-        _attach(data, by, second)
+        _attach(data, by, second, few_groups)
         .groupBy(*by, "t", "r", "n", F.col("_v").alias("_b"))
         .agg(F.count("*").alias("_c"))
         .withColumns({"lo": F.col("_b"), "hi": F.col("_b")}),
@@ -87,7 +93,7 @@ def order_statistics(df: DataFrame, by: list[str], value: str, ranks: Callable[[
     )
 
 
-def grouped_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def grouped_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], few_groups: bool = False) -> DataFrame:
     """Exact quantiles with linear interpolation, one column per entry of ``probs``."""
     points = list(probs.values())
 
@@ -97,7 +103,7 @@ def grouped_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str,
             out += [F.floor((n - 1) * F.lit(p)), F.ceil((n - 1) * F.lit(p))]
         return out
 
-    stats = order_statistics(df, by, value, ranks)
+    stats = order_statistics(df, by, value, ranks, few_groups)
     out = []
     for i, (name, p) in enumerate(probs.items()):
         lo, hi = F.col(f"s{2 * i}"), F.col(f"s{2 * i + 1}")

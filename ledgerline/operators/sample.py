@@ -90,7 +90,7 @@ def winsorize(df: DataFrame, columns: Iterable[str], lower: float, upper: float)
     columns = [c for c in columns if c in numeric]
     if not columns:
         return df
-    limits = grouped_quantiles(unpivot(df, [], columns), ["variable"], "value", {"lo": lower, "hi": upper})
+    limits = grouped_quantiles(unpivot(df, [], columns), ["variable"], "value", {"lo": lower, "hi": upper}, few_groups=True)
     b = scalar_struct(
         limits,
         **{f"{c}_{e}": F.max(F.when(F.col("variable") == c, F.col(e))) for c in columns for e in ("lo", "hi")},
