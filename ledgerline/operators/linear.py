@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_GRAM_FEATURES = 4096
+MAX_GRAM_FEATURES = 1000  # half a million cells on the driver at most
 
 
 @dataclass(frozen=True)
@@ -27,29 +27,54 @@ class Moments:
         return cross[:-1, :-1], cross[:-1, -1], means[:-1], means[-1]
 
 
-def cross_products(df: DataFrame, features: Sequence[str], label: str = "label") -> Moments:
-    """Sum of outer products: every task reduces its rows to one small matrix, then these add up."""
+def block_cross_products(df: DataFrame, features: Sequence[str], block: str, label: str = "label") -> dict[int, Moments]:
+    """Sums of outer products per block of rows (few, such as folds), all in one pass.
+
+    Every task reduces its rows to one small matrix per block, then the matrices add up.
+    """
     if len(features) > MAX_GRAM_FEATURES:
         raise ValueError(f"more than {MAX_GRAM_FEATURES} features")
     columns = [*features, label]
     size = len(columns) + 1
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((size, size))
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            x = np.column_stack([np.ones(len(batch)), batch.to_numpy(dtype=float)])
-            total += x.T @ x
+            for key, rows in batch.groupby("_block", sort=False):
+                x = np.column_stack([np.ones(len(rows)), rows[columns].to_numpy(dtype=float)])
+                totals[key] = totals.get(key, 0) + x.T @ x
         i, j = np.triu_indices(size)
-        yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
+        for key, total in totals.items():
+            yield pd.DataFrame({"b": key, "i": i, "j": j, "v": total[i, j]})
 
     cells = (
-        df.select(*columns).na.drop().mapInPandas(partial, "i int, j int, v double")
-        .groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+        df.select(F.col(block).cast("int").alias("_block"), *columns).na.drop()
+        .mapInPandas(partial, "b int, i int, j int, v double")
+        .groupBy("b", "i", "j").agg(F.sum("v").alias("v")).collect()
     )
-    matrix = np.zeros((size, size))
-    for i, j, v in cells:
+    out: dict[int, Moments] = {}
+    for b, i, j, v in cells:
+        matrix = out.setdefault(b, Moments(tuple(features), np.zeros((size, size)))).matrix
         matrix[i, j] = matrix[j, i] = v
-    return Moments(tuple(features), matrix)
+    return out
+
+
+def cross_products(df: DataFrame, features: Sequence[str], label: str = "label") -> Moments:
+    found = block_cross_products(df.withColumn("_all", F.lit(0)), features, "_all", label)
+    return found.get(0) or Moments(tuple(features), np.zeros((len(features) + 2,) * 2))
+
+
+def add_moments(parts: Sequence[Moments]) -> Moments:
+    return Moments(parts[0].features, sum(p.matrix for p in parts))
+
+
+def moment_error(moments: Moments, beta: np.ndarray, intercept: float, keep: Sequence[int] | None = None) -> float:
+    """Mean squared error of a linear prediction over the rows behind ``moments``."""
+    full = np.zeros(moments.matrix.shape[0])
+    full[0], full[-1] = intercept, -1.0
+    idx = np.arange(len(moments.features)) if keep is None else np.asarray(keep)
+    full[1 + idx] = beta
+    return float(full @ moments.matrix @ full / moments.matrix[0, 0])
 
 
 def solve(moments: Moments, keep: Sequence[int] | None = None, penalty: float = 0.0) -> tuple[np.ndarray, float]:

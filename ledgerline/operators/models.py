@@ -5,17 +5,29 @@ from __future__ import annotations
 import json
 import random
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from itertools import product
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators.design import TEST, TRAIN, expanding_folds, fold_rows
-from ledgerline.operators.linear import cross_products, eliminate_features, fixed_effects, linear_prediction
+from ledgerline.operators.linear import (
+    MAX_GRAM_FEATURES,
+    add_moments,
+    block_cross_products,
+    cross_products,
+    eliminate_features,
+    fixed_effects,
+    linear_prediction,
+    moment_error,
+    solve,
+)
 
 MEAN, OLS, EFFECTS = "DummyRegressor", "LinearRegression", "FixedEffectsLR"
 LASSO, RIDGE, ELASTIC = "Lasso", "Ridge", "ElasticNet"
@@ -164,25 +176,59 @@ def grid_points(model: str) -> list[dict[str, Any]]:
     return [dict(zip(grid, values)) for values in product(*grid.values())] if grid else []
 
 
-def param_search(model: str, train: DataFrame, features: Sequence[str], candidates: Sequence[dict[str, Any]], folds: int = 3, seed: int = 42) -> tuple[FittedModel, list[dict[str, Any]]]:
-    """Score candidates by mean squared error over expanding date folds and refit the best on all rows.
+def _moment_scores(model: str, train: DataFrame, features: Sequence[str], candidates: Sequence[dict[str, Any]], folds: int) -> list[float]:
+    """Fold errors of least-squares models from cross products per date block.
 
-    Falls back to the default parameters when there is nothing to search, too few dates, or a
-    constant label. Every fit and every score is a Spark job over the (materialised) train rows.
+    The folds are unions of date blocks, so one pass over the rows serves every fold and every
+    candidate; fitting and scoring are then small matrix work.
     """
-    stats = train.agg(F.count("*"), F.count_distinct("date"), F.min("label") < F.max("label")).first()
-    if not candidates or stats[0] < 2 * folds or stats[1] < folds + 1 or not stats[2]:
-        return fit(model, train, features, seed=seed), []
-    rows = fold_rows(train, expanding_folds(train, folds))
-    scored = []
+    bounds = expanding_folds(train, folds).agg(F.sort_array(F.collect_list("test_start"))).scalar()
+    marked = train.withColumn("_starts", bounds).withColumn("_block", F.size(F.filter("_starts", lambda d: d <= F.col("date"))))
+    blocks = block_cross_products(marked, features, "_block")
+    scores = []
     for params in candidates:
+        penalty = float(params.get("alpha", 1.0)) if base_name(model) == RIDGE else 0.0
+        errors = []
+        for k in range(1, folds + 1):
+            fit_on = add_moments([blocks[i] for i in range(k)])
+            names = eliminate_features(fit_on, params.get("n_features")) if model.endswith("_RFE") else list(features)
+            keep = [fit_on.features.index(n) for n in names]
+            errors.append(moment_error(blocks[k], *solve(fit_on, keep, penalty), keep))
+        scores.append(sum(errors) / folds)
+    return scores
+
+
+def _fitted_scores(model: str, train: DataFrame, features: Sequence[str], candidates: Sequence[dict[str, Any]], folds: int, seed: int, parallelism: int) -> list[float]:
+    """Fold errors by fitting; several candidates at a time keep the cluster busy."""
+    rows = fold_rows(train, expanding_folds(train, folds))
+    error = F.pow(F.col("label") - F.col("prediction"), 2)
+
+    def score(params: dict[str, Any]) -> float:
         total = 0.0
         for k in range(1, folds + 1):
             here = rows.filter(F.col("fold") == k)
             fitted = fit(model, here.filter(F.col("role") == TRAIN), features, params, seed)
-            error = F.pow(F.col("label") - F.col("prediction"), 2)
             total += fitted.predict(here.filter(F.col("role") == TEST)).agg(F.avg(error)).first()[0]
-        scored.append({"params": params, "mse": total / folds})
+        return total / folds
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return list(pool.map(inheritable_thread_target(train.sparkSession)(score), candidates))
+
+
+def param_search(model: str, train: DataFrame, features: Sequence[str], candidates: Sequence[dict[str, Any]], folds: int = 3, seed: int = 42, parallelism: int = 4) -> tuple[FittedModel, list[dict[str, Any]]]:
+    """Score candidates by mean squared error over expanding date folds and refit the best on all rows.
+
+    Falls back to the default parameters when there is nothing to search, too few dates, or a
+    constant label. ``train`` should be a stored table, as it is read repeatedly.
+    """
+    stats = train.agg(F.count("*"), F.count_distinct("date"), F.min("label") < F.max("label")).first()
+    if not candidates or stats[0] < 2 * folds or stats[1] < folds + 1 or not stats[2]:
+        return fit(model, train, features, seed=seed), []
+    if base_name(model) in (OLS, RIDGE) and len(features) <= MAX_GRAM_FEATURES:
+        scores = _moment_scores(model, train, features, candidates, folds)
+    else:
+        scores = _fitted_scores(model, train, features, candidates, folds, seed, parallelism)
+    scored = [{"params": p, "mse": s} for p, s in zip(candidates, scores)]
     best = min(scored, key=lambda s: s["mse"])
     return fit(model, train, features, best["params"], seed), scored
 

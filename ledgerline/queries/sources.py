@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
+from ledgerline.plans.panel import entity_panel
 from ledgerline.queries import fixtures as fx
 from ledgerline.queries.registry import query
 from ledgerline.session import materialize, scratch_path
@@ -258,3 +259,16 @@ def file_shapes(spark, sf):
 )
 def file_metrics(spark, sf):
     return reports.file_metrics(reports.rows(_lines(spark, sf)))
+
+
+@query(
+    "entity_panel", "id date:d bank_name total_assets:4 total_loans_and_leases:4 total_deposits:4 interest_income:4 net_income:4", "panel", "rep",
+    """SELECT id, date, 'Bank ' || id AS bank_name, CASE WHEN quarter(date) = 4 THEN total_assets ELSE coalesce(dom_assets, con_assets) END AS total_assets,
+       total_loans_and_leases, CASE WHEN quarter(date) <> 4 THEN total_deposits END AS total_deposits,
+       coalesce(ytd - lag(ytd) OVER w, ytd) AS interest_income, coalesce(net_income - lag(net_income) OVER w, net_income) AS net_income
+       FROM rep WINDOW w AS (PARTITION BY id, year(date) ORDER BY date)""",
+)
+def entity_panel_query(spark, sf):
+    codes = ["RCON9999", "RSSD9017", "RCON2170", "RCFD2170", "RCON2122", "RCON2200", "RIAD4107", "RIAD4340"]
+    wide = reports.widen(reports.read_reports(_lines(spark, sf)), codes).withColumnRenamed("id", "IDRSSD")
+    return entity_panel(wide, [F.col("archive")])

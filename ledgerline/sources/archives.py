@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LINE_SCHEMA = "archive string, member_no int, member string, line_no long, line string, problem string"
+SPREAD_LINES = 50_000
 _CHUNK = 20_000
 
 
@@ -62,9 +63,12 @@ def _member_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def scan_archives(files: DataFrame) -> DataFrame:
     """Lines of the archives in a (path, content) table, as read by the ``binaryFile`` source.
 
-    Only unpacking runs in Python, one archive at a time; parsing follows as column expressions.
+    Only unpacking runs in Python, one archive (at most 2 GB for this source) at a time. The lines
+    are then spread in chunks, so that the parsing of a large archive, which costs more than its
+    unpacking, does not stay in the task that opened it.
     """
-    return files.select("path", "content").mapInPandas(_member_lines, LINE_SCHEMA)
+    lines = files.select("path", "content").mapInPandas(_member_lines, LINE_SCHEMA)
+    return lines.repartition("archive", "member", F.floor(F.col("line_no") / SPREAD_LINES))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

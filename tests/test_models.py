@@ -109,6 +109,16 @@ def test_search_is_repeatable_and_picks_the_best(train):
     assert best.params == {"alpha": 0.01} and scored[0]["mse"] < scored[1]["mse"]
 
 
+@pytest.mark.parametrize("model", [models.RIDGE, "Ridge_RFE", "LinearRegression_RFE"])
+def test_one_pass_scores_equal_refitting(train, model):
+    candidates = [{"alpha": 3.0, "n_features": 2}, {"alpha": 60.0, "n_features": 4}]
+    if not model.endswith("_RFE"):
+        candidates = [{"alpha": c["alpha"]} for c in candidates]
+    one_pass = models._moment_scores(model, train, NAMES, candidates, 3)
+    refitted = models._fitted_scores(model, train, NAMES, candidates, 3, 42, 2)
+    assert one_pass == pytest.approx(refitted, rel=1e-5)
+
+
 def test_search_falls_back_to_defaults(train):
     constant = train.withColumn("label", F.lit(1.0))
     fitted, scored = models.param_search(models.OLS, constant, NAMES, [{}])
