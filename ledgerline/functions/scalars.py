@@ -11,6 +11,8 @@ from ledgerline.functions.codes import DISPLAY_NAMES, MISSING_TOKENS
 
 NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 SPLIT_PART_PATTERN = r"(?i)^(.*?)\s*\((\d+)\s+of\s+(\d+)\)\.txt$"
+YEAR_PATTERN = r"(19[89]\d|20[0-4]\d|2050)"
+MONTH_DAY_PATTERN = r"(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])"
 FLOOR_VALUE = 1e-9
 
 
@@ -69,7 +71,7 @@ def cell_value(c: Column | str) -> Column:
     """Value of one report cell: outer quotes removed, missing-value texts to NULL."""
     c = _col(c)
     text = F.when(
-        c.rlike(r'(?s)^".*"$'),
+        c.startswith('"') & c.endswith('"'),
         F.replace(F.regexp_replace(c, r'^"|"$', ""), F.lit('""'), F.lit('"')),
     ).otherwise(c)
     return F.when(~F.trim(text).isin(*MISSING_TOKENS), text)
@@ -86,17 +88,15 @@ def decode_text(c: Column | str) -> Column:
     return F.when(F.is_valid_utf8(c.cast("string")), F.decode(c, "UTF-8")).otherwise(F.decode(c, "ISO-8859-1"))
 
 
-def _plausible(day: Column) -> Column:
-    return F.when(F.year(day).between(1980, 2050), day)
-
-
 def filename_date(name: Column | str) -> Column:
-    """First plausible date among the 8-digit runs of a file name (year first, then month first)."""
+    """First plausible date (1980 to 2050) among the 8-digit runs of a file name, year first or month first."""
     runs = F.regexp_extract_all(_col(name), F.lit(r"(\d{8})"), 1)
+    # Runs that cannot be a date are sorted out by pattern: a failed parse costs far more.
     days = F.transform(
         runs,
         lambda run: F.coalesce(
-            _plausible(F.try_to_date(run, "yyyyMMdd")), _plausible(F.try_to_date(run, "MMddyyyy"))
+            F.when(run.rlike(f"^{YEAR_PATTERN}{MONTH_DAY_PATTERN}$"), F.try_to_date(run, "yyyyMMdd")),
+            F.when(run.rlike(f"^{MONTH_DAY_PATTERN}{YEAR_PATTERN}$"), F.try_to_date(run, "MMddyyyy")),
         ),
     )
     return F.get(F.filter(days, lambda d: d.isNotNull()), F.lit(0))

@@ -205,7 +205,7 @@ def train_test_union(spark, sf):
 
 
 @query(
-    "scalar_functions", "id date:d ratio:6 fraction:6 spread:6 log:6 root:6 rounded:1 clipped:6 name display", "panel",
+    "scalar_functions", "id date:d ratio fraction:6 spread:6 log:6 root:6 rounded:1 clipped:6 name display", "panel",
     """SELECT id, date, total_loans_and_leases / total_deposits AS ratio, interest_income / total_assets / 100 AS fraction,
        interest_income / total_assets - interest_expense / total_assets AS spread, CASE WHEN total_equity IS NULL THEN ln(1e-9) ELSE ln(total_equity) END AS log,
        sqrt(abs(net_income)) AS root, round(total_deposits / total_assets * 100, 1) AS rounded,
@@ -229,6 +229,11 @@ def scalar_functions(spark, sf):
 _RATIO_NAMES = list(plans.RATIOS) + [f"{c}_to_assets" for c in plans.TO_ASSETS] + ["net_interest_margin", *plans.TERMS, "dep_short_term_to_assets", "loans_short_term_to_assets", "log_total_assets"]
 
 
+def _digits(name: str) -> str:
+    # Deposits are whole thousands: their quotients end after few digits and could tie when rounded.
+    return name if name == "loan_to_deposit_ratio" else f"{name}:{4 if name in plans.TERMS else 6}"
+
+
 def _ratio_sql() -> str:
     parts = [f"{n} / nullif({d}, 0) AS {name}" for name, (n, d) in plans.RATIOS.items()]
     parts += [f"{c} / nullif(total_assets, 0) AS {c}_to_assets" for c in plans.TO_ASSETS]
@@ -239,7 +244,7 @@ def _ratio_sql() -> str:
     return "SELECT id, date, " + ", ".join(parts) + " FROM panel"
 
 
-@query("ratio_suite", "id date:d " + " ".join(f"{n}:{4 if n in plans.TERMS else 6}" for n in _RATIO_NAMES), "panel", _ratio_sql())
+@query("ratio_suite", "id date:d " + " ".join(_digits(n) for n in _RATIO_NAMES), "panel", _ratio_sql())
 def ratio_suite(spark, sf):
     return plans.ratio_suite(fx.panel(spark, sf))
 
