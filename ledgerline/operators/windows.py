@@ -24,9 +24,20 @@ def scalar_struct(df: DataFrame, **aggs: Column) -> Column:
     return df.agg(F.struct(*[v.alias(k) for k, v in aggs.items()]).alias("_stats")).scalar()
 
 
+def _shifted(df: DataFrame, columns: list[str], offsets: Iterable[int], window, name: str) -> DataFrame:
+    """Structs ``{name}{k}`` with all ``columns`` k rows back.
+
+    One window expression per offset instead of one per column and offset: wide panels would
+    otherwise carry hundreds of them.
+    """
+    packed = F.struct(*[F.col(c) for c in columns])
+    return df.withColumns({f"{name}{k}": F.lag(packed, k).over(window) for k in offsets})
+
+
 def diff(df: DataFrame, columns: Iterable[str], group: str, date: str = "date", suffix: str = "_diff") -> DataFrame:
-    w = Window.partitionBy(group).orderBy(date)
-    return df.withColumns({f"{c}{suffix}": F.col(c) - F.lag(c, 1).over(w) for c in columns})
+    columns = list(columns)
+    back = _shifted(df, columns, [1], Window.partitionBy(group).orderBy(date), "_back")
+    return back.withColumns({f"{c}{suffix}": F.col(c) - F.col(f"_back1.`{c}`") for c in columns}).drop("_back1")
 
 
 def pct_change(df: DataFrame, columns: Iterable[str], group: str, date: str = "date", periods: dict[str, int] | None = None) -> DataFrame:
@@ -36,12 +47,11 @@ def pct_change(df: DataFrame, columns: Iterable[str], group: str, date: str = "d
     w = Window.partitionBy(group).orderBy(date)
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = df.withColumns({f"_ff_{c}": F.last(c, ignorenulls=True).over(running) for c in columns})
+    back = _shifted(filled, [f"_ff_{c}" for c in columns], periods.values(), w, "_back")
     growth = {
-        f"{c}{suffix}": S.ratio(f"_ff_{c}", F.lag(f"_ff_{c}", n).over(w)) - 1
-        for c in columns
-        for suffix, n in periods.items()
+        f"{c}{suffix}": S.ratio(f"_ff_{c}", f"_back{n}.`_ff_{c}`") - 1 for c in columns for suffix, n in periods.items()
     }
-    return filled.withColumns(growth).drop(*[f"_ff_{c}" for c in columns])
+    return back.withColumns(growth).drop(*[f"_ff_{c}" for c in columns], *[f"_back{n}" for n in periods.values()])
 
 
 def panel_changes(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -126,11 +136,13 @@ def feature_lags(df: DataFrame, features: Iterable[str], lags: int) -> tuple[Dat
     One pass serves both splits: with a date split every train row precedes the test rows of
     its entity, with an entity split the entities are disjoint, so no train row sees a test row.
     """
-    names = {f"{f}_lag_{k}": (f, k) for f in features for k in range(1, lags + 1)}
+    features, offsets = list(features), range(1, lags + 1)
+    names = {f"{f}_lag_{k}": f"_back{k}.`{f}`" for f in features for k in offsets}
     if not names:
         return df, []
-    w = by_entity()
-    return df.withColumns({n: F.lag(f, k).over(w) for n, (f, k) in names.items()}), list(names)
+    back = _shifted(df, features, offsets, by_entity(), "_back")
+    own = [f"`{c}`" for c in df.columns]
+    return back.selectExpr(*own, *[f"{source} as `{n}`" for n, source in names.items()]), list(names)
 
 
 def lead_target(df: DataFrame, target: str, horizon: int, label: str = "label", split: str = "split") -> DataFrame:
