@@ -46,15 +46,13 @@ def unpivot(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataF
 
 def describe_by_variable(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, std (n-1), min, quartiles and max per variable."""
-    long = unpivot(df, [], columns).filter(F.col("value").isNotNull())
-    basic = long.groupBy("variable").agg(
-        F.count("*").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    return basic.join(grouped_quantiles(long, ["variable"], "value", QUARTILES, few_groups=True), "variable")
+    basic = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    # The plain statistics come from one aggregate over the wide rows; only quantiles need long rows.
+    wide = df.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in basic.items()])
+    cells = [F.struct(F.lit(c).alias("variable"), *[F.col(f"{n}_{i}").alias(n) for n in basic]) for i, c in enumerate(columns)]
+    stats = wide.select(F.inline(F.array(*cells))).filter(F.col("count") > 0)
+    quartiles = grouped_quantiles(unpivot(df, [], columns), ["variable"], "value", QUARTILES, few_groups=True)
+    return stats.join(quartiles, "variable")
 
 
 def correlation_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:

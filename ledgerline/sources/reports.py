@@ -58,20 +58,18 @@ def rows(lines: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     Rows without a key or without any value are dropped, and of rows with the same key the
     first stays. Members without a key column yield nothing.
     """
-    heads = (headers(lines) if heads is None else heads).select(*MEMBER, "codes")
-    data = lines.filter((F.col("line_no") >= 2) & (F.length("line") > 0)).join(heads, MEMBER)
-    at = F.array_position("codes", KEY)
-    parsed = data.filter(at > 0).select(
-        *MEMBER, "member_no", "line_no", "codes",
-        at.cast("int").alias("_at"),
-        F.transform(cells(F.col("line")), S.cell_value).alias("values"),
+    heads = headers(lines) if heads is None else heads
+    at = heads.select(*MEMBER, F.array_position("codes", KEY).cast("int").alias("_at")).filter(F.col("_at") > 0)
+    data = lines.filter((F.col("line_no") >= 2) & (F.length("line") > 0)).join(at, MEMBER)
+    parsed = data.select(
+        *MEMBER, "member_no", "line_no", "_at", F.transform(cells(F.col("line")), S.cell_value).alias("values")
     )
     keyed = parsed.withColumn("id", F.trim(F.get("values", F.col("_at") - 1)))
     others = F.filter("values", lambda v, i: v.isNotNull() & (i != F.col("_at") - 1))
     kept = keyed.filter((F.length("id") > 0) & (F.size(others) > 0))
-    return kept.groupBy(*MEMBER, "member_no", "id").agg(
-        F.min_by(F.struct("codes", "values"), "line_no").alias("_r")
-    ).select(*MEMBER, "member_no", "id", "_r.codes", "_r.values")
+    first = kept.groupBy(*MEMBER, "member_no", "id").agg(F.min_by("values", "line_no").alias("values"))
+    # The codes of a member join last: they are as long as a row and must not travel with every row.
+    return first.join(heads.select(*MEMBER, "codes"), MEMBER)
 
 
 def melt(parsed: DataFrame) -> DataFrame:
