@@ -75,7 +75,7 @@ DESCRIBED = ["deposit_ratio", "loan_to_asset_ratio", "log_total_assets", "roa",
 )
 def describe_by_variable(spark, sf):
     joined = macro_panel_join(fx.panel(spark, sf), fx.macro_levels(spark, sf))
-    featured = panel_changes(ratio_suite(joined), ["total_assets"])
+    featured = panel_changes(ratio_suite(joined, DESCRIBED), ["total_assets"])
     return A.describe_by_variable(featured, DESCRIBED).withColumn("display", S.display_name("variable"))
 
 
@@ -92,7 +92,7 @@ _CORR = {"deposit_ratio": "total_deposits / total_assets", "roa": "net_income /
     ).replace("1.0 AS r FROM r", "max(1.0) AS r FROM r"),
 )
 def corr_matrix(spark, sf):
-    return A.correlation_table(ratio_suite(fx.panel(spark, sf)), CORRELATED)
+    return A.correlation_table(ratio_suite(fx.panel(spark, sf), CORRELATED), CORRELATED)
 
 
 @query("distinct_entities", "n_id:i n_date:i", "thin", "SELECT count(DISTINCT id) AS n_id, count(DISTINCT date) AS n_date FROM thin")
