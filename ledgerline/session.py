@@ -25,20 +25,23 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
     )
 
 
+_LOCAL_SCRATCH: list[str] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master may fall back to
-    a private folder: on a cluster that folder would not be visible to the other machines.
+    The cluster names it in ``spark.checkpoint.dir``. Only a driver that runs its tasks itself may
+    fall back to a private folder: other machines would not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="ledgerline-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if not _LOCAL_SCRATCH:
+        _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="ledgerline-"))
+    return _LOCAL_SCRATCH[0]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

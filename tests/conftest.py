@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -15,8 +14,6 @@ from ledgerline.session import local_session  # noqa: E402
 def spark():
     session = local_session(app="ledgerline-tests")
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ledgerline-tests-"))
     yield session
 
 
