@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, decontaminate, licenses, packing, quality_model, quality_rules, simhash, toxicity
+from ledgerline.llm import chat, decontaminate, licenses, line_dedup, packing, quality_model, quality_rules, simhash, toxicity
 from ledgerline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,12 @@ def _query(fn):
     return fn
 
 
+@_query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, how many of them are copies, and their links."""
+    return line_dedup.line_report(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 #: A conversation whose texts look like control strings, read beside the table's own.
 CONTROL_CASE = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
