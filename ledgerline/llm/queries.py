@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, decontaminate, licenses, line_dedup, packing, quality_model, quality_rules, simhash, toxicity
+from ledgerline.llm import chat, decontaminate, licenses, line_dedup, packing, quality_model, quality_rules, secrets, simhash, toxicity
 from ledgerline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ratio")
 
 
+@_query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document with the forest's judgement; the value only as its hash."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "word", "nth", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").alias("chars"), "score", "is_secret")
+
+
 @_query
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
