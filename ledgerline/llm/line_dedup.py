@@ -24,6 +24,7 @@ MAX_EDITS = 2
 GROUP_ROWS = 48
 #: Letter classes of the refinement: two edits touch at most four of them, so two stay as they are.
 CLASSES = 6
+NOT_BLANK = r"[^\x20\x09-\x0D]"
 #: Line hashes broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -134,8 +135,17 @@ def verified(pairs: DataFrame) -> DataFrame:
     return pairs.where(line_distance(F.col("line_a"), F.col("line_b")) <= allowed(shorter)).select("a", "b")
 
 
+def parities(line: Column) -> Column:
+    """One bit for each of 64 classes of letters: whether the line has an odd number of them.
+
+    An edit changes the number of at most two letters, so it flips two bits at most.
+    """
+    bits = F.array(*(F.lit((1 << k) - (1 << 64 if k == 63 else 0)).cast("long") for k in range(64)))
+    return F.aggregate(_characters(line), F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.element_at(bits, F.pmod(F.xxhash64(c), F.lit(64)).cast("int") + 1)))
+
+
 def _refined(rows: DataFrame) -> DataFrame:
-    """Entries of crowded keys (key, id, is_index, line) under finer keys.
+    """Entries of crowded keys (key, id, is_index, parity, line) under finer keys.
 
     An edit changes the number of at most two letters, so two edits touch at most four of the six
     classes letters are dealt to: near copies have equal letters in at least two classes.
@@ -150,13 +160,14 @@ def _refined(rows: DataFrame) -> DataFrame:
     def keys(of: Column) -> Column:
         return F.array(*(F.xxhash64(F.col("key"), F.lit(CLASSES * a + b), of[a], of[b]) for a, b in combinations(range(CLASSES), 2)))
 
-    return rows.select(F.explode(let(let(_characters(F.col("line")), bags), keys)).alias("key"), "id", "is_index")
+    return rows.select(F.explode(let(let(_characters(F.col("line")), bags), keys)).alias("key"), "id", "is_index", "parity")
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different ids under a key of which one is an index entry."""
-    index = rows.where("is_index").select("key", F.col("id").alias("i"))
-    return rows.select("key", "id").join(index, "key").where("i <> id").select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b"))
+    """Pairs (a, b) of different ids under a key of which one is an index entry, as far as parities allow."""
+    index = rows.where("is_index").select("key", F.col("id").alias("i"), F.col("parity").alias("p"))
+    close = F.bit_count(F.col("parity").bitwiseXOR(F.col("p"))) <= 2 * MAX_EDITS
+    return rows.select("key", "id", "parity").join(index, "key").where((F.col("i") != F.col("id")) & close).select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b"))
 
 
 def near_pairs(lines: DataFrame) -> DataFrame:
@@ -169,16 +180,17 @@ def near_pairs(lines: DataFrame) -> DataFrame:
     )
     ids = live.select("id").distinct()
     few = ids.count() <= BROADCAST_ROWS
-    texts = materialize(lines.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "line_texts")
+    texts = materialize(lines.join(F.broadcast(ids) if few else ids, "id", "left_semi").withColumn("parity", parities(F.col("line"))), "line_texts")
+    loose = live.where(F.col("n") <= GROUP_ROWS).join(texts.select("id", "parity"), "id")
     crowded = live.where(F.col("n") > GROUP_ROWS).distinct().join(texts, "id")
-    pairs = _met(live.where(F.col("n") <= GROUP_ROWS)).unionByName(_met(_refined(crowded).distinct())).distinct()
+    pairs = _met(loose).unionByName(_met(_refined(crowded).distinct())).distinct()
     sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
     return verified(sides)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, at, line) of each different line of each document that is not blank."""
-    lines = F.filter(F.array_distinct(F.split(text_of(docs), "\n")), lambda x: F.trim(F.translate(x, "\t\x0b\x0c\r", "    ")) != "")
+    lines = F.filter(F.array_distinct(F.split(text_of(docs), "\n")), lambda x: x.rlike(NOT_BLANK))
     return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_hash(docs["text"]).alias("text_hash"), F.posexplode(lines).alias("at", "line"))
 
 
@@ -239,9 +251,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     found = verdicts(docs)
     drops = found.where("near or not owner").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("id").alias("_drop"))
     repeated = docs.join(drops, docs["doc_id"].cast("bigint").eqNullSafe(drops["_id"]) & (text_hash(docs["text"]) == drops["_hash"]), "left")
-    blank = lambda x: F.trim(F.translate(x, "\t\x0b\x0c\r", "    ")) == ""
     # a blank line gets its number in front, behind a line feed that no line has, so that it is not taken for a copy
-    marked = F.array_distinct(F.transform(F.split(docs["text"], "\n"), lambda x, i: F.when(blank(x), F.concat(F.lit("\n"), i.cast("string"), F.lit("\n"), x)).otherwise(x)))
+    marked = F.array_distinct(F.transform(F.split(docs["text"], "\n"), lambda x, i: F.when(~x.rlike(NOT_BLANK), F.concat(F.lit("\n"), i.cast("string"), F.lit("\n"), x)).otherwise(x)))
     hashes = F.coalesce(F.col("_drop"), F.array().cast("array<bigint>"))
     kept = F.filter(marked, lambda x: ~F.array_contains(hashes, F.xxhash64(x)))
     text = F.array_join(F.transform(kept, lambda x: F.when(x.startswith("\n"), F.substring_index(x, "\n", -1)).otherwise(x)), "\n")
