@@ -158,16 +158,29 @@ def _refined(rows: DataFrame) -> DataFrame:
         return F.array(*(bag(letters, k) for k in range(CLASSES)))
 
     def keys(of: Column) -> Column:
-        return F.array(*(F.xxhash64(F.col("key"), F.lit(CLASSES * a + b), of[a], of[b]) for a, b in combinations(range(CLASSES), 2)))
+        return F.array(
+            *(F.struct(F.xxhash64(F.col("key"), F.lit(1 << a | 1 << b), of[a], of[b]).alias("key"), F.lit(1 << a | 1 << b).alias("same"), of.alias("bags")) for a, b in combinations(range(CLASSES), 2))
+        )
 
-    return rows.select(F.explode(let(let(_characters(F.col("line")), bags), keys)).alias("key"), "id", "is_index", "parity")
+    entry = F.explode(let(let(_characters(F.col("line")), bags), keys)).alias("e")
+    return rows.select(entry, "id", "is_index", "parity").select("e.key", "e.same", "e.bags", "id", "is_index", "parity").distinct()
 
 
-def _met(rows: DataFrame) -> DataFrame:
+def _first_meeting() -> Column:
+    """Of the keys that two lines share, only that of their first two equal classes gives the pair."""
+    equal = sum((F.when(F.col("bags")[k] == F.col("other_bags")[k], 1 << k).otherwise(0) for k in range(CLASSES)), F.lit(0))
+    rest = equal.bitwiseAND(equal - 1)
+    return (equal - rest) + rest.bitwiseAND(-rest) == F.col("same")
+
+
+def _met(rows: DataFrame, refined: bool = False) -> DataFrame:
     """Pairs (a, b) of different ids under a key of which one is an index entry, as far as parities allow."""
-    index = rows.where("is_index").select("key", F.col("id").alias("i"), F.col("parity").alias("p"))
+    more = [F.col("bags").alias("other_bags")] if refined else []
+    index = rows.where("is_index").select("key", F.col("id").alias("i"), F.col("parity").alias("p"), *more)
     close = F.bit_count(F.col("parity").bitwiseXOR(F.col("p"))) <= 2 * MAX_EDITS
-    return rows.select("key", "id", "parity").join(index, "key").where((F.col("i") != F.col("id")) & close).select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b"))
+    once = (F.col("i") != F.col("id")) & (~F.col("is_index") | (F.col("i") < F.col("id")))  # two index entries meet twice
+    met = rows.join(index, "key").where(once & close)
+    return (met.where(_first_meeting()) if refined else met).select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b"))
 
 
 def near_pairs(lines: DataFrame) -> DataFrame:
@@ -183,7 +196,7 @@ def near_pairs(lines: DataFrame) -> DataFrame:
     texts = materialize(lines.join(F.broadcast(ids) if few else ids, "id", "left_semi").withColumn("parity", parities(F.col("line"))), "line_texts")
     loose = live.where(F.col("n") <= GROUP_ROWS).join(texts.select("id", "parity"), "id")
     crowded = live.where(F.col("n") > GROUP_ROWS).distinct().join(texts, "id")
-    pairs = _met(loose).unionByName(_met(_refined(crowded).distinct())).distinct()
+    pairs = _met(loose).unionByName(_met(_refined(crowded), refined=True)).distinct()
     sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
     return verified(sides)
 
