@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.codes import DISPLAY_NAMES, MISSING_TOKENS
 
 NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# Fixed value: file-name format of a member that is one of several parts.
 SPLIT_PART_PATTERN = r"(?i)^(.*?)\s*\((\d+)\s+of\s+(\d+)\)\.txt$"
 YEAR_PATTERN = r"(19[89]\d|20[0-4]\d|2050)"
 MONTH_DAY_PATTERN = r"(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])"
@@ -82,12 +83,6 @@ def normalise_name(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(_col(c)), r"\s+", "")
 
 
-def decode_text(c: Column | str) -> Column:
-    """Bytes to text: UTF-8, or Latin-1 when the bytes are not valid UTF-8."""
-    c = _col(c)
-    return F.when(F.is_valid_utf8(c.cast("string")), F.decode(c, "UTF-8")).otherwise(F.decode(c, "ISO-8859-1"))
-
-
 def filename_date(name: Column | str) -> Column:
     """First plausible date (1980 to 2050) among the 8-digit runs of a file name, year first or month first."""
     runs = F.regexp_extract_all(_col(name), F.lit(r"(\d{8})"), 1)

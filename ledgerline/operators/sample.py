@@ -40,9 +40,12 @@ def _keep(df: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
 
 def largest_entities(df: DataFrame, column: str, n: int) -> DataFrame:
-    """The ``n`` entities with the largest mean; ties go to the smaller id."""
-    means = df.groupBy("id").agg(F.avg(column).alias("_m")).filter(F.col("_m").isNotNull())
-    return _keep(df, means.orderBy(F.col("_m").desc(), "id").limit(n).select("id"), n)
+    """The ``n`` entities with the largest mean; ties go to the smaller id.
+
+    Entities without a mean come last, so they drop out only where there are more than ``n``.
+    """
+    means = df.groupBy("id").agg(F.avg(column).alias("_m"))
+    return _keep(df, means.orderBy(F.col("_m").desc_nulls_last(), "id").limit(n).select("id"), n)
 
 
 def smallest_keys(keys: DataFrame, rank_column: str, count) -> DataFrame:

@@ -11,6 +11,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -255,26 +256,56 @@ def report_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One zip archive per batch of lines, each member preceded by its two header lines."""
-    for batch in batches:
-        if batch.empty:
-            continue
-        buffer = io.BytesIO()
-        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as out:
-            for member, lines in batch.groupby("member", sort=True)["line"]:
-                out.writestr(member, "IDRSSD\tRCON2170\n\tTotal assets\n" + "\n".join(lines) + "\n")
-            out.writestr("readme.md", "not a report")
-        yield pd.DataFrame({"path": ["/landing/reports.zip"], "content": [buffer.getvalue()]})
+def _zipped(members: dict[str, bytes]) -> bytes:
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as out:
+        for name, content in members.items():
+            out.writestr(name, content)
+    return buffer.getvalue()
 
 
-def packed_archives(spark: SparkSession, sf: str) -> DataFrame:
-    """The panel's asset lines packed into zip archives by Spark tasks, as (path, content)."""
+def _packer(root: str):
+    def pack(lines: pd.DataFrame) -> pd.DataFrame:
+        """Write one zip archive of a folder and year, each member preceded by its two header lines."""
+        head = "IDRSSD\tRCON2170\n\tTotal assets\n"
+        members = {m: (head + "\n".join(part) + "\n").encode() for m, part in lines.groupby("member", sort=True)["line"]}
+        system, folder = fs.FileSystem.from_uri(root)
+        path = f"{folder}/{lines['path'].iloc[0]}"
+        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(path) as out:
+            out.write(_zipped({**members, "readme.md": b"not a report"}))
+        return pd.DataFrame({"path": [path]})
+
+    return pack
+
+
+def land_archives(spark: SparkSession, sf: str, root: str) -> None:
+    """Write the panel's asset lines as zip files below ``root``: a folder, an archive per year, a member per quarter.
+
+    Spark tasks write the files; a repeated task writes the same file again.
+    """
+    folder = "CASE WHEN quarter(date) = 4 THEN 'old' ELSE 'new' END"
     lines = panel(spark, sf).select(
-        F.expr(f"concat('Schedule RC ', date_format({_END}, 'MMddyyyy'), '.txt')").alias("member"),
+        F.expr(f"concat({folder}, '/Reports ', year(date), '.zip')").alias("path"),
+        F.expr(f"concat('RC/Schedule RC ', date_format({_END}, 'MMddyyyy'), '.txt')").alias("member"),
         F.concat_ws("\t", "id", F.col("total_assets").cast("string")).alias("line"),
     )
-    return lines.mapInPandas(_pack, "path string, content binary")
+    lines.groupBy("path").applyInPandas(_packer(root if "://" in root or root.startswith("file:") else f"file://{root}"), "path string").write.format("noop").mode("overwrite").save()
+
+
+def _pack_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """An archive per batch: names with an even key in a Latin-1 member, the others in a UTF-8 one."""
+    for number, batch in enumerate(batches):
+        if not batch.empty:
+            text = [(k, "latin-1" if k % 2 == 0 else "utf-8", f"{k}\t{t}\n") for k, t in zip(batch["k"], batch["text"])]
+            members = {f"{code}.txt": "".join(t for _, c, t in text if c == code).encode(code) for code in ("latin-1", "utf-8")}
+            yield pd.DataFrame({"path": [f"names-{number}-{batch['k'].iloc[0]}.zip"], "content": [_zipped(members)]})
+
+
+def packed_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Customer names with accents packed by Spark tasks, as (path, content)."""
+    names = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.concat("c_name", F.lit(" é ü")).alias("text"))
+    return names.mapInPandas(_pack_names, "path string, content binary")
 
 
 SQL = {
@@ -288,6 +319,50 @@ SQL = {
 }
 
 
+SQL["index_q"] = """index_q AS (SELECT CAST(date_trunc('quarter', day) + INTERVAL 3 MONTH AS DATE) AS date, arg_min(close, day) AS sp500 FROM daily GROUP BY 1)"""
+
+# --- derivations of the report queries ------------------------------------------------------
+
+END = "(date + INTERVAL 3 MONTH - INTERVAL 1 DAY)"
+D8 = f"strftime({END}, '%m%d%Y')"
+ARCHIVE = f"'Reports ' || strftime({END}, '%Y%m%d') || '.zip'"
+
+
+def _cell(no: int, member: str, code: str, value: str, lost: bool = False) -> str:
+    name = member.replace("{d}", "' || d8 || '")
+    where = f" AND NOT ({LOST_PART_SQL})" if lost else ""
+    return f"SELECT archive, '{name}' AS member, {no} AS member_no, id, date, d8, '{code}' AS code, CAST({value} AS DOUBLE) AS num, FALSE AS is_text FROM rep WHERE {value} IS NOT NULL{where}"
+
+
+RC1, RC2 = "Schedule RC {d}(1 of 2).txt", "Schedule RC {d}(2 of 2).txt"
+RI, ENT = "Schedule RI {d}.txt", "Schedule ENT {d}.txt"
+SQL["rep"] = f"""rep AS (SELECT *, {ARCHIVE} AS archive, {D8} AS d8, CAST(strftime({END}, '%Y%m%d') AS DOUBLE) AS day8,
+  round(sum(interest_income) OVER (PARTITION BY id, year(date) ORDER BY date ROWS UNBOUNDED PRECEDING), 4) AS ytd FROM panel)"""
+SQL["cells"] = "cells AS (" + " UNION ALL ".join(
+    [
+        _cell(0, ENT, "RCON9999", "day8"),
+        "SELECT archive, 'Schedule ENT ' || d8 || '.txt', 0, id, date, d8, 'RSSD9017', NULL, TRUE FROM rep",
+        _cell(1, RC1, "RCON2170", "dom_assets"),
+        _cell(1, RC1, "RCFD2170", "con_assets"),
+        _cell(1, RC1, "RCON2122", "total_loans_and_leases"),
+        _cell(2, RC2, "RCON2200", "total_deposits", lost=True),
+        _cell(2, RC2, "RCON2122", "total_deposits", lost=True),
+        _cell(3, RI, "RIAD4107", "ytd"),
+        _cell(3, RI, "RCON2170", "total_assets"),
+        _cell(3, RI, "RIAD4340", "net_income"),
+    ]
+) + ")"
+# Table names after the split parts are put together.
+SQL["tabled"] = """tabled AS (SELECT *, CASE WHEN member_no IN (1, 2) THEN 'Schedule RC ' || d8 || CASE WHEN quarter(date) = 4 THEN '_Part_1_of_2' ELSE '_Combined_2parts' END
+  ELSE replace(member, '.txt', '') END AS tab FROM cells WHERE NOT (member_no = 2 AND code = 'RCON2122'))"""
+# The asset item is in two tables: the combined one comes first, an orphan part comes last.
+SQL["merged"] = """merged AS (SELECT *, CASE WHEN code = 'RCON2170' AND (CASE WHEN quarter(date) = 4 THEN member_no = 1 ELSE member_no = 3 END)
+  THEN code || '_' || tab ELSE code END AS col FROM tabled)"""
+
+
 def with_(*names: str) -> str:
-    """WITH clause of named derivations; entries that are not names are used as given."""
+    """WITH clause of named derivations; an entry that holds ``AS`` is SQL text used as given."""
+    unknown = [n for n in names if n not in SQL and " AS " not in n]
+    if unknown:
+        raise ValueError(f"unknown derivations {unknown}")
     return "WITH " + ",\n".join(SQL.get(n, n) for n in names) + "\n"

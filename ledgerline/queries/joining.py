@@ -10,8 +10,6 @@ from ledgerline.queries import fixtures as fx
 from ledgerline.queries.registry import query
 from ledgerline.sources.series import MACRO_SERIES, index_table
 
-fx.SQL["index_q"] = """index_q AS (SELECT CAST(date_trunc('quarter', day) + INTERVAL 3 MONTH AS DATE) AS date, arg_min(close, day) AS sp500 FROM daily GROUP BY 1)"""
-
 
 @query(
     "macro_panel_join", "id date:d total_assets:4 gdp:4 vix:4 sp500:4", "panel", "macro", "daily", "index_q",

@@ -11,52 +11,20 @@ from ledgerline.queries.registry import query
 from ledgerline.session import materialize, scratch_path
 from ledgerline.sources import archives, files, reports
 
-END = "(date + INTERVAL 3 MONTH - INTERVAL 1 DAY)"
-D8 = f"strftime({END}, '%m%d%Y')"
-ARCHIVE = f"'Reports ' || strftime({END}, '%Y%m%d') || '.zip'"
-
-
-def _cell(no: int, member: str, code: str, value: str, lost: bool = False) -> str:
-    name = member.replace("{d}", "' || d8 || '")
-    where = f" AND NOT ({fx.LOST_PART_SQL})" if lost else ""
-    return f"SELECT archive, '{name}' AS member, {no} AS member_no, id, date, d8, '{code}' AS code, CAST({value} AS DOUBLE) AS num, FALSE AS is_text FROM rep WHERE {value} IS NOT NULL{where}"
-
-
-RC1, RC2 = "Schedule RC {d}(1 of 2).txt", "Schedule RC {d}(2 of 2).txt"
-RI, ENT = "Schedule RI {d}.txt", "Schedule ENT {d}.txt"
-fx.SQL["rep"] = f"""rep AS (SELECT *, {ARCHIVE} AS archive, {D8} AS d8, CAST(strftime({END}, '%Y%m%d') AS DOUBLE) AS day8,
-  round(sum(interest_income) OVER (PARTITION BY id, year(date) ORDER BY date ROWS UNBOUNDED PRECEDING), 4) AS ytd FROM panel)"""
-fx.SQL["cells"] = "cells AS (" + " UNION ALL ".join(
-    [
-        _cell(0, ENT, "RCON9999", "day8"),
-        "SELECT archive, 'Schedule ENT ' || d8 || '.txt', 0, id, date, d8, 'RSSD9017', NULL, TRUE FROM rep",
-        _cell(1, RC1, "RCON2170", "dom_assets"),
-        _cell(1, RC1, "RCFD2170", "con_assets"),
-        _cell(1, RC1, "RCON2122", "total_loans_and_leases"),
-        _cell(2, RC2, "RCON2200", "total_deposits", lost=True),
-        _cell(2, RC2, "RCON2122", "total_deposits", lost=True),
-        _cell(3, RI, "RIAD4107", "ytd"),
-        _cell(3, RI, "RCON2170", "total_assets"),
-        _cell(3, RI, "RIAD4340", "net_income"),
-    ]
-) + ")"
-# Table names after the split parts are put together.
-fx.SQL["tabled"] = """tabled AS (SELECT *, CASE WHEN member_no IN (1, 2) THEN 'Schedule RC ' || d8 || CASE WHEN quarter(date) = 4 THEN '_Part_1_of_2' ELSE '_Combined_2parts' END
-  ELSE replace(member, '.txt', '') END AS tab FROM cells WHERE NOT (member_no = 2 AND code = 'RCON2122'))"""
-# The asset item is in two tables: the combined one comes first, an orphan part comes last.
-fx.SQL["merged"] = """merged AS (SELECT *, CASE WHEN code = 'RCON2170' AND (CASE WHEN quarter(date) = 4 THEN member_no = 1 ELSE member_no = 3 END)
-  THEN code || '_' || tab ELSE code END AS col FROM tabled)"""
-
 
 @query(
-    "archive_scan", "member lines:i total:4", "panel",
-    f"SELECT 'Schedule RC ' || {D8} || '.txt' AS member, count(*) AS lines, sum(total_assets) AS total FROM panel GROUP BY 1",
+    "archive_scan", "archive member lines:i total:4", "panel",
+    f"""SELECT CASE WHEN quarter(date) = 4 THEN 'old' ELSE 'new' END || '/Reports ' || year(date) || '.zip' AS archive, 'RC/Schedule RC ' || {fx.D8} || '.txt' AS member,
+       count(*) AS lines, sum(total_assets) AS total FROM panel GROUP BY 1, 2""",
 )
 def archive_scan(spark, sf):
-    scanned = archives.scan_archives(fx.packed_archives(spark, sf))
-    data = archives.member_lines(scanned).filter("line_no >= 2")
+    root = scratch_path(spark, "landing")
+    fx.land_archives(spark, sf, root)
+    data = archives.member_lines(archives.read_archives(spark, root)).filter("line_no >= 2")
     value = S.to_number(F.get(reports.cells(F.col("line")), F.lit(1)))
-    return data.groupBy("member").agg(F.count("*").alias("lines"), F.sum(value).alias("total"))
+    # Two folders hold archives of the same name.
+    name = F.concat_ws("/", F.slice(F.split("archive", "/"), -2, 2)).alias("archive")
+    return data.groupBy(name, "member").agg(F.count("*").alias("lines"), F.sum(value).alias("total"))
 
 
 def _lines(spark, sf):
@@ -77,9 +45,9 @@ def tsv_parse(spark, sf):
 
 @query("encoding_fallback", "k:i text", "SELECT c_custkey AS k, c_name || ' é ü' AS text FROM customer")
 def encoding_fallback(spark, sf):
-    text = F.concat("c_name", F.lit(" é ü"))
-    raw = F.when(F.col("c_custkey") % 2 == 0, F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
-    return fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), S.decode_text(raw).alias("text"))
+    packed = fx.packed_names(spark, sf)
+    data = archives.member_lines(archives.scan_archives(packed)).select(F.split("line", "\t").alias("c"))
+    return data.select(F.get("c", F.lit(0)).alias("k"), F.get("c", F.lit(1)).alias("text"))
 
 
 @query(

@@ -2,29 +2,58 @@
 
 from __future__ import annotations
 
+import codecs
 import io
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LINE_SCHEMA = "archive string, member_no int, member string, line_no long, line string, problem string"
 SPREAD_LINES = 50_000
-_CHUNK = 20_000
+_CHUNK_ROWS, _CHUNK_CHARS = 20_000, 8_000_000
+_BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError)
 
 
 def _encoding(archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> str:
-    """UTF-8, or Latin-1 for a member that is not valid UTF-8 throughout."""
+    """UTF-8, or Latin-1 for a member that is not valid UTF-8 throughout.
+
+    The member is read to its end either way, so that damage shows before a line of it is handed on.
+    """
+    decoder, valid = codecs.getincrementaldecoder("utf-8-sig")(), True
     with archive.open(info) as stream:
-        try:
-            text = io.TextIOWrapper(stream, encoding="utf-8-sig")
-            while text.read(1 << 20):
-                pass
-            return "utf-8-sig"
-        except UnicodeDecodeError:
-            return "latin-1"
+        while part := stream.read(1 << 20):
+            if valid:
+                try:
+                    decoder.decode(part)
+                except UnicodeDecodeError:
+                    valid = False
+    try:
+        decoder.decode(b"", final=True)
+    except UnicodeDecodeError:
+        valid = False
+    return "utf-8-sig" if valid else "latin-1"
+
+
+def _whole_lines(lines: Iterable[str]) -> Iterator[str]:
+    """Lines with quoted line breaks inside; a cell is quoted when a quote is its first character."""
+    held: list[str] = []
+    for line in lines:
+        line = line.rstrip("\n")
+        odd = line.count('"') % 2 == 1
+        if held:
+            held.append(line)
+            if odd:
+                yield "\n".join(held)
+                held = []
+        elif odd and (line.startswith('"') or '\t"' in line):
+            held = [line]
+        else:
+            yield line
+    yield from held  # a quote that is never closed takes no other line with it
 
 
 def _flush(rows: list[tuple]) -> pd.DataFrame:
@@ -32,30 +61,40 @@ def _flush(rows: list[tuple]) -> pd.DataFrame:
 
 
 def _member_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stream the lines of every ``.txt`` member; a bad archive or empty member becomes a log row."""
+    """Stream the lines of every ``.txt`` member; a bad archive, a damaged or an empty member becomes a log row."""
     rows: list[tuple] = []
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            name = path.rsplit("/", 1)[-1]
             try:
                 archive = zipfile.ZipFile(io.BytesIO(content))
             except zipfile.BadZipFile:
-                rows.append((name, None, None, None, None, "bad zip file"))
+                rows.append((path, None, None, None, None, "bad zip file"))
                 continue
+            seen: set[str] = set()
             with archive:
                 for no, info in enumerate(archive.infolist()):
-                    member = info.filename.rsplit("/", 1)[-1]
+                    member = info.filename
                     if info.is_dir() or not member.lower().endswith(".txt"):
                         continue
+                    if member in seen:  # a zip file may hold a name twice
+                        member = f"{member[:-4]} #{no}{member[-4:]}"
+                    seen.add(member)
                     if info.file_size == 0:
-                        rows.append((name, no, member, None, None, "empty file"))
+                        rows.append((path, no, member, None, None, "empty file"))
+                        continue
+                    try:
+                        encoding = _encoding(archive, info)
+                    except _BROKEN as e:
+                        rows.append((path, no, member, None, None, f"damaged member: {e}"))
                         continue
+                    chars = 0
                     with archive.open(info) as stream:
-                        for line_no, line in enumerate(io.TextIOWrapper(stream, encoding=_encoding(archive, info))):
-                            rows.append((name, no, member, line_no, line.rstrip("\n"), None))
-                            if len(rows) >= _CHUNK:
+                        for line_no, line in enumerate(_whole_lines(io.TextIOWrapper(stream, encoding=encoding))):
+                            rows.append((path, no, member, line_no, line, None))
+                            chars += len(line)
+                            if len(rows) >= _CHUNK_ROWS or chars >= _CHUNK_CHARS:
                                 yield _flush(rows)
-                                rows = []
+                                rows, chars = [], 0
     if rows:
         yield _flush(rows)
 
@@ -63,6 +102,8 @@ def _member_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def scan_archives(files: DataFrame) -> DataFrame:
     """Lines of the archives in a (path, content) table, as read by the ``binaryFile`` source.
 
+    ``archive`` is the whole path and ``member`` the whole name inside it: equal names in two folders
+    are two files.
     Only unpacking runs in Python, one archive (at most 2 GB for this source) at a time. The lines
     are then spread in chunks, so that the parsing of a large archive, which costs more than its
     unpacking, does not stay in the task that opened it.
@@ -73,12 +114,17 @@ def scan_archives(files: DataFrame) -> DataFrame:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Lines of all ``*.zip`` files under ``path``, spread over the archives."""
-    return scan_archives(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path))
+    return scan_archives(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path))
 
 
 def member_lines(scanned: DataFrame) -> DataFrame:
     return scanned.filter(F.col("problem").isNull()).drop("problem")
 
 
+def base_name(column: str) -> Column:
+    """Name without its folders, for display and for what is written in file names."""
+    return F.element_at(F.split(column, "/"), -1)
+
+
 def scan_problems(scanned: DataFrame) -> DataFrame:
     return scanned.filter(F.col("problem").isNotNull()).select("archive", "member", "problem")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import scalars as S
 from ledgerline.functions.codes import BASE_TABLE_NAMES
 from ledgerline.session import materialize
+from ledgerline.sources.archives import base_name
 
 KEY = "IDRSSD"
 MEMBER = ["archive", "member"]
@@ -98,7 +99,7 @@ def file_metrics(parsed: DataFrame) -> DataFrame:
         F.sum(width - filled).alias("missing"),
     )
     return sums.select(
-        *MEMBER, S.filename_quarter("member").alias("quarter"), "entities", "non_numeric_ids", "cells", "missing",
+        *MEMBER, S.filename_quarter(base_name("member")).alias("quarter"), "entities", "non_numeric_ids", "cells", "missing",
         F.when(F.col("cells") > 0, F.round(F.col("missing") / F.col("cells") * 100, 1)).otherwise(0.0).alias("missing_pct"),
     )
 
@@ -154,6 +155,7 @@ def combine_parts(cells_: DataFrame, columns: DataFrame) -> DataFrame:
 
 def _preference(table: Column) -> Column:
     rank = F.lit(len(BASE_TABLE_NAMES) + 1)
+    table = F.element_at(F.split(table, "/"), -1)
     for i in reversed(range(len(BASE_TABLE_NAMES))):
         name = BASE_TABLE_NAMES[i]
         named = table.startswith(name) | table.contains(f" {name}") | table.contains(f"_{name}")

@@ -56,7 +56,8 @@ def lines(scanned):
 
 
 def test_problems_are_logged_not_raised(scanned):
-    got = sorted((r.archive, r.member, r.problem) for r in archives.scan_problems(scanned).collect())
+    named = archives.scan_problems(scanned).withColumn("archive", archives.base_name("archive"))
+    got = sorted((r.archive, r.member, r.problem) for r in named.collect())
     assert got == [("A 20230331.zip", "Schedule X 03312023.txt", "empty file"), ("B 20230630.zip", None, "bad zip file")]
 
 
@@ -99,7 +100,7 @@ def test_shapes_and_metrics(lines):
 
 def test_merge(lines):
     merged = reports.read_reports(lines)
-    got = {(r.archive[0], r.id, r.column): r.value for r in merged.collect()}
+    got = {(r.archive.rsplit("/", 1)[-1][0], r.id, r.column): r.value for r in merged.collect()}
     # Part 2 repeats a column of part 1, which therefore loses; entity 4 exists only there.
     assert got[("A", "1", "RCON2170")] == "100" and got[("A", "4", "RCON2200")] == "60" and ("A", "4", "RCON2170") not in got
     # An incomplete group stays on its own and its repeated column gets a suffix.
@@ -145,3 +146,27 @@ def test_evolving_files(spark, tmp_path):
     assert dict(typed.dtypes) == {"IDRSSD": "string", "RCON9999": "date", "RCON2170": "double", "RCON2200": "double"}
     with pytest.raises(ValueError):
         files.read_evolving(spark, paths[2:])
+
+
+def test_equal_names_in_two_folders_are_two_files(spark, tmp_path):
+    for folder, value in (("x", 1), ("y", 2)):
+        (tmp_path / folder).mkdir()
+        write_zip(tmp_path / folder / "Same.zip", {"a/RC.txt": f"IDRSSD\tX\n\tt\n1\t{value}0\n", "b/RC.txt": f"IDRSSD\tY\tZ\n\tt\tt\n1\t{value}1\t{value}2\n"})
+    got = reports.melt(reports.rows(archives.member_lines(archives.read_archives(spark, str(tmp_path))))).collect()
+    found = sorted((r.archive.split("/")[-2], r.member, r.code, r.value) for r in got)
+    assert found == [(f, m, c, v) for f, n in (("x", 1), ("y", 2)) for m, c, v in (("a/RC.txt", "X", f"{n}0"), ("b/RC.txt", "Y", f"{n}1"), ("b/RC.txt", "Z", f"{n}2"))]
+
+
+def test_damaged_member_is_logged_and_the_rest_read(spark, tmp_path):
+    path = tmp_path / "d.zip"
+    write_zip(path, {"one.txt": "IDRSSD\tX\n\tt\n1\tfirst\n", "two.txt": "IDRSSD\tX\n\tt\n2\tsecond\n", "three.txt": "IDRSSD\tX\n\tt\n3\tthird\n"})
+    path.write_bytes(path.read_bytes().replace(b"2\tsecond", b"2\tsecand"))
+    scanned = archives.read_archives(spark, str(tmp_path))
+    assert [(r.member, r.problem.split(":")[0]) for r in archives.scan_problems(scanned).collect()] == [("two.txt", "damaged member")]
+    assert sorted(r.value for r in reports.melt(reports.rows(archives.member_lines(scanned))).collect()) == ["first", "third"]
+
+
+def test_quoted_line_breaks_stay_in_their_cell(spark, tmp_path):
+    write_zip(tmp_path / "q.zip", {"RC.txt": 'IDRSSD\tX\tY\n\tt\tt\n1\t"two\nlines"\t5\n2\t6" pipe\t7\n3\t"open\t8\n'})
+    got = reports.melt(reports.rows(archives.member_lines(archives.read_archives(spark, str(tmp_path))))).collect()
+    assert sorted((r.id, r.code, r.value) for r in got)[:4] == [("1", "X", "two\nlines"), ("1", "Y", "5"), ("2", "X", '6" pipe'), ("2", "Y", "7")]
