@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_GRAM_FEATURES = 1000  # half a million cells on the driver at most
+
+_SUMS = "b int, m binary"
+_ADDED_BY = (64, 1)  # tasks of the two rounds in which the matrices are added up
 
 
 @dataclass(frozen=True)
@@ -30,10 +32,9 @@ class Moments:
 def block_cross_products(df: DataFrame, features: Sequence[str], block: str, label: str = "label") -> dict[int, Moments]:
     """Sums of outer products per block of rows (few, such as folds), all in one pass.
 
-    Every task reduces its rows to one small matrix per block, then the matrices add up.
+    Every task reduces its rows to one matrix per block and sends it as a single row. The matrices are added
+    up in two rounds, one after the other as they arrive.
     """
-    if len(features) > MAX_GRAM_FEATURES:
-        raise ValueError(f"more than {MAX_GRAM_FEATURES} features")
     columns = [*features, label]
     size = len(columns) + 1
 
@@ -43,19 +44,27 @@ def block_cross_products(df: DataFrame, features: Sequence[str], block: str, lab
             for key, rows in batch.groupby("_block", sort=False):
                 x = np.column_stack([np.ones(len(rows)), rows[columns].to_numpy(dtype=float)])
                 totals[key] = totals.get(key, 0) + x.T @ x
-        i, j = np.triu_indices(size)
+        upper = np.triu_indices(size)
+        for key, total in totals.items():
+            yield pd.DataFrame({"b": [key], "m": [total[upper].tobytes()]})
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, m in zip(batch["b"], batch["m"]):
+                totals[key] = totals.get(key, 0) + np.frombuffer(m)
         for key, total in totals.items():
-            yield pd.DataFrame({"b": key, "i": i, "j": j, "v": total[i, j]})
+            yield pd.DataFrame({"b": [key], "m": [total.tobytes()]})
 
-    cells = (
-        df.select(F.col(block).cast("int").alias("_block"), *columns).na.drop()
-        .mapInPandas(partial, "b int, i int, j int, v double")
-        .groupBy("b", "i", "j").agg(F.sum("v").alias("v")).collect()
-    )
+    sums = df.select(F.col(block).cast("int").alias("_block"), *columns).na.drop().mapInPandas(partial, _SUMS)
+    for parts in _ADDED_BY:
+        sums = sums.repartition(parts).mapInPandas(added, _SUMS)
     out: dict[int, Moments] = {}
-    for b, i, j, v in cells:
-        matrix = out.setdefault(b, Moments(tuple(features), np.zeros((size, size)))).matrix
-        matrix[i, j] = matrix[j, i] = v
+    upper = np.triu_indices(size)
+    for b, m in sums.collect():
+        matrix = np.zeros((size, size))
+        matrix[upper] = np.frombuffer(m)
+        out[b] = Moments(tuple(features), matrix + np.triu(matrix, 1).T)
     return out
 
 
@@ -113,7 +122,8 @@ def within_transform(df: DataFrame, columns: Sequence[str], id_col: str = "id")
 
 def fixed_effects(df: DataFrame, features: Sequence[str], label: str = "label") -> tuple[np.ndarray, DataFrame]:
     """Slopes of the entity-effects regression and a table (id, effect) of entity intercepts."""
-    demeaned = within_transform(df.select("id", label, *features), [label, *features])
+    df = df.select("id", label, *features).na.drop()  # means and slopes over the same rows
+    demeaned = within_transform(df, [label, *features])
     beta, _ = solve(cross_products(demeaned, features, label))
     means = df.groupBy("id").agg(F.avg(label).alias("_y"), *[F.avg(f).alias(f"_x{i}") for i, f in enumerate(features)])
     effect = linear_prediction([f"_x{i}" for i in range(len(beta))], [-b for b in beta], F.col("_y"))

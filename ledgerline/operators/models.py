@@ -11,6 +11,7 @@ from itertools import product
 from typing import Any
 
 from pyspark import inheritable_thread_target
+from pyspark.ml import regression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators.design import TEST, TRAIN, expanding_folds, fold_rows
 from ledgerline.operators.linear import (
-    MAX_GRAM_FEATURES,
     add_moments,
     block_cross_products,
     cross_products,
@@ -71,6 +71,13 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="error").transform(df)
 
 
+def _depth(wanted: int | None, default: int) -> int:
+    """Depth of a tree; ``None`` is the default of the model, for single trees as deep as Spark ML grows them."""
+    if wanted is not None and wanted > MAX_DEPTH:
+        raise ValueError(f"trees are at most {MAX_DEPTH} levels deep, not {wanted}")
+    return default if wanted is None else int(wanted)
+
+
 def estimator(model: str, params: dict[str, Any], rows: int, label_std: float, seed: int = 42):
     """Spark ML estimator for a model name with parameters in the conventional scale.
 
@@ -78,7 +85,7 @@ def estimator(model: str, params: dict[str, Any], rows: int, label_std: float, s
     the number of rows; the factors below undo that, so ``alpha`` means the textbook penalty.
     """
     name = base_name(model)
-    depth = min(params.get("max_depth") or MAX_DEPTH, MAX_DEPTH)
+    depth = _depth(params.get("max_depth"), MAX_DEPTH)
     leaf = int(params.get("min_samples_leaf", 1))
     if name in (OLS, RIDGE, LASSO, ELASTIC):
         alpha, reg, mix = float(params.get("alpha", 1.0)), 0.0, 0.0
@@ -104,7 +111,7 @@ def estimator(model: str, params: dict[str, Any], rows: int, label_std: float, s
     if name == BOOSTED:
         return GBTRegressor(
             maxIter=int(params.get("n_estimators", 100)), stepSize=float(params.get("learning_rate", 0.3)),
-            maxDepth=min(int(params.get("max_depth") or 6), MAX_DEPTH), minInstancesPerNode=leaf,
+            maxDepth=_depth(params.get("max_depth"), 6), minInstancesPerNode=leaf,
             subsamplingRate=float(params.get("subsample", 1.0)),
             featureSubsetStrategy=str(float(params.get("colsample", 1.0))), seed=seed,
         )
@@ -138,9 +145,23 @@ class FittedModel:
         values = self.model.featureImportances if hasattr(self.model, "featureImportances") else self.model.coefficients
         return [(f, float(v)) for f, v in zip(self.features, values.toArray())]
 
-    def save(self, path: str) -> None:
+    def save(self, path: str, spark: SparkSession) -> None:
+        """Store whatever the model consists of below ``path``; :func:`load` reads it back."""
+        kept = {"name": self.name, "features": self.features, "constant": self.constant, "beta": self.beta, "params": self.params, "kind": type(self.model).__name__ if self.model is not None else None}
+        spark.createDataFrame([(json.dumps(kept),)], "model string").coalesce(1).write.mode("overwrite").parquet(f"{path}/description")
         if self.model is not None:
-            self.model.write().overwrite().save(path)
+            self.model.write().overwrite().save(f"{path}/model")
+        if self.effects is not None:
+            self.effects.write.mode("overwrite").parquet(f"{path}/effects")
+
+
+def load(path: str, spark: SparkSession) -> FittedModel:
+    """A model stored by :meth:`FittedModel.save`."""
+    kept = json.loads(spark.read.parquet(f"{path}/description").first()[0])
+    kind = kept.pop("kind")
+    model = getattr(regression, kind).load(f"{path}/model") if kind else None
+    effects = spark.read.parquet(f"{path}/effects") if kept["beta"] is not None else None
+    return FittedModel(model=model, effects=effects, **kept)
 
 
 def fit(model: str, train: DataFrame, features: Sequence[str], params: dict[str, Any] | None = None, seed: int = 42, keep: int | None = None) -> FittedModel:
@@ -171,8 +192,11 @@ def random_draws(model: str, n: int, seed: int = 42, n_features: int | None = No
     return [{k: pick[kind](lo, hi) for k, (kind, lo, hi) in ranges.items()} for _ in range(n)] if ranges else []
 
 
-def grid_points(model: str) -> list[dict[str, Any]]:
-    grid = GRIDS.get(base_name(model), {})
+def grid_points(model: str, n_features: int | None = None) -> list[dict[str, Any]]:
+    """Every point of the grid; with feature selection also a quarter, half, three quarters and all of the features."""
+    grid = dict(GRIDS.get(base_name(model), {}))
+    if model.endswith("_RFE") and n_features:
+        grid["n_features"] = sorted({max(1, n_features * q // 4) for q in (1, 2, 3, 4)})
     return [dict(zip(grid, values)) for values in product(*grid.values())] if grid else []
 
 
@@ -224,7 +248,7 @@ def param_search(model: str, train: DataFrame, features: Sequence[str], candidat
     stats = train.agg(F.count("*"), F.count_distinct("date"), F.min("label") < F.max("label")).first()
     if not candidates or stats[0] < 2 * folds or stats[1] < folds + 1 or not stats[2]:
         return fit(model, train, features, seed=seed), []
-    if base_name(model) in (OLS, RIDGE) and len(features) <= MAX_GRAM_FEATURES:
+    if base_name(model) in (OLS, RIDGE):
         scores = _moment_scores(model, train, features, candidates, folds)
     else:
         scores = _fitted_scores(model, train, features, candidates, folds, seed, parallelism)

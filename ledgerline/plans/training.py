@@ -17,7 +17,7 @@ from ledgerline.session import materialize, scratch_path
 from ledgerline.sources.files import write_parquet
 
 REGISTRY_SCHEMA = (
-    "target string, horizon int, model string, n_features int, features array<string>, params string, path string"
+    "target string, horizon int, model string, n_features int, features array<string>, params string, path string, problem string"
 )
 
 
@@ -76,33 +76,49 @@ def train_matrix(
             for name in names:
                 candidates = {
                     "random": lambda: models.random_draws(name, draws, cfg.seed, len(features)),
-                    "grid": lambda: models.grid_points(name),
+                    "grid": lambda: models.grid_points(name, len(features)),
                     None: list,
                 }[search]()
-                if candidates:
-                    fitted, _ = models.param_search(name, train, features, candidates, folds, cfg.seed)
-                else:
-                    fitted = models.fit(name, train, features, seed=cfg.seed)
                 path = f"{out}/models/target={target}/horizon={horizon}/{name}"
-                fitted.save(path)
-                registry.append((target, horizon, name, len(fitted.features), fitted.features, models.params_json(fitted.params), path))
+                try:
+                    fitted = _fitted(name, train, features, candidates, folds, cfg.seed)
+                    fitted.save(path, spark)
+                    _store(models.predictions(fitted, matrix, target, horizon), out, target, horizon, name)
+                except Exception as e:  # noqa: BLE001  one model that cannot be fitted does not end the run
+                    registry.append((target, horizon, name, None, None, None, None, f"{type(e).__name__}: {e}"[:500]))
+                    continue
+                registry.append((target, horizon, name, len(fitted.features), fitted.features, models.params_json(fitted.params), path, None))
                 fitted_models.append((target, horizon, fitted))
                 done.append(name)
-                _store(models.predictions(fitted, matrix, target, horizon), out, target, horizon, name)
             members = [m for m in done if m in models.ENSEMBLE_MEMBERS]
             if len(members) >= 2:
                 here = _stored(spark, out).filter((F.col("target") == target) & (F.col("horizon") == horizon))
                 _store(metrics.voting_ensemble(here, members), out, target, horizon, "VotingEnsemble")
-                registry.append((target, horizon, "VotingEnsemble", len(features), features, models.params_json({"members": members}), None))
+                registry.append((target, horizon, "VotingEnsemble", len(features), features, models.params_json({"members": members}), None, None))
     if not registry:
         raise ValueError("no target and horizon has train rows")
     importances = spark.createDataFrame(
         [(t, h, m.name, f, v) for t, h, m in fitted_models for f, v in m.importances()],
         "target string, horizon int, model string, feature string, importance double",
     )
-    return TrainingRun(
-        _stored(spark, out), spark.createDataFrame(registry, REGISTRY_SCHEMA), importances
-    )
+    spark.createDataFrame(registry, REGISTRY_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{out}/registry")
+    importances.coalesce(1).write.mode("overwrite").parquet(f"{out}/importances")
+    return load_run(spark, out)
+
+
+def load_run(spark: SparkSession, out: str) -> TrainingRun:
+    """A stored run: predictions, registry (with the problem of a model that failed) and importances."""
+    return TrainingRun(_stored(spark, out), spark.read.parquet(f"{out}/registry"), spark.read.parquet(f"{out}/importances"))
+
+
+def _fitted(name: str, train: DataFrame, features: list[str], candidates: list, folds: int, seed: int) -> models.FittedModel:
+    """The best candidate; the default parameters where there is none or the search fails."""
+    if candidates:
+        try:
+            return models.param_search(name, train, features, candidates, folds, seed)[0]
+        except Exception:  # noqa: BLE001  the fit below raises if the data are at fault
+            pass
+    return models.fit(name, train, features, seed=seed)
 
 
 def feature_count_report(comparison: DataFrame, targets: Sequence[str]) -> DataFrame:

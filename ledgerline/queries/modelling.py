@@ -12,7 +12,7 @@ from ledgerline.plans import training
 from ledgerline.plans.panel import prepare_panel
 from ledgerline.queries import fixtures as fx
 from ledgerline.queries.registry import query
-from ledgerline.session import materialize
+from ledgerline.session import materialize, scratch_path
 from ledgerline.sources.series import index_table, macro_table
 
 # --- sample rules -------------------------------------------------------------------------
@@ -392,16 +392,19 @@ def feature_importance(spark, sf):
 @query("param_search", "params mse:8")
 def param_search(spark, sf):
     rows = _train(_matrix(spark, sf))
-    _, scored = models.param_search(models.RIDGE, rows, _RFE, models.grid_points(models.RIDGE)[::3])
+    _, scored = models.param_search(models.RIDGE, rows, _RFE, models.grid_points(models.RIDGE))
     return spark.createDataFrame([(models.params_json(s["params"]), s["mse"]) for s in scored], "params string, mse double")
 
 
+_RUN_MODELS = (models.MEAN, models.OLS, models.RIDGE, models.EFFECTS, models.TREE, models.FOREST)
+_RUN_DRAWS = 2  # of the random search, for each model
+
+
 @query("train_matrix", "target horizon:i model split n:i mae:6 rmse:6 r2:6 mape:4")
 def train_matrix(spark, sf):
-    run = training.train_matrix(
-        prepared(spark, sf), PREP_CFG, targets=PREP_CFG.targets[:1], names=(models.OLS, models.RIDGE, models.EFFECTS), search=None
-    )
-    return metrics.regression_metrics(run.predictions)
+    out = scratch_path(spark, "run")
+    training.train_matrix(prepared(spark, sf), PREP_CFG, names=_RUN_MODELS, draws=_RUN_DRAWS, out=out)
+    return metrics.regression_metrics(training.load_run(spark, out).predictions)
 
 
 # --- run reports --------------------------------------------------------------------------

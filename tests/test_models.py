@@ -156,10 +156,8 @@ def test_training_run_and_reports(spark, train, tmp_path):
     assert params["Ridge|Standard"] == "N/A" and params["DecisionTree|Standard"].startswith("{")
     assert training.importance_report(run.importances, 2).filter("rank > 2").count() == 0
     assert training.selected_features(run.registry).count() > 0
-    from pyspark.ml.regression import LinearRegressionModel
-
     path = run.registry.filter("model = 'LinearRegression' and horizon = 1").first().path
-    assert LinearRegressionModel.load(path).numFeatures == run.registry.filter("model = 'LinearRegression'").first().n_features
+    assert models.load(path, spark).model.numFeatures == run.registry.filter("model = 'LinearRegression'").first().n_features
 
 
 def test_matrix_has_no_leak(spark, sf_dir):
@@ -172,3 +170,34 @@ def test_matrix_has_no_leak(spark, sf_dir):
     first_test = rows.filter("split = 'test'").agg(F.min("date")).first()[0]
     # The two quarters before the cut have no label inside the train split.
     assert (first_test.year - last_train.year) * 4 + (first_test.month - last_train.month) // 3 >= 3
+
+
+def test_stored_models_predict_the_same(spark, train, tmp_path):
+    for name in (models.MEAN, models.OLS, models.EFFECTS, models.TREE):
+        fitted = models.fit(name, train, ["x0", "x1"], {"max_depth": 3} if name == models.TREE else None)
+        fitted.save(f"{tmp_path}/{name}", spark)
+        loaded = models.load(f"{tmp_path}/{name}", spark)
+        a, b = (sorted((r.id, r.date, round(r.prediction, 9)) for r in m.predict(train).select("id", "date", "prediction").collect()) for m in (fitted, loaded))
+        assert a == b and loaded.features == fitted.features and loaded.params == fitted.params
+
+
+def test_a_model_that_fails_does_not_end_the_run(spark, train, tmp_path):
+    panel = PreparedPanel(train.withColumn("quarter", F.concat(F.lit("quarter_"), F.quarter("date"))), ["x0", "x1"], ["quarter"], [], None, None)
+    cfg = PanelConfig(targets=("label",), features={"x0": "bank", "x1": "bank"}, lags=1)
+    run = training.train_matrix(panel, cfg, names=(models.OLS, "NoSuchModel"), search=None, out=str(tmp_path))
+    assert {r.model: r.problem is None for r in run.registry.collect()} == {models.OLS: True, "NoSuchModel": False}
+    assert {r.model for r in run.predictions.select("model").distinct().collect()} == {models.OLS}
+
+
+def test_a_tree_deeper_than_possible_is_refused():
+    with pytest.raises(ValueError, match="30 levels"):
+        models.estimator(models.TREE, {"max_depth": 40}, 10, 1.0)
+
+
+def test_cross_products_of_many_features(spark):
+    n = 1200
+    df = spark.range(0, 50, 1, 4).select(*((F.col("id") * (i % 7 + 1) % 11).cast("double").alias(f"f{i}") for i in range(n)), F.col("id").cast("double").alias("label"))
+    got = linear.cross_products(df, [f"f{i}" for i in range(n)])
+    ids = np.arange(50.0)
+    x = np.column_stack([np.ones(50), *((ids * (i % 7 + 1)) % 11 for i in range(n)), ids])
+    assert np.allclose(got.matrix, x.T @ x)
