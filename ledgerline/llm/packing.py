@@ -147,7 +147,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int =
     """
     spark = docs.sparkSession
     rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), text_hash(docs[text]).alias("text_hash"), text_of(docs, text).alias("text"))
-    pieces = materialize(rows.mapInArrow(_tokenised(vocabulary, capacity, end), PIECES), "pieces")
+    pieces = materialize(rows.mapInArrow(_tokenised(vocabulary, capacity, end), PIECES), "pieces", compression="zstd")
     # a size can be that of a third of all pieces: ranks are counted per share of a size and then offset
     shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
     share = F.pmod(F.xxhash64("doc_id", "text_hash", "piece"), F.lit(shares)).alias("share")
