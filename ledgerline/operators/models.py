@@ -106,7 +106,7 @@ def estimator(model: str, params: dict[str, Any], rows: int, label_std: float, s
         # Every split may use every feature, as a bagged forest does.
         return RandomForestRegressor(
             numTrees=int(params.get("n_estimators", 100)), maxDepth=depth, minInstancesPerNode=leaf,
-            featureSubsetStrategy="all", seed=seed,
+            featureSubsetStrategy="all", bootstrap=bool(params.get("bootstrap", True)), seed=seed,
         )
     if name == BOOSTED:
         return GBTRegressor(

@@ -341,34 +341,74 @@ def elastic_net(spark, sf):
 _TREE_PARAMS = {
     models.TREE: {"max_depth": 4, "min_samples_leaf": 5},
     models.FOREST: {"max_depth": 4, "n_estimators": 8, "min_samples_leaf": 5},
-    models.BOOSTED: {"max_depth": 3, "n_estimators": 8, "learning_rate": 0.1},
+}
+# Over features with few values a fully grown tree predicts the train mean of every cell; so does every tree of
+# a forest without resampling, and the later trees of a boosted model have nothing left to fit.
+_CELLS = """cells AS (SELECT *, quarter(date) AS q, CAST(id AS BIGINT) % 5 AS g, year(date) % 2 AS y FROM xy),
+cell_means AS (SELECT q, g, y, avg(label) AS mean FROM cells WHERE split = 'train' GROUP BY 1, 2, 3)"""
+_GROWN = {
+    models.TREE: {"max_depth": 20},
+    models.FOREST: {"max_depth": 20, "n_estimators": 3, "bootstrap": False},
+    models.BOOSTED: {"max_depth": 20, "n_estimators": 3, "learning_rate": 0.1},
 }
 
 
 def _tree(spark, sf, model):
-    rows = _xy(spark, sf)
-    fitted = models.fit(model, _train(rows), ["x1", "x2"], _TREE_PARAMS[model])
+    rows = _xy(spark, sf).withColumns(
+        {"q": F.quarter("date").cast("double"), "g": (F.col("id").cast("bigint") % 5).cast("double"), "y": (F.year("date") % 2).cast("double")}
+    )
+    fitted = models.fit(model, _train(rows), ["q", "g", "y"], _GROWN[model])
     return models.predictions(fitted, rows, "roa", 1)
 
 
+def _cell_means(model):
+    return f"SELECT 'roa' AS target, 1 AS horizon, '{model}' AS model, split, id, date, label, mean AS prediction FROM cells JOIN cell_means USING (q, g, y)"
+
+
 _SCORES = "target horizon:i model split id date:d label:6 prediction:6"
 
 
-@query("decision_tree", _SCORES)
+@query("decision_tree", _SCORES, "panel", _XY, _CELLS, _cell_means(models.TREE))
 def decision_tree(spark, sf):
     return _tree(spark, sf, models.TREE)
 
 
-@query("random_forest", _SCORES)
+@query("random_forest", _SCORES, "panel", _XY, _CELLS, _cell_means(models.FOREST))
 def random_forest(spark, sf):
     return _tree(spark, sf, models.FOREST)
 
 
-@query("boosted_trees", _SCORES)
+@query("boosted_trees", _SCORES, "panel", _XY, _CELLS, _cell_means(models.BOOSTED))
 def boosted_trees(spark, sf):
     return _tree(spark, sf, models.BOOSTED)
 
 
+@query(
+    "rfe_pair", "model feature importance:6", "panel", _XY,
+    """SELECT 'LinearRegression_RFE' AS model, CASE WHEN first THEN 'num__x1' ELSE 'num__x2' END AS feature, CASE WHEN first THEN r1 * s ELSE r2 * s END AS importance
+       FROM (SELECT *, abs(r1 - r12 * r2) > abs(r2 - r12 * r1) AS first FROM (SELECT corr(label, x1) AS r1, corr(label, x2) AS r2, corr(x1, x2) AS r12, stddev_pop(label) AS s FROM xy WHERE split = 'train'))""",
+)
+def rfe_pair(spark, sf):
+    rows = design.standard_scale(_xy(spark, sf), ["x1", "x2"])
+    return models.importance_table(spark, [models.fit("LinearRegression_RFE", _train(rows), ["num__x1", "num__x2"], keep=1)])
+
+
+# Ridge over one feature has its fold errors in closed form.
+_RIDGE_FOLDS = """train AS (SELECT date, label, (x1 - m1) / sqrt(v1) AS x FROM xy, fit WHERE split = 'train'),
+days AS (SELECT list_sort(list(DISTINCT date)) AS ds, len(list(DISTINCT date)) AS n, len(list(DISTINCT date)) // 4 AS b FROM train),
+roles AS (SELECT i AS fold, x, label, CASE WHEN date <= ds[n - (3 - i) * b] THEN 'train' WHEN date BETWEEN ds[n - (3 - i) * b + 1] AND ds[n - (3 - i) * b + b] THEN 'test' END AS role FROM train, days, range(3) t(i)),
+fold_fits AS (SELECT fold, a, avg(x) AS mx, avg(label) AS ml, covar_pop(label, x) * count(*) / (var_pop(x) * count(*) + a) AS slope
+  FROM roles, (VALUES (0.001), (0.01), (0.1), (1), (10), (50), (100)) AS v(a) WHERE role = 'train' GROUP BY fold, a),
+errors AS (SELECT fold, a, avg((label - ml - slope * (x - mx)) * (label - ml - slope * (x - mx))) AS e FROM roles JOIN fold_fits USING (fold) WHERE role = 'test' GROUP BY fold, a)"""
+
+
+@query("ridge_search", "alpha:3 mse:9", "panel", _XY, _RIDGE_FOLDS, "SELECT a AS alpha, avg(e) AS mse FROM errors GROUP BY a")
+def ridge_search(spark, sf):
+    rows = _train(design.standard_scale(_xy(spark, sf), ["x1"]))
+    _, scored = models.param_search(models.RIDGE, rows, ["num__x1"], models.grid_points(models.RIDGE))
+    return spark.createDataFrame([(float(p["params"]["alpha"]), p["mse"]) for p in scored], "alpha double, mse double")
+
+
 _RFE = ["num__" + c for c in _DESIGN_NUM]
 
 
