@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +13,10 @@ from ledgerline.config import PanelConfig
 from ledgerline.functions import scalars as S
 from ledgerline.operators.sample import smallest_keys
 from ledgerline.operators.windows import ar_lags, feature_lags, lead_target
+from ledgerline.session import materialize
 
 TRAIN, TEST = "train", "test"
+ENTITY = "bank_id"  # the category of entity effects
 # Doubles carry about 16 digits; a spread below this share of the mean is rounding noise.
 EPSILON = 2.220446049250313e-16
 
@@ -43,7 +46,7 @@ def split_by_date(df: DataFrame, test_split: float | str) -> DataFrame:
 
 def split_by_entity(df: DataFrame, test_split: float, seed: int = 42) -> DataFrame:
     """ceil(n * share) pseudo-random entities form the test split."""
-    ids = df.select("id").distinct().withColumn("_key", S.random_key("id", seed))
+    ids = materialize(df.select("id").distinct().withColumn("_key", S.random_key("id", seed)), "entity-keys")
     test = smallest_keys(ids, "_key", lambda n: F.ceil(n * F.lit(float(test_split))))
     marked = df.join(test.withColumn("_test", F.lit(True)), "id", "left")
     return marked.withColumn("split", F.when(F.col("_test"), F.lit(TEST)).otherwise(F.lit(TRAIN))).drop("_test")
@@ -64,13 +67,10 @@ def standard_scale(df: DataFrame, columns: Sequence[str], prefix: str = "num__")
     return fitted.selectExpr(*rest, *[f"(`{c}` - _fit.m{i}) / _fit.s{i} as `{prefix}{c}`" for i, c in enumerate(columns)])
 
 
-def train_levels(df: DataFrame, column: str, max_levels: int = 1000) -> list[str]:
-    """Sorted train levels. They become column names, so their number must be bounded."""
+def train_levels(df: DataFrame, column: str) -> list[str]:
+    """Sorted train levels of a category that gets a column for each, such as the quarter of the year."""
     levels = df.filter((F.col("split") == TRAIN) & F.col(column).isNotNull()).select(column).distinct()
-    found = [r[0] for r in levels.limit(max_levels + 1).collect()]
-    if len(found) > max_levels:
-        raise ValueError(f"{column} has more than {max_levels} levels; use the within transform for entity effects")
-    return sorted(found)
+    return sorted(r[0] for r in levels.collect())
 
 
 def one_hot(df: DataFrame, column: str, levels: Sequence[str], prefix: str = "cat__") -> DataFrame:
@@ -79,6 +79,14 @@ def one_hot(df: DataFrame, column: str, levels: Sequence[str], prefix: str = "ca
     return df.withColumns(hot).drop(column)
 
 
+def one_hot_vector(df: DataFrame, column: str, prefix: str = "cat__") -> DataFrame:
+    """All train levels as one sparse vector column, whatever their number; an unseen level is all zeros."""
+    index = StringIndexer(inputCol=column, outputCol="_index", handleInvalid="keep", stringOrderType="alphabetAsc")
+    indexed = index.fit(df.filter((F.col("split") == TRAIN) & F.col(column).isNotNull())).transform(df)
+    # The last index stands for levels unseen in training and is the one dropped.
+    return OneHotEncoder(inputCol="_index", outputCol=f"{prefix}{column}").fit(indexed).transform(indexed).drop("_index", column)
+
+
 def quarter_effect(date: str = "date") -> Column:
     return F.concat(F.lit("quarter_"), F.quarter(date))
 
@@ -107,12 +115,15 @@ def horizon_dataset(panel: DataFrame, target: str, horizon: int, cfg: PanelConfi
 
 
 def scale_and_encode(dataset: DataFrame, categorical: Sequence[str] = ()) -> DataFrame:
-    """Scaled numeric and one-hot categorical columns next to the keys, split and label."""
+    """Scaled numeric and one-hot categorical columns next to the keys, split and label.
+
+    The entity effect has as many levels as there are entities and becomes one sparse vector column.
+    """
     keys = ("id", "date", "split", "label")
     numeric = [c for c in dataset.columns if c not in keys and c not in categorical]
     out = standard_scale(dataset, numeric)
     for c in categorical:
-        out = one_hot(out, c, train_levels(dataset, c))
+        out = one_hot_vector(out, c) if c == ENTITY else one_hot(out, c, train_levels(dataset, c))
     return out
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
 from ledgerline.operators.clean import dedup_keep_last
+from ledgerline.session import materialize
 
 BROADCAST_ROWS = 50_000
 
@@ -16,10 +17,12 @@ BROADCAST_ROWS = 50_000
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` if it has at most ``max_rows`` rows, else leave the join to Spark.
 
-    Meant for calendar tables (a row per quarter) and short lists. The check stops after
-    ``max_rows + 1`` rows. Beyond it the adaptive planner chooses and splits skewed keys.
+    Meant for calendar tables (a row per quarter) and short lists. ``df`` is stored first, so what it is made
+    from is read once: the count comes from the stored file. Beyond the limit the adaptive planner chooses and
+    splits skewed keys.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    stored = materialize(df, "small-side")
+    return F.broadcast(stored) if stored.count() <= max_rows else stored
 
 
 def macro_panel_join(panel: DataFrame, macro: DataFrame, index: DataFrame | None = None) -> DataFrame:

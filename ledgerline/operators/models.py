@@ -10,9 +10,11 @@ from dataclasses import dataclass, field
 from itertools import product
 from typing import Any
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import regression
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,7 +80,12 @@ def _depth(wanted: int | None, default: int) -> int:
     return default if wanted is None else int(wanted)
 
 
-def estimator(model: str, params: dict[str, Any], rows: int, label_std: float, seed: int = 42):
+def sparse_features(df: DataFrame, features: Sequence[str]) -> list[str]:
+    """Features that are vectors, as entity effects are."""
+    return [f for f in features if isinstance(df.schema[f].dataType, VectorUDT)]
+
+
+def estimator(model: str, params: dict[str, Any], rows: int, label_std: float, seed: int = 42, solver: str = "normal"):
     """Spark ML estimator for a model name with parameters in the conventional scale.
 
     Spark ML scales the L2 part of a penalty by the label's deviation and divides the loss by
@@ -98,7 +105,7 @@ def estimator(model: str, params: dict[str, Any], rows: int, label_std: float, s
             reg = alpha * l1 + alpha * (1 - l1) * label_std
             mix = alpha * l1 / reg
         return LinearRegression(
-            regParam=reg, elasticNetParam=mix, standardization=False, solver="normal", maxIter=15000, tol=1e-10
+            regParam=reg, elasticNetParam=mix, standardization=False, solver=solver, maxIter=15000, tol=1e-10
         )
     if name == TREE:
         return DecisionTreeRegressor(maxDepth=depth, minInstancesPerNode=leaf, seed=seed)
@@ -127,6 +134,7 @@ class FittedModel:
     effects: DataFrame | None = None
     beta: list[float] | None = None
     params: dict[str, Any] = field(default_factory=dict)
+    widths: list[int] | None = None  # columns of each feature, where one is a vector
 
     def predict(self, df: DataFrame) -> DataFrame:
         if self.constant is not None:
@@ -143,11 +151,16 @@ class FittedModel:
         if self.model is None:
             return []
         values = self.model.featureImportances if hasattr(self.model, "featureImportances") else self.model.coefficients
-        return [(f, float(v)) for f, v in zip(self.features, values.toArray())]
+        values = values.toArray()
+        if self.widths is None:
+            return [(f, float(v)) for f, v in zip(self.features, values)]
+        # The levels of a category count together.
+        ends = np.cumsum(self.widths)
+        return [(f, float(values[e - w] if w == 1 else np.abs(values[e - w : e]).sum())) for f, w, e in zip(self.features, self.widths, ends)]
 
     def save(self, path: str, spark: SparkSession) -> None:
         """Store whatever the model consists of below ``path``; :func:`load` reads it back."""
-        kept = {"name": self.name, "features": self.features, "constant": self.constant, "beta": self.beta, "params": self.params, "kind": type(self.model).__name__ if self.model is not None else None}
+        kept = {"name": self.name, "features": self.features, "constant": self.constant, "beta": self.beta, "params": self.params, "widths": self.widths, "kind": type(self.model).__name__ if self.model is not None else None}
         spark.createDataFrame([(json.dumps(kept),)], "model string").coalesce(1).write.mode("overwrite").parquet(f"{path}/description")
         if self.model is not None:
             self.model.write().overwrite().save(f"{path}/model")
@@ -173,14 +186,20 @@ def fit(model: str, train: DataFrame, features: Sequence[str], params: dict[str,
         raise ValueError("no train rows or no features")
     if name == MEAN:
         return FittedModel(model, features, constant=mean, params=params)
+    sparse = sparse_features(train, features)
+    scalars = [f for f in features if f not in sparse]
     if name == EFFECTS:
+        features = scalars  # the within transform takes the place of the levels
         beta, effects = fixed_effects(train, features)
         level = effects.agg(F.avg("effect")).first()[0]
         return FittedModel(model, features, constant=level, effects=effects, beta=[float(b) for b in beta])
     if model.endswith("_RFE"):
-        features = eliminate_features(cross_products(train, features), params.pop("n_features", keep))
-    fitted = estimator(model, params, rows, std, seed).fit(assemble(train, features).select("features", "label"))
-    return FittedModel(model, features, model=fitted, params=params)
+        features = [*eliminate_features(cross_products(train, scalars), params.pop("n_features", keep)), *sparse]
+    # Closed forms need a square matrix of all columns; with entity effects the fit is iterative.
+    chosen = estimator(model, params, rows, std, seed, "l-bfgs" if sparse else "normal")
+    fitted = chosen.fit(assemble(train, features).select("features", "label"))
+    widths = [train.select(f).first()[0].size if f in sparse else 1 for f in features] if sparse else None
+    return FittedModel(model, features, model=fitted, params=params, widths=widths)
 
 
 def random_draws(model: str, n: int, seed: int = 42, n_features: int | None = None) -> list[dict[str, Any]]:
@@ -248,7 +267,7 @@ def param_search(model: str, train: DataFrame, features: Sequence[str], candidat
     stats = train.agg(F.count("*"), F.count_distinct("date"), F.min("label") < F.max("label")).first()
     if not candidates or stats[0] < 2 * folds or stats[1] < folds + 1 or not stats[2]:
         return fit(model, train, features, seed=seed), []
-    if base_name(model) in (OLS, RIDGE):
+    if base_name(model) in (OLS, RIDGE) and not sparse_features(train, features):
         scores = _moment_scores(model, train, features, candidates, folds)
     else:
         scores = _fitted_scores(model, train, features, candidates, folds, seed, parallelism)

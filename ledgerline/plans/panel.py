@@ -13,7 +13,7 @@ from ledgerline.config import PanelConfig
 from ledgerline.functions import scalars as S
 from ledgerline.functions.codes import FLOW_PREFIX, KEY_CODES
 from ledgerline.operators import clean, sample, windows
-from ledgerline.operators.design import entity_effect, quarter_effect
+from ledgerline.operators.design import ENTITY, entity_effect, quarter_effect
 from ledgerline.operators.joins import checked_broadcast, event_join, macro_panel_join
 from ledgerline.session import materialize
 
@@ -164,7 +164,7 @@ def prepare_panel(panel: DataFrame, macro: DataFrame, index: DataFrame | None, c
     if cfg.include_quarter_effect:
         effects["quarter"] = quarter_effect()
     if cfg.include_entity_effect:
-        effects["bank_id"] = entity_effect()
+        effects[ENTITY] = entity_effect()
     final = final.withColumns(effects) if effects else final
     stages = stage_stats(
         {"features": base, "min_observations": enough, "outliers": without_outliers, "restricted": restricted}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.config import PanelConfig
 from ledgerline.operators import linear, metrics, models
+from ledgerline.operators.design import feature_columns, one_hot_vector, scale_and_encode
 from ledgerline.plans import training
 from ledgerline.plans.panel import PreparedPanel
 from ledgerline.queries import modelling
@@ -201,3 +202,25 @@ def test_cross_products_of_many_features(spark):
     ids = np.arange(50.0)
     x = np.column_stack([np.ones(50), *((ids * (i % 7 + 1)) % 11 for i in range(n)), ids])
     assert np.allclose(got.matrix, x.T @ x)
+
+
+def test_entity_effects_of_five_thousand_entities(spark, tmp_path):
+    n = 5000
+    rows = spark.range(0, n * 6, 1, 4).select(
+        (F.col("id") % n).cast("string").alias("id"), F.expr("add_months(DATE '2000-01-01', 3 * cast(id div 5000 as int))").alias("date"),
+        F.when(F.col("id") < n * 4, "train").otherwise("test").alias("split"), (F.col("id") % 13).cast("double").alias("x"),
+    ).withColumns({"bank_id": F.concat(F.lit("bank_id_"), "id"), "label": 2 * F.col("x") + F.pmod(F.xxhash64("id"), F.lit(10))})
+    matrix = scale_and_encode(rows, ["bank_id"])
+    assert feature_columns(matrix) == ["num__x", "cat__bank_id"]
+    train = matrix.filter("split = 'train'").cache()
+    for name in (models.RIDGE, models.EFFECTS):
+        fitted = models.fit(name, train, feature_columns(matrix), {"alpha": 1e-3} if name == models.RIDGE else None)
+        error = fitted.predict(matrix.filter("split = 'test'")).agg(F.avg(F.abs(F.col("label") - F.col("prediction")))).first()[0]
+        assert error < 0.05 and dict(fitted.importances())["num__x"] > 0
+        assert len(fitted.importances()) == (2 if name == models.RIDGE else 1)
+
+
+def test_unseen_level_is_all_zeros(spark):
+    rows = spark.createDataFrame([("1", "train", "b", 1.0), ("2", "train", "a", 2.0), ("3", "test", "zz", 3.0)], "id string, split string, bank_id string, x double")
+    got = {r["id"]: r["cat__bank_id"].toArray().tolist() for r in one_hot_vector(rows, "bank_id").collect()}
+    assert got == {"1": [0.0, 1.0], "2": [1.0, 0.0], "3": [0.0, 0.0]}
