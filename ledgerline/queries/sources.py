@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
+from ledgerline.plans.imports import import_archives
 from ledgerline.plans.panel import entity_panel
 from ledgerline.queries import fixtures as fx
 from ledgerline.queries.registry import query
@@ -27,6 +28,19 @@ def archive_scan(spark, sf):
     return data.groupBy(name, "member").agg(F.count("*").alias("lines"), F.sum(value).alias("total"))
 
 
+@query(
+    "import_job", "archive member rows:i cols:i", "panel",
+    f"""SELECT CASE WHEN quarter(date) = 4 THEN 'old' ELSE 'new' END || '/Reports ' || year(date) || '.zip' AS archive, 'RC/Schedule RC ' || {fx.D8} || '.txt' AS member,
+       count(*) AS rows, 2 AS cols FROM panel GROUP BY 1, 2""",
+)
+def import_job(spark, sf):
+    root, out = scratch_path(spark, "landing"), scratch_path(spark, "imported")
+    fx.land_archives(spark, sf, root)
+    import_archives(spark, root, out, ["RCON2170"])
+    shapes = spark.read.option("header", True).csv(f"{out}/logs/shapes")
+    return shapes.withColumn("archive", F.concat_ws("/", F.slice(F.split("archive", "/"), -2, 2)))
+
+
 def _lines(spark, sf):
     return fx.report_lines(spark, sf)
 

@@ -81,15 +81,29 @@ def melt(parsed: DataFrame) -> DataFrame:
     )
 
 
-def file_shapes(lines: DataFrame) -> DataFrame:
-    """Raw rows and columns per member."""
+def file_shapes(lines: DataFrame, problems: DataFrame | None = None) -> DataFrame:
+    """Raw rows and columns per member; with ``problems`` (of the scan) empty and damaged members count 0 x 0."""
     heads = headers(lines).select(*MEMBER, F.size("codes").alias("cols"))
     counts = lines.groupBy(*MEMBER).agg(F.count(F.when((F.col("line_no") >= 2) & (F.length("line") > 0), 1)).alias("rows"))
-    return counts.join(heads, MEMBER).select(*MEMBER, "rows", "cols")
+    shapes = counts.join(heads, MEMBER).select(*MEMBER, "rows", "cols")
+    if problems is None:
+        return shapes
+    unread = problems.filter(F.col("member").isNotNull()).select(*MEMBER, F.lit(0).cast("bigint").alias("rows"), F.lit(0).alias("cols"))
+    return shapes.unionByName(unread)
 
 
-def file_metrics(parsed: DataFrame) -> DataFrame:
-    """Per member: quarter, entities, non-numeric ids, cells, missing cells and their share."""
+def _metrics(sums: DataFrame, name: str) -> DataFrame:
+    return sums.select(
+        "archive", name, S.filename_quarter(base_name(name)).alias("quarter"), "entities", "non_numeric_ids", "cells", "missing",
+        F.when(F.col("cells") > 0, F.round(F.col("missing") / F.col("cells") * 100, 1)).otherwise(0.0).alias("missing_pct"),
+    )
+
+
+def file_metrics(parsed: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """Per member: quarter, entities, non-numeric ids, cells, missing cells and their share.
+
+    With ``members`` (archive, member) those without a usable row have a row of zeros.
+    """
     filled = F.size(F.filter("values", lambda v: v.isNotNull())) - 1
     width = F.size("codes") - 1
     sums = parsed.groupBy(*MEMBER).agg(
@@ -98,10 +112,27 @@ def file_metrics(parsed: DataFrame) -> DataFrame:
         F.sum(width).alias("cells"),
         F.sum(width - filled).alias("missing"),
     )
-    return sums.select(
-        *MEMBER, S.filename_quarter(base_name("member")).alias("quarter"), "entities", "non_numeric_ids", "cells", "missing",
-        F.when(F.col("cells") > 0, F.round(F.col("missing") / F.col("cells") * 100, 1)).otherwise(0.0).alias("missing_pct"),
+    if members is not None:
+        sums = members.select(*MEMBER).distinct().join(sums, MEMBER, "left").na.fill(0)
+    return _metrics(sums, "member")
+
+
+def table_metrics(parsed: DataFrame, cells_: DataFrame, columns: DataFrame) -> DataFrame:
+    """The same per table that was put together from split members.
+
+    ``cells_`` are the melted cells, ``columns`` the result of :func:`table_columns`; an entity counts once,
+    whichever parts it is in.
+    """
+    whole = columns.filter("complete")
+    width = whole.groupBy("archive", "table").agg(F.count("*").alias("width"))
+    parts = whole.select("archive", "table", "member").distinct()
+    entities = parsed.join(parts, MEMBER).select("archive", "table", "id").distinct().groupBy("archive", "table").agg(
+        F.count("*").alias("entities"), F.sum((~S.is_digits(F.trim("id"))).cast("int")).alias("non_numeric_ids")
     )
+    known = combine_parts(cells_, whole).groupBy("archive", "table").agg(F.count("*").alias("known"))
+    sums = entities.join(width, ["archive", "table"]).join(known, ["archive", "table"], "left").na.fill(0, ["known"])
+    cells = F.col("entities") * F.col("width")
+    return _metrics(sums.withColumn("cells", cells).withColumn("missing", cells - F.col("known")), "table")
 
 
 def split_groups(members: DataFrame) -> DataFrame:

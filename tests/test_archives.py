@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators.clean import coerce_types
+from ledgerline.plans.imports import import_archives
 from ledgerline.plans.panel import entity_panel
 from ledgerline.sources import archives, files, reports
 
@@ -170,3 +171,19 @@ def test_quoted_line_breaks_stay_in_their_cell(spark, tmp_path):
     write_zip(tmp_path / "q.zip", {"RC.txt": 'IDRSSD\tX\tY\n\tt\tt\n1\t"two\nlines"\t5\n2\t6" pipe\t7\n3\t"open\t8\n'})
     got = reports.melt(reports.rows(archives.member_lines(archives.read_archives(spark, str(tmp_path))))).collect()
     assert sorted((r.id, r.code, r.value) for r in got)[:4] == [("1", "X", "two\nlines"), ("1", "Y", "5"), ("2", "X", '6" pipe'), ("2", "Y", "7")]
+
+
+def test_import_job_writes_panel_and_logs(spark, landing, tmp_path):
+    import_archives(spark, landing, str(tmp_path), ["RCON2170", "RCON2200", "RIAD4107", "TEXT1"])
+    panel = {(r.archive.rsplit("/", 1)[-1][0], r.id): (r.RCON2170, r.RCON2200) for r in spark.read.parquet(f"{tmp_path}/panel").collect()}
+    assert panel[("A", "1")] == ("100", "50") and panel[("C", "9A")][1] is None
+    read = lambda name: spark.read.option("header", True).option("inferSchema", True).csv(f"{tmp_path}/logs/{name}").collect()
+    shapes = {r.member: (r.rows, r.cols) for r in read("shapes")}
+    assert shapes["Schedule X 03312023.txt"] == (0, 0) and shapes["Schedule RI 09302023.txt"] == (2, 3)
+    metrics = {r.member: r for r in read("metrics")}
+    assert metrics["Schedule X 03312023.txt"].entities == 0 and metrics["Schedule Q 03312023.txt"].cells == 0
+    both = metrics["Schedule RCB 03312023_Combined_2parts"]
+    # Entities 1, 2 and 4; three columns; five known cells.
+    assert (both.entities, both.cells, both.missing) == (3, 9, 4)
+    assert {r.problem for r in read("problems")} == {"empty file", "bad zip file"}
+    assert any(r.code == "RCON2170" for r in read("codes"))
