@@ -228,7 +228,8 @@ def verdicts(docs: DataFrame) -> DataFrame:
     firsts = classes.select("id", "first")
     linked = both.join(firsts.select(F.col("id").alias("a"), F.col("first").alias("own")), "a").join(firsts.select(F.col("id").alias("b"), F.col("first").alias("other")), "b")
     near = linked.groupBy(F.col("a").alias("id")).agg(F.max(F.col("other") < F.col("own")).alias("near"), F.count(F.lit(1)).alias("links"))
-    judged = firsts.join(near, "id", "left")
+    # stored, so that the join below stands alone and Spark can split a line that a third of the rows hold
+    judged = materialize(firsts.join(near, "id", "left"), "line_verdicts")
     return lines.select("doc_id", "text_hash", "at", "id").join(judged, "id").select(
         "doc_id",
         "text_hash",
