@@ -83,10 +83,14 @@ def _is(column: str, pattern: str) -> Column:
 
 
 def features(found: DataFrame, entries: DataFrame) -> DataFrame:
-    """``found`` (candidate, before, path and others) with ``FEATURES``."""
+    """``found`` (candidate, before, path and others) with ``FEATURES``.
+
+    The coverage is stored first: the join with it then stands alone, and Spark can split a candidate that many
+    rows hold.
+    """
     last = F.element_at(F.split("before", " "), -1)
     return (
-        found.join(covered(found, entries), "candidate")
+        found.join(materialize(covered(found, entries), "covered"), "candidate")
         .withColumn("length", F.length("candidate").cast("double"))
         .withColumn("digits", _share("[0-9]"))
         .withColumn("uppers", _share("[A-Z]"))
