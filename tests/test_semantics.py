@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
 from ledgerline.operators import aggregates, clean, design, joins, linear, metrics, sample, windows
+from ledgerline.queries import fixtures
 
 
 def quarter(i: int) -> dt.date:
@@ -90,10 +94,27 @@ def test_unseen_level_is_all_zeros(spark):
     assert sorted(map(tuple, hot.collect())) == [("test", 0.0, 0.0), ("train", 0.0, 1.0), ("train", 1.0, 0.0)]
 
 
-def test_too_many_levels_are_refused(spark):
-    rows = spark.range(20).select(F.lit("train").alias("split"), F.col("id").cast("string").alias("k"))
-    with pytest.raises(ValueError):
-        design.train_levels(rows, "k", max_levels=10)
+def test_a_category_may_have_any_number_of_levels(spark):
+    rows = spark.range(1500).select(F.lit("train").alias("split"), F.lpad(F.col("id").cast("string"), 4, "0").alias("k"))
+    levels = design.train_levels(rows, "k")
+    assert len(levels) == 1500 and levels == sorted(levels)
+
+
+def test_an_entity_without_a_mean_drops_out_only_above_n(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("b", None), ("c", 3.0)], "id string, v double")
+    assert {r.id for r in sample.largest_entities(rows, "v", 5).collect()} == {"a", "b", "c"}
+    assert {r.id for r in sample.largest_entities(rows, "v", 2).collect()} == {"a", "c"}
+
+
+def test_unknown_derivations_are_refused():
+    with pytest.raises(ValueError, match="nothing_here"):
+        fixtures.with_("panel", "nothing_here")
+
+
+@pytest.mark.parametrize("module", ["cleaning", "joining", "modelling", "profiling", "sources", "windowing"])
+def test_every_query_module_can_be_imported_alone(module):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", f"import ledgerline.queries.{module}"], cwd=root, check=True, timeout=120)
 
 
 @pytest.mark.parametrize(
