@@ -6,14 +6,22 @@ size, so that pairs would grow with the square of the corpus; postings are there
 sets of four positions. The six unions of two of the four byte pairs leave out every pair of bytes
 at least once, so every link meets in a posting. Pairs from the postings are tallied byte by byte,
 pairs below six shared bytes are dropped, the rest is verified on the bits.
+
+Two bits of 64 are far fewer than near copies of a given similarity differ in, so ``similar_documents``
+joins the sets of shingles themselves: two sets of similarity s share one of the first
+n - ceil(s * n) + 1 shingles of either in any fixed order, here that of their hashes. The
+documents that meet there are verified by the similarity of their whole sets; none is lost.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,13 +153,98 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def shingle_set(text: str | None, shingle_words: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; of all its words when they are fewer, none without a word."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(min(shingle_words, len(words)))), strict=False))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), dtype="<u8").view(np.int64))
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """Elements of a set of ``n`` of which a similar set has one at least."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def _sets(shingle_words: int, similarity: float | None):
+    """Number, hash and elements of each set; with a similarity only the elements of its prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t.as_py(), shingle_words) for t in batch.column(2)]
+            keys = [xxhash.xxh64_intdigest(x.tobytes()) for x in found]
+            held = [x if similarity is None else x[: prefix_length(len(x), similarity)] for x in found]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array(np.array(keys, dtype=np.uint64).view(np.int64)),
+                    pa.array([len(x) for x in found], pa.int32()),
+                    pa.array(held, pa.list_(pa.int64())),
+                ],
+                names=["row", "text_hash", "fp", "n", "shingles"],
+            )
+
+    return run
+
+
+def _similar_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (a, b) among distinct sets (fp, n, shingles of the prefix).
+
+    What two sets share up to the smaller end of their prefixes is counted; behind it they share at most
+    what that set has left. Pairs that cannot reach the similarity by that go before whole sets are read.
+    """
+    entries = sets.select("fp", "n", F.explode("shingles").alias("shingle"))
+    a, b = (entries.select("shingle", F.col("fp").alias(side), F.col("n").alias(f"n_{side}")) for side in "ab")
+    sized = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6
+    met = a.join(b, "shingle").where((F.col("a") < F.col("b")) & sized).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    ends = sets.select("fp", "n", F.element_at("shingles", -1).alias("end"), (F.col("n") - F.size("shingles")).alias("left")).where("n > 0")
+    for side in "ab":
+        met = met.join(ends.select(F.col("fp").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "end", "left"))), side)
+    left = F.when(F.col("end_a") < F.col("end_b"), F.col("left_a")).when(F.col("end_a") > F.col("end_b"), F.col("left_b")).otherwise(F.least("left_a", "left_b"))
+    return met.where((F.col("shared") + left) * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b")
+
+
+def similar_documents(docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """(doc_id, text_hash, fp, component_id) for every row of ``docs``, as ``near_duplicates``.
+
+    Links are those of a Jaccard similarity of at least ``similarity`` between the sets of shingles of
+    ``shingle_words`` words (one shingle of all words in a shorter text); ``fp`` is the hash of the set. Texts
+    without a word have equal sets. Nulls, repeated rows and other columns are treated as there.
+    """
+    texts = docs.select(docs["doc_id"].alias("row"), text_hash(docs["text"]).alias("text_hash"), docs["text"].alias("text"))
+    kinds = f"row {texts.schema['row'].dataType.simpleString()}, text_hash bigint, fp bigint, n int, shingles array<bigint>"
+    rows = materialize(texts.mapInArrow(_sets(shingle_words, similarity), kinds), "shingle_prefixes")
+    pairs = materialize(_similar_pairs(rows.dropDuplicates(["fp"]).select("fp", "n", "shingles"), similarity), "similar_candidates")
+    # whole sets of the candidates only
+    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    chosen = rows.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("text_hash").alias("text_hash")).select("text_hash")
+    whole = texts.join(chosen, "text_hash", "left_semi").select("row", "text_hash", "text").mapInArrow(_sets(shingle_words, None), kinds)
+    whole = materialize(whole.select("fp", "n", "shingles").dropDuplicates(["fp"]), "shingle_sets")
+    sides = pairs.join(whole.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a")), "a").join(
+        whole.select(F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b")), "b"
+    )
+    shared = F.size(F.array_intersect("s_a", "s_b"))
+    linked = sides.where(shared >= similarity * (F.col("n_a") + F.col("n_b") - shared) - 1e-6).select("a", "b")
+    of = components(linked)
+    least = materialize(rows.groupBy("fp").agg(F.min("row").alias("least")), "distinct_sets")
+    roots = least.join(of.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    return rows.select(F.col("row").alias("doc_id"), "text_hash", "fp").join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float | None = None) -> DataFrame:
     """``docs`` with one row for each component: that of the smallest id.
 
+    Components are those of ``similar_documents`` when a similarity is given, else of ``near_duplicates``, whose
+    fingerprints have shingles of ``SHINGLE_WORDS`` only.
     Among rows that repeat this id the one of the smallest text hash stays, equal rows once.
     Rows of a component without any id are kept by their text hash.
     """
-    found = near_duplicates(docs)
+    if similarity is None and shingle_words != SHINGLE_WORDS:
+        raise ValueError(f"fingerprints are of {SHINGLE_WORDS} words; give a similarity for other shingles")
+    found = near_duplicates(docs) if similarity is None else similar_documents(docs, shingle_words, similarity)
     firsts = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")).agg(
         F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("text_hash"))).alias("_hash")
     )

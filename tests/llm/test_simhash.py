@@ -100,3 +100,42 @@ def test_empty(spark):
 def test_long_chain_is_one_component(spark):
     edges = spark.range(500).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["root"] for r in components(edges).collect()} == {0}
+
+
+def plain_set(text, n):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def plain_jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_keep_one_by_similarity_equals_brute_force(spark):
+    r = random.Random(12)
+    docs = []
+    for _ in range(12):
+        words = [f"w{r.randrange(400)}" for _ in range(r.choice([3, 6, 30, 120, 300]))]
+        for _ in range(6):
+            rate = r.choice([0.005, 0.01, 0.02, 0.05])
+            copy = [f"n{r.randrange(50)}" if r.random() < rate else w for w in words]
+            docs.append((len(docs), " ".join(copy)))
+    docs += [(900, ""), (901, None), (902, " \n"), (1, docs[1][1])]
+    sets = {d: plain_set(t, 5) for d, t in docs}
+    linked = lambda a, b: plain_jaccard(sets[a], sets[b]) >= 0.8
+    component = plain_components(sorted(sets), {d: d for d in sets}, linked)
+    kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string"), 5, 0.8).collect()
+    assert sorted(x["doc_id"] for x in kept) == sorted({component[d] for d in sets})
+    missed = [(a, b) for a, b in combinations(sorted(sets), 2) if linked(a, b) and (plain_fingerprint(dict(docs)[a]) ^ plain_fingerprint(dict(docs)[b])).bit_count() > 2]
+    assert len(missed) > 5
+
+
+def test_pipeline_stage_drops_near_copies_beyond_two_bits(spark):
+    import corpus_pipeline
+
+    words = [f"word{i}" for i in range(200)]
+    copy = [f"other{i}" if i in (40, 100, 160) else w for i, w in enumerate(words)]
+    texts = {1: " ".join(words), 2: " ".join(copy), 3: " ".join(f"far{i}" for i in range(200))}
+    assert (plain_fingerprint(texts[1]) ^ plain_fingerprint(texts[2])).bit_count() > 2
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "").collect()
+    assert sorted(x["doc_id"] for x in kept) == [1, 3]
