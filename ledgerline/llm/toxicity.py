@@ -27,10 +27,8 @@ from ledgerline.llm.common import bucket_of, text_hash, text_of
 from ledgerline.llm.quality_model import bounded, learnable
 from ledgerline.session import materialize
 
-#: Labelled rows counted and calibrated on at most, thinned by a hash of the id; their ids are broadcast.
+#: Rows the logistic curve is fitted on at most, thinned by a hash of the id; words are counted on all others.
 FIT_ROWS = 200_000
-#: Words with evidence kept at most, those of the most; they are broadcast.
-MODEL_WORDS = 1 << 18
 #: A log ratio counts as far as it exceeds this, plus this share of its standard error.
 GATE, ERROR_SHARE = 1.5, 0.5
 THRESHOLD = 0.3
@@ -110,22 +108,33 @@ def log_ratios(counts: DataFrame, gate: float = GATE, error_share: float = ERROR
     return counts.select("word", (F.signum(ratio) * F.greatest(F.abs(ratio) - gate - error_share * error, F.lit(0.0))).alias("ratio")).where("ratio <> 0")
 
 
-def _measured(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (words, ratios) = WordKeys(), model.value
-        for batch in batches:
-            out = np.zeros(batch.num_rows)
-            for row, text in enumerate(batch.column(3)):
-                keys = known.of(text.as_py())
-                if len(keys) and len(words):
-                    at = np.minimum(np.searchsorted(words, keys), len(words) - 1)
-                    out[row] = ratios[at][words[at] == keys].sum() / len(keys)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out)], names=["doc_id", "text_hash", "fold", "evidence"])
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of each text and their numbers; a text without words has one null."""
+    known = WordKeys()
+    for batch in batches:
+        words, counts = [], []
+        for text in batch.column(3):
+            w, n = np.unique(known.of(text.as_py()), return_counts=True)
+            words.append(w if len(w) else [None])
+            counts.append(n if len(w) else [0])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), batch.column(2), pa.array(words, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))],
+            names=["doc_id", "text_hash", "fold", "word", "n"],
+        )
+
 
-    return run
+def evidence(rows: DataFrame, ratios: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, fold, evidence) of rows (doc_id, text_hash, fold, text): the mean ratio of a text's words.
+
+    ``ratios`` (word, ratio) is joined by key and may have any number of words.
+    """
+    held = rows.mapInArrow(_words_of, "doc_id bigint, text_hash bigint, fold bigint, word array<bigint>, n array<bigint>").withColumn("row", F.monotonically_increasing_id())
+    words = held.select("row", "doc_id", "text_hash", "fold", F.inline(F.arrays_zip("word", "n")))
+    sums = words.join(ratios, "word", "left").groupBy("row", "doc_id", "text_hash", "fold").agg(F.sum(F.col("ratio") * F.col("n")).alias("total"), F.sum("n").alias("n"))
+    return sums.select("doc_id", "text_hash", "fold", F.when(F.col("n") > 0, F.coalesce("total", F.lit(0.0)) / F.col("n")).otherwise(0.0).alias("evidence"))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, model_words: int = MODEL_WORDS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``doc_id, text_hash, held_out, evidence, score, predicted`` for every row of ``docs``.
 
     Labels are learned from rows whose crc32 of the id does not leave 2 modulo four; equal labelled
@@ -134,16 +143,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     smoothed share of toxic rows. Repeated rows each get a row, a null id is scored, other columns
     are ignored, no rows give no rows.
     """
-    spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_hash(docs["text"]).alias("text_hash"), bucket_of(docs["doc_id"], 4).alias("fold"), text_of(docs).alias("text"))
-    learned = materialize(bounded(learnable(labels, "toxic").where(bucket_of(F.col("doc_id"), 4) != HELD_OUT), fit_rows), "toxic_labels")
-    counting = F.broadcast(learned.where(bucket_of(F.col("doc_id"), 4) != CALIBRATION))  # at most about `fit_rows` ids
+    learned = materialize(learnable(labels, "toxic").where(bucket_of(F.col("doc_id"), 4) != HELD_OUT), "toxic_labels")
+    counting = learned.where(bucket_of(F.col("doc_id"), 4) != CALIBRATION)
     once = materialize(rows.select("doc_id", "text_hash").join(counting, "doc_id").groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")), "toxic_texts")
-    counts = materialize(word_counts(rows.join(F.broadcast(once), ["doc_id", "text_hash"]).select("text", "label")), "words")
-    found = log_ratios(counts).orderBy(F.desc(F.abs("ratio")), "word").limit(model_words).toPandas().sort_values("word")
-    model = spark.sparkContext.broadcast((found["word"].to_numpy(np.int64), found["ratio"].to_numpy(np.float64)))
-    measured = materialize(rows.mapInArrow(_measured(model), "doc_id bigint, text_hash bigint, fold bigint, evidence double"), "evidence")
-    slope, intercept = _curve(measured.where(F.col("fold") == CALIBRATION).join(learned, "doc_id").select("label", "evidence"))
+    counts = materialize(word_counts(rows.join(once, ["doc_id", "text_hash"]).select("text", "label")), "words")
+    measured = materialize(evidence(rows, materialize(log_ratios(counts), "word_ratios")), "evidence")
+    calibrating = bounded(learned.where(bucket_of(F.col("doc_id"), 4) == CALIBRATION), fit_rows)
+    slope, intercept = _curve(measured.where(F.col("fold") == CALIBRATION).join(calibrating, "doc_id").select("label", "evidence"))
     score = 1 / (1 + F.exp(-(F.col("evidence") * slope + intercept)))
     return measured.select("doc_id", "text_hash", (F.col("fold") == HELD_OUT).alias("held_out"), "evidence", score.alias("score")).withColumn(
         "predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0)

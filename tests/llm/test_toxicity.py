@@ -88,3 +88,19 @@ def test_one_class_no_labels_no_rows(spark):
     assert len({r["score"] for r in t.score_toxicity(d, lab.where("toxic = 0")).collect()}) == 1
     assert {r["score"] for r in t.score_toxicity(d, lab.limit(0)).collect()} == {0.5}
     assert t.score_toxicity(d.limit(0), lab).count() == 0
+
+
+def test_words_are_counted_on_rows_beyond_the_bound_of_the_curve(spark):
+    docs, labels = corpus(200)
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string, source string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    all_rows, few = ({r["doc_id"]: r["evidence"] for r in t.score_toxicity(d, lab, n).collect()} for n in (t.FIT_ROWS, 5))
+    assert any(all_rows.values()) and all(few[i] == pytest.approx(v) for i, v in all_rows.items())
+
+
+def test_evidence_joins_any_number_of_words_by_key(spark):
+    keys = t.WordKeys()
+    docs = [(1, "vile vile day"), (2, None), (3, ""), (None, "vile"), (None, "vile"), (4, "calm day")]
+    rows = spark.createDataFrame([(i, n, 0, x or "") for n, (i, x) in enumerate(docs)], "doc_id long, text_hash long, fold long, text string")
+    ratios = spark.createDataFrame([(keys["vile"], 3.0), (keys["calm"], -1.0), *((k, 9.0) for k in range(1000))], "word long, ratio double")
+    got = {r["text_hash"]: r["evidence"] for r in t.evidence(rows, ratios).collect()}
+    assert got == {0: 2.0, 1: 0.0, 2: 0.0, 3: 3.0, 4: 3.0, 5: -0.5}
