@@ -2,7 +2,7 @@
 
 Notices are indexed by the places of their telling words. One pass over the texts keeps the places of
 those words and of the phrases below; the number of documents with a word gives its inverse
-document frequency. The highest-ranking words of a file are looked up in the index; entries that
+document frequency. Every telling word of a file is looked up in the index; entries that
 agree on the relative position of file and notice are added up; a notice is labelled when enough of
 its weight meets at one position and its mandatory phrase stands there.
 """
@@ -45,8 +45,8 @@ NOTICES = [
 # Words too common to look a notice up by.
 COMMON = set("a all and any are as be by for in into is it may not of or that the this to under use with without you 0 2 3 4 v".split())
 
-#: Words of a file that are looked up, the rarest first.
-LOOKED_UP = 12
+#: Words of a file that are looked up, the rarest first; None: all of them, so that a file may hold many notices.
+LOOKED_UP = None
 #: Share of a notice's weight that has to meet at one relative position.
 MIN_WEIGHT = 0.3
 
@@ -103,10 +103,8 @@ def aligned(found: DataFrame, idf: dict[str, float], spark: SparkSession) -> Dat
 
     ``weight`` is the best share of the notice's weight at one relative position.
     """
-    table = F.create_map(*(x for w in VOCABULARY for x in (F.lit(w), F.lit(idf[w]))))
-    ranked = F.sort_array(F.transform(F.array_distinct("hits.word"), lambda w: F.struct(F.element_at(table, w).alias("idf"), w.alias("word"))), asc=False)
-    with_hits = found.where(F.size("phrases") > 0).withColumn("rare", F.slice(F.filter(ranked, lambda r: r["idf"].isNotNull()), 1, LOOKED_UP)["word"])
-    looked_up = with_hits.select("doc_id", "text_hash", F.explode(F.filter("hits", lambda h: F.array_contains("rare", h["word"]))).alias("hit"))
+    with_hits = found.where(F.size("phrases") > 0)
+    looked_up = with_hits.select("doc_id", "text_hash", F.explode("hits").alias("hit"))
     full = {n: sum(idf[w] for w, m, _ in POSTINGS if m == n) for n in range(len(NOTICES))}
     index = spark.createDataFrame([(w, n, place, idf[w] / full[n]) for w, n, place in POSTINGS], "word string, notice int, at int, share double")
     entries = looked_up.select("doc_id", "text_hash", F.col("hit.word").alias("word"), F.col("hit.place").alias("place")).distinct().join(F.broadcast(index), "word")

@@ -75,3 +75,13 @@ def test_equals_plain(spark):
 
 def test_empty(spark):
     assert lic.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_many_notices_in_one_file(spark):
+    mit, gpl = lic.NOTICES[1], lic.NOTICES[5]
+    both = mit[2] + " " + "filler " * 20 + gpl[2]
+    # the words of the second notice are common in the corpus, those of the first are not
+    rows = [(0, both)] + [(i, gpl[2]) for i in range(1, 30)] + [(100, " x ".join(text for *_, text in lic.NOTICES))]
+    got = {r["doc_id"]: r["labels"] for r in lic.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == "gpl-3,mit"
+    assert set(got[100].split(",")) == {label for label, *_ in lic.NOTICES}
