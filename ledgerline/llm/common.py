@@ -23,3 +23,21 @@ def text_hash(text: Column) -> Column:
 def bucket_of(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+#: A key is hot when it holds more than one row in this many; so there are at most this many hot keys.
+HOT_KEYS = 1000
+
+
+def attach(rows: DataFrame, side: DataFrame, key: list[str], n: str = "n") -> DataFrame:
+    """Inner join of ``rows`` with ``side``, which has one row a key and counts in ``n`` its rows in ``rows``.
+
+    Keys with more than one row in ``HOT_KEYS`` are broadcast, of which no more than ``HOT_KEYS`` can exist
+    at any size; all others meet by a shuffle in which no key weighs more than that share. Keys are not null.
+    ``side`` should be stored, as it is read more than once.
+    """
+    total = side.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * HOT_KEYS > F.lit(total)
+    by_broadcast = rows.join(F.broadcast(side.where(hot)), key)
+    rest = rows.join(F.broadcast(side.where(hot).select(*key)), key, "left_anti")
+    return by_broadcast.unionByName(rest.join(side.where(~hot), key))
