@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, decontaminate, exact_dedup, licenses, line_dedup, packing, quality_model, quality_rules, secrets, simhash, toxicity
+from ledgerline.llm import chat, conversation_repair, decontaminate, exact_dedup, licenses, line_dedup, packing, quality_model, quality_rules, secrets, simhash, toxicity
 from ledgerline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,10 @@ FROM (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTU
       FROM documents) AS digests
 WINDOW same AS (PARTITION BY text_sha256)
 """
+
+
+@_query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, its cheapest repair and the digest of the result."""
+    turns = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.report(conversation_repair.repair(turns, dropped="dropped"))
