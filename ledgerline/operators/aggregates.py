@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators.joins import checked_broadcast
+from ledgerline.operators.linear import pairwise_moments
 from ledgerline.operators.quantiles import grouped_quantiles
 from ledgerline.operators.windows import quarter_grid, scalar_struct
+from ledgerline.session import materialize
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
@@ -24,54 +27,69 @@ def date_mean(df: DataFrame, columns: Iterable[str], date: str = "date") -> Data
 
 
 def date_profile(df: DataFrame, column: str, date: str = "date") -> DataFrame:
-    """Mean, median and quartiles of a variable per date."""
-    means = df.groupBy(date).agg(F.avg(column).alias("mean"))
-    return means.join(grouped_quantiles(df, [date], column, QUARTILES, few_groups=True), date, "left")
+    """Mean, median and quartiles of a variable per date; a date without a value has none.
+
+    ``df`` is read once, to store the two columns; the mean comes from the first counting pass.
+    """
+    stored = materialize(df.select(date, F.col(column).cast("double").alias(column)), "profile")
+    stats = grouped_quantiles(stored, [date], column, QUARTILES, moments=True).select(date, "mean", *QUARTILES)
+    return stored.select(date).distinct().join(checked_broadcast(stats), date, "left")
 
 
 def quantile_bands(df: DataFrame, columns: Sequence[str], date: str = "date") -> DataFrame:
-    """Quartiles per date of several columns side by side, named ``{column}_q25`` and so on."""
-    long = unpivot(df, [date], columns)
-    bands = grouped_quantiles(long, [date, "variable"], "value", QUARTILES, few_groups=True)
+    """Quartiles per date of several columns side by side, named ``{column}_q25`` and so on; reads ``df`` once."""
+    long = unpivot(_stored(df, [date], columns), [date], columns)
+    bands = grouped_quantiles(long, [date, "variable"], "value", QUARTILES)
     cells = [
         F.max(F.when(F.col("variable") == c, F.col(q))).alias(f"{c}_{q}") for c in columns for q in QUARTILES
     ]
     return bands.groupBy(date).agg(*cells)
 
 
+def _stored(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The columns a statistic needs, stored, so that its passes do not compute them again."""
+    return materialize(df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]), "statistic")
+
+
 def unpivot(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     doubles = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
     return doubles.unpivot(list(keys), list(columns), "variable", "value")
 
 
 def describe_by_variable(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, std (n-1), min, quartiles and max per variable."""
-    basic = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    # The plain statistics come from one aggregate over the wide rows; only quantiles need long rows.
-    wide = df.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in basic.items()])
-    cells = [F.struct(F.lit(c).alias("variable"), *[F.col(f"{n}_{i}").alias(n) for n in basic]) for i, c in enumerate(columns)]
-    stats = wide.select(F.inline(F.array(*cells))).filter(F.col("count") > 0)
-    quartiles = grouped_quantiles(unpivot(df, [], columns), ["variable"], "value", QUARTILES, few_groups=True)
-    return stats.join(quartiles, "variable")
+    """count, mean, std (n-1), min, quartiles and max per variable that has a value.
+
+    ``df`` is read once, to store the columns; everything but the quartiles comes from the first
+    of the counting passes.
+    """
+    long = unpivot(_stored(df, [], columns), [], columns)
+    stats = grouped_quantiles(long, ["variable"], "value", QUARTILES, moments=True)
+    return stats.select("variable", F.col("n").alias("count"), "mean", "std", "min", *QUARTILES, "max")
 
 
 def correlation_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of all pairs over the rows where both are known, as (var_a, var_b, r)."""
-    pairs = list(combinations(columns, 2))
-    one = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    cells = [F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
-    upper = one.select(F.inline(F.array(*cells)))
-    mirrored = upper.select(
-        F.inline(F.array(F.struct("var_a", "var_b", "r"), F.struct(F.col("var_b").alias("var_a"), F.col("var_a").alias("var_b"), "r")))
-    )
-    known = df.agg(*[F.when(F.min(c) < F.max(c), F.lit(1.0)).alias(c) for c in columns])
-    diagonal = known.select(F.inline(F.array(*[F.struct(F.lit(c).alias("var_a"), F.lit(c).alias("var_b"), F.col(c).alias("r")) for c in columns])))
-    return mirrored.unionByName(diagonal)
+    """Pearson correlation of all pairs over the rows where both are known, as (var_a, var_b, r).
+
+    The rows are read twice: for the means, about which nothing is lost to rounding, and for the
+    cross products of values and of marks of known values, which hold the statistics of all pairs in
+    one matrix product a batch. What comes to the driver depends on the columns only. A pair without
+    two rows or without spread has no correlation, a variable with spread 1 with itself.
+    """
+    columns = list(columns)
+    moments = pairwise_moments(df, columns)
+    r = moments.correlations()
+    rows = [(a, b, None if np.isnan(r[i, j]) else float(r[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "var_a string, var_b string, r double")
 
 
 def distinct_counts(df: DataFrame, *columns: str) -> DataFrame:
-    """Number of distinct values of each column, each counted on its own pre-aggregated key set."""
-    return df.agg(*[F.count_distinct(c).alias(f"n_{c}") for c in columns])
+    """Number of distinct values of each column, NULL not among them.
+
+    Each column is read by itself (pruned to that column) and reduced to its keys on the map side; several
+    distinct counts in one aggregate would repeat every row for each of them.
+    """
+    counts = [df.select(c).filter(F.col(c).isNotNull()).distinct().agg(F.count(F.lit(1))).scalar().alias(f"n_{c}") for c in columns]
+    return df.sparkSession.range(1).select(*counts)
 
 
 def average_dates_per_entity(df: DataFrame) -> DataFrame:
@@ -85,11 +103,8 @@ def global_moments(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 
 def global_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, float]) -> DataFrame:
-    return grouped_quantiles(unpivot(df, [], columns), ["variable"], "value", probs, few_groups=True)
-
-
-def rows_per_date(df: DataFrame, date: str = "date", name: str = "rows") -> DataFrame:
-    return df.groupBy(date).agg(F.count("*").alias(name))
+    """Quantiles of several columns, one row a column; ``df`` is read once, to store the columns."""
+    return grouped_quantiles(unpivot(_stored(df, [], columns), [], columns), ["variable"], "value", probs)
 
 
 def multi_event_entities(df: DataFrame, event: str = "failed") -> DataFrame:

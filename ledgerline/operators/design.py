@@ -5,20 +5,19 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.config import PanelConfig
 from ledgerline.functions import scalars as S
+from ledgerline.operators import preprocess
+from ledgerline.operators.preprocess import EPSILON
 from ledgerline.operators.sample import smallest_keys
-from ledgerline.operators.windows import ar_lags, feature_lags, lead_target
+from ledgerline.operators.windows import ar_lags, by_entity, feature_lags, lead_target
 from ledgerline.session import materialize
 
 TRAIN, TEST = "train", "test"
 ENTITY = "bank_id"  # the category of entity effects
-# Doubles carry about 16 digits; a spread below this share of the mean is rounding noise.
-EPSILON = 2.220446049250313e-16
 
 
 def date_cut(df: DataFrame, test_split: float | str) -> Column:
@@ -81,10 +80,7 @@ def one_hot(df: DataFrame, column: str, levels: Sequence[str], prefix: str = "ca
 
 def one_hot_vector(df: DataFrame, column: str, prefix: str = "cat__") -> DataFrame:
     """All train levels as one sparse vector column, whatever their number; an unseen level is all zeros."""
-    index = StringIndexer(inputCol=column, outputCol="_index", handleInvalid="keep", stringOrderType="alphabetAsc")
-    indexed = index.fit(df.filter((F.col("split") == TRAIN) & F.col(column).isNotNull())).transform(df)
-    # The last index stands for levels unseen in training and is the one dropped.
-    return OneHotEncoder(inputCol="_index", outputCol=f"{prefix}{column}").fit(indexed).transform(indexed).drop("_index", column)
+    return preprocess.level_encoder(df.filter(F.col("split") == TRAIN), column, f"{prefix}{column}").transform(df).drop("_index", column)
 
 
 def quarter_effect(date: str = "date") -> Column:
@@ -100,10 +96,7 @@ def horizon_dataset(panel: DataFrame, target: str, horizon: int, cfg: PanelConfi
 
     All offsets share one window over the entity, so the plan has a single shuffle of the panel.
     """
-    base = panel.select("id", "date", *dict.fromkeys([target, *numeric, *categorical]))
-    lags = cfg.lags if cfg.include_lags else 0
-    base, ar_names = ar_lags(base, target, lags)
-    base = base.na.drop(how="any", subset=[target, *ar_names])
+    base, ar_names = _with_own_lags(panel, target, cfg.lags if cfg.include_lags else 0, numeric, categorical)
     if cfg.split_dimension == "date":
         base = split_by_date(base, cfg.test_split)
     else:
@@ -114,17 +107,29 @@ def horizon_dataset(panel: DataFrame, target: str, horizon: int, cfg: PanelConfi
     return base.select("id", "date", "split", "label", *sorted(features)).na.drop(how="any")
 
 
-def scale_and_encode(dataset: DataFrame, categorical: Sequence[str] = ()) -> DataFrame:
-    """Scaled numeric and one-hot categorical columns next to the keys, split and label.
+def _with_own_lags(panel: DataFrame, target: str, lags: int, numeric: Sequence[str], categorical: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The columns of a design with the target's own lags, where these and the target are known."""
+    base = panel.select("id", "date", *dict.fromkeys([target, *numeric, *categorical]))
+    base, ar_names = ar_lags(base, target, lags)
+    return base.na.drop(how="any", subset=[target, *ar_names]), ar_names
+
+
+def scoring_rows(panel: DataFrame, target: str, horizon: int, cfg: PanelConfig, numeric: Sequence[str], categorical: Sequence[str] = ()) -> DataFrame:
+    """Unscaled design rows of a panel no split is made of: keys, ``label`` and features.
 
-    The entity effect has as many levels as there are entities and becomes one sparse vector column.
+    The features of a row are those of :func:`horizon_dataset`; the label is the target ``horizon`` rows
+    ahead and NULL where that is not known yet, which is where a forecast is wanted.
     """
-    keys = ("id", "date", "split", "label")
-    numeric = [c for c in dataset.columns if c not in keys and c not in categorical]
-    out = standard_scale(dataset, numeric)
-    for c in categorical:
-        out = one_hot_vector(out, c) if c == ENTITY else one_hot(out, c, train_levels(dataset, c))
-    return out
+    base, ar_names = _with_own_lags(panel, target, cfg.lags if cfg.include_lags else 0, numeric, categorical)
+    base = base.withColumn("label", F.lead(target, horizon).over(by_entity()))
+    base, lag_names = feature_lags(base, numeric, cfg.lags)
+    features = sorted([*categorical, *numeric, *lag_names, *ar_names])
+    return base.select("id", "date", "label", *features).na.drop(how="any", subset=features)
+
+
+def scale_and_encode(dataset: DataFrame, categorical: Sequence[str] = ()) -> DataFrame:
+    """Scaled numeric and encoded categorical columns next to the keys, split and label."""
+    return preprocess.fit(dataset, categorical).apply(dataset)
 
 
 def feature_columns(matrix: DataFrame) -> list[str]:
@@ -156,5 +161,3 @@ def fold_rows(train: DataFrame, folds: DataFrame) -> DataFrame:
     marked = train.withColumn("_folds", per_fold).select(*train.columns, F.inline("_folds"))
     role = F.when(d <= F.col("train_end"), F.lit(TRAIN)).when(d.between(F.col("test_start"), F.col("test_end")), F.lit(TEST))
     return marked.withColumn("role", role).filter(F.col("role").isNotNull()).drop("train_end", "test_start", "test_end")
-
-

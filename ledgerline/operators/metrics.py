@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
@@ -29,27 +29,34 @@ def regression_metrics(predictions: DataFrame, keys: Sequence[str] = (*RUN_KEYS,
 
 
 def voting_ensemble(predictions: DataFrame, members: Sequence[str], name: str = "VotingEnsemble") -> DataFrame:
-    """Unweighted mean of the member predictions; runs with fewer than two members have none."""
+    """Unweighted mean of the member predictions (one a model and row); rows with fewer than two have none."""
     keys = ["target", "horizon", "split", "id", "date"]
     mean = (
         predictions.filter(F.col("model").isin(list(members)))
         .groupBy(*keys)
-        .agg(F.max("label").alias("label"), F.avg("prediction").alias("prediction"), F.count_distinct("model").alias("_m"))
+        .agg(F.max("label").alias("label"), F.avg("prediction").alias("prediction"), F.count(F.lit(1)).alias("_m"))
     )
     return mean.filter(F.col("_m") >= 2).drop("_m").withColumn("model", F.lit(name))
 
 
 def split_characteristics(rows: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
-    """Entities, dates and rows of the train and test split side by side, and all entities."""
-    cells = []
-    for split in ("train", "test"):
-        here = F.col("split") == split
-        cells += [
-            F.count_distinct(F.when(here, F.col("id"))).alias(f"{split}_entities"),
-            F.count_distinct(F.when(here, F.col("date"))).alias(f"{split}_dates"),
-            F.count(F.when(here, F.lit(1))).alias(f"{split}_rows"),
-        ]
-    return rows.groupBy(*keys).agg(*cells, F.count_distinct("id").alias("total_entities"))
+    """Entities, dates and rows of the train and test split side by side, and all entities.
+
+    Rows are first counted by entity and by date, combined on the map side; what is distinct is then
+    counted by being there, so no row is repeated for the sake of another distinct count.
+    """
+    splits = ("train", "test")
+    in_split = [F.count(F.when(F.col("split") == s, F.lit(1))).alias(f"_{s}") for s in splits]
+
+    def present(column: str, name: str) -> list[Column]:
+        return [F.count(F.when(F.col(f"_{s}") > 0, F.col(column))).alias(f"{s}_{name}") for s in splits]
+
+    by_id = rows.groupBy(*keys, "id").agg(*in_split).groupBy(*keys).agg(
+        *present("id", "entities"), *[F.sum(f"_{s}").alias(f"{s}_rows") for s in splits], F.count("id").alias("total_entities")
+    )
+    by_date = rows.filter(F.col("date").isNotNull()).groupBy(*keys, "date").agg(*in_split).groupBy(*keys).agg(*present("date", "dates"))
+    columns = [f"{s}_{c}" for s in splits for c in ("entities", "dates", "rows")]
+    return by_id.join(by_date, list(keys), "left").na.fill(0, [f"{s}_dates" for s in splits]).select(*keys, *columns, "total_entities")
 
 
 def run_coverage(rows: DataFrame, keys: Sequence[str] = (*RUN_KEYS, "split"), value: str = "label") -> DataFrame:

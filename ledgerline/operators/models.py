@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from itertools import product
@@ -16,27 +16,40 @@ from pyspark.ml import regression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.operators.design import TEST, TRAIN, expanding_folds, fold_rows
+from ledgerline.operators.design import ENTITY, TEST, TRAIN, expanding_folds, fold_rows
 from ledgerline.operators.linear import (
+    Moments,
+    absorb,
+    absorbed_fit,
     add_moments,
     block_cross_products,
+    coordinate_descent,
     cross_products,
+    elimination_order,
     eliminate_features,
-    fixed_effects,
     linear_prediction,
     moment_error,
     solve,
 )
+from ledgerline.session import materialize
 
 MEAN, OLS, EFFECTS = "DummyRegressor", "LinearRegression", "FixedEffectsLR"
 LASSO, RIDGE, ELASTIC = "Lasso", "Ridge", "ElasticNet"
 TREE, FOREST, BOOSTED = "DecisionTree", "RandomForest", "BoostedTrees"
+ENSEMBLE = "VotingEnsemble"
 ENSEMBLE_MEMBERS = tuple(m + s for m in (BOOSTED, FOREST, TREE) for s in ("", "_RFE"))
 DEFAULT_MODELS = (OLS, RIDGE, TREE, FOREST, BOOSTED)
 MAX_DEPTH = 30  # the deepest tree Spark ML grows
+#: Leaves of all trees of a model together: trees grow with the rows up to here, then leaves hold more rows.
+MODEL_LEAVES = 1_000_000
+#: Candidate splits of a feature. Each task keeps statistics of nodes x features x bins; more bins than
+#: the default 32 bring splits nearer to the exact ones that single-machine trees find.
+MAX_BINS = 64
+#: Share of the train dates, the last ones, on which a boosted model's rounds are judged in a run.
+VALIDATION = 0.1
 
 # Search ranges ("u" uniform on [low, high], "i" whole numbers low..high).
 RANDOM_RANGES: dict[str, dict[str, tuple[str, float, float]]] = {
@@ -80,6 +93,11 @@ def _depth(wanted: int | None, default: int) -> int:
     return default if wanted is None else int(wanted)
 
 
+def smallest_leaf(rows: int, trees: int) -> int:
+    """Rows a leaf must hold so that all trees of a model have at most ``MODEL_LEAVES`` leaves."""
+    return max(1, -(-rows * trees // MODEL_LEAVES))
+
+
 def sparse_features(df: DataFrame, features: Sequence[str]) -> list[str]:
     """Features that are vectors, as entity effects are."""
     return [f for f in features if isinstance(df.schema[f].dataType, VectorUDT)]
@@ -93,7 +111,8 @@ def estimator(model: str, params: dict[str, Any], rows: int, label_std: float, s
     """
     name = base_name(model)
     depth = _depth(params.get("max_depth"), MAX_DEPTH)
-    leaf = int(params.get("min_samples_leaf", 1))
+    trees = int(params.get("n_estimators", 100)) if name in (FOREST, BOOSTED) else 1
+    leaf = max(int(params.get("min_samples_leaf", 1)), smallest_leaf(rows, trees))
     if name in (OLS, RIDGE, LASSO, ELASTIC):
         alpha, reg, mix = float(params.get("alpha", 1.0)), 0.0, 0.0
         if name == RIDGE:
@@ -108,17 +127,17 @@ def estimator(model: str, params: dict[str, Any], rows: int, label_std: float, s
             regParam=reg, elasticNetParam=mix, standardization=False, solver=solver, maxIter=15000, tol=1e-10
         )
     if name == TREE:
-        return DecisionTreeRegressor(maxDepth=depth, minInstancesPerNode=leaf, seed=seed)
+        return DecisionTreeRegressor(maxDepth=depth, minInstancesPerNode=leaf, maxBins=MAX_BINS, seed=seed)
     if name == FOREST:
         # Every split may use every feature, as a bagged forest does.
         return RandomForestRegressor(
-            numTrees=int(params.get("n_estimators", 100)), maxDepth=depth, minInstancesPerNode=leaf,
+            numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, maxBins=MAX_BINS,
             featureSubsetStrategy="all", bootstrap=bool(params.get("bootstrap", True)), seed=seed,
         )
     if name == BOOSTED:
         return GBTRegressor(
-            maxIter=int(params.get("n_estimators", 100)), stepSize=float(params.get("learning_rate", 0.3)),
-            maxDepth=_depth(params.get("max_depth"), 6), minInstancesPerNode=leaf,
+            maxIter=trees, stepSize=float(params.get("learning_rate", 0.3)),
+            maxDepth=_depth(params.get("max_depth"), 6), minInstancesPerNode=leaf, maxBins=MAX_BINS,
             subsamplingRate=float(params.get("subsample", 1.0)),
             featureSubsetStrategy=str(float(params.get("colsample", 1.0))), seed=seed,
         )
@@ -135,6 +154,7 @@ class FittedModel:
     beta: list[float] | None = None
     params: dict[str, Any] = field(default_factory=dict)
     widths: list[int] | None = None  # columns of each feature, where one is a vector
+    level_weight: float | None = None  # absolute coefficients of absorbed levels, added up
 
     def predict(self, df: DataFrame) -> DataFrame:
         if self.constant is not None:
@@ -147,7 +167,7 @@ class FittedModel:
 
     def importances(self) -> list[tuple[str, float]]:
         if self.beta is not None:
-            return list(zip(self.features, self.beta))
+            return list(zip(self.features, [*self.beta, self.level_weight]))
         if self.model is None:
             return []
         values = self.model.featureImportances if hasattr(self.model, "featureImportances") else self.model.coefficients
@@ -160,7 +180,7 @@ class FittedModel:
 
     def save(self, path: str, spark: SparkSession) -> None:
         """Store whatever the model consists of below ``path``; :func:`load` reads it back."""
-        kept = {"name": self.name, "features": self.features, "constant": self.constant, "beta": self.beta, "params": self.params, "widths": self.widths, "kind": type(self.model).__name__ if self.model is not None else None}
+        kept = {"name": self.name, "features": self.features, "constant": self.constant, "beta": self.beta, "params": self.params, "widths": self.widths, "level_weight": self.level_weight, "kind": type(self.model).__name__ if self.model is not None else None}
         spark.createDataFrame([(json.dumps(kept),)], "model string").coalesce(1).write.mode("overwrite").parquet(f"{path}/description")
         if self.model is not None:
             self.model.write().overwrite().save(f"{path}/model")
@@ -168,10 +188,31 @@ class FittedModel:
             self.effects.write.mode("overwrite").parquet(f"{path}/effects")
 
 
-def load(path: str, spark: SparkSession) -> FittedModel:
-    """A model stored by :meth:`FittedModel.save`."""
+@dataclass
+class Ensemble:
+    """Unweighted mean of models that are stored by themselves."""
+
+    members: list[str]  # their paths
+    models: list[FittedModel]
+    name: str = ENSEMBLE
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        names = [f"_member{i}" for i in range(len(self.models))]
+        for name, model in zip(names, self.models):
+            df = model.predict(df).withColumnRenamed("prediction", name)
+        return df.withColumn("prediction", sum(map(F.col, names)) / len(names)).drop(*names)
+
+    def save(self, path: str, spark: SparkSession) -> None:
+        kept = json.dumps({"kind": ENSEMBLE, "members": self.members})
+        spark.createDataFrame([(kept,)], "model string").coalesce(1).write.mode("overwrite").parquet(f"{path}/description")
+
+
+def load(path: str, spark: SparkSession) -> FittedModel | Ensemble:
+    """A model stored by :meth:`FittedModel.save` or :meth:`Ensemble.save`."""
     kept = json.loads(spark.read.parquet(f"{path}/description").first()[0])
     kind = kept.pop("kind")
+    if kind == ENSEMBLE:
+        return Ensemble(kept["members"], [load(m, spark) for m in kept["members"]])
     model = getattr(regression, kind).load(f"{path}/model") if kind else None
     effects = spark.read.parquet(f"{path}/effects") if kept["beta"] is not None else None
     return FittedModel(model=model, effects=effects, **kept)
@@ -188,57 +229,104 @@ def fit(model: str, train: DataFrame, features: Sequence[str], params: dict[str,
         return FittedModel(model, features, constant=mean, params=params)
     sparse = sparse_features(train, features)
     scalars = [f for f in features if f not in sparse]
-    if name == EFFECTS:
-        features = scalars  # the within transform takes the place of the levels
-        beta, effects = fixed_effects(train, features)
-        level = effects.agg(F.avg("effect")).first()[0]
-        return FittedModel(model, features, constant=level, effects=effects, beta=[float(b) for b in beta])
+    if name == EFFECTS or name in (OLS, RIDGE) and sparse == [f"cat__{ENTITY}"]:
+        return _absorbed(model, train, scalars, [] if name == EFFECTS else sparse, params, keep)
     if model.endswith("_RFE"):
         features = [*eliminate_features(cross_products(train, scalars), params.pop("n_features", keep)), *sparse]
-    # Closed forms need a square matrix of all columns; with entity effects the fit is iterative.
+    # Closed forms need a square matrix of all columns; with a sparse vector among them the fit is iterative.
     chosen = estimator(model, params, rows, std, seed, "l-bfgs" if sparse else "normal")
-    fitted = chosen.fit(assemble(train, features).select("features", "label"))
+    matrix = assemble(train, features)
+    if name == BOOSTED and params.get("validation"):
+        fitted = chosen.setValidationIndicatorCol("judges").fit(matrix.select("features", "label", _last_dates(train, float(params["validation"])).alias("judges")))
+    else:
+        fitted = chosen.fit(matrix.select("features", "label"))
     widths = [train.select(f).first()[0].size if f in sparse else 1 for f in features] if sparse else None
     return FittedModel(model, features, model=fitted, params=params, widths=widths)
 
 
+def _last_dates(train: DataFrame, share: float) -> Column:
+    """Marks the rows of the last ``share`` of the dates: rounds are judged by them, and none is fitted on them."""
+    dates = train.agg(F.sort_array(F.collect_set("date"))).scalar()
+    first = F.size(dates) - F.greatest(F.lit(1), F.floor(F.size(dates) * F.lit(share)).cast("int"))
+    return F.when(first > 0, F.col("date") >= F.get(dates, first)).otherwise(F.lit(False))
+
+
+def _absorbed(model: str, train: DataFrame, scalars: list[str], levels: list[str], params: dict[str, Any], keep: int | None) -> FittedModel:
+    """Least squares or ridge with entity levels, of which only sums by entity are taken."""
+    penalty = float(params.get("alpha", 1.0)) if base_name(model) == RIDGE else 0.0
+    absorbed = absorb(train, scalars, penalty=penalty)
+    kept = scalars
+    if model.endswith("_RFE"):
+        within = absorbed if not penalty else absorb(train, scalars)
+        kept = eliminate_features(within.moments(scalars), params.pop("n_features", keep))
+    beta, level, effects = absorbed_fit(absorbed, scalars, kept, penalty)
+    effects = materialize(effects, "entity-effects")
+    weight = effects.agg(F.sum(F.abs(F.col("effect") - F.lit(level)))).first()[0] if levels else None
+    return FittedModel(model, [*kept, *levels], constant=level, effects=effects, beta=[float(b) for b in beta], params=params, level_weight=weight)
+
+
 def random_draws(model: str, n: int, seed: int = 42, n_features: int | None = None) -> list[dict[str, Any]]:
     rng = random.Random(f"{seed}:{model}")
     ranges = dict(RANDOM_RANGES.get(base_name(model), {}))
     if model.endswith("_RFE") and n_features:
-        ranges["n_features"] = ("i", max(1, n_features // 4), n_features)
+        ranges["n_features"] = ("i", max(1, n_features // 3), n_features)
     pick = {"u": lambda lo, hi: rng.uniform(lo, hi), "i": lambda lo, hi: rng.randint(int(lo), int(hi))}
     return [{k: pick[kind](lo, hi) for k, (kind, lo, hi) in ranges.items()} for _ in range(n)] if ranges else []
 
 
 def grid_points(model: str, n_features: int | None = None) -> list[dict[str, Any]]:
-    """Every point of the grid; with feature selection also a quarter, half, three quarters and all of the features."""
+    """Every point of the grid; with feature selection also a third, two thirds and all of the features."""
     grid = dict(GRIDS.get(base_name(model), {}))
     if model.endswith("_RFE") and n_features:
-        grid["n_features"] = sorted({max(1, n_features * q // 4) for q in (1, 2, 3, 4)})
+        grid["n_features"] = sorted({max(1, n_features * q // 3) for q in (1, 2, 3)})
     return [dict(zip(grid, values)) for values in product(*grid.values())] if grid else []
 
 
-def _moment_scores(model: str, train: DataFrame, features: Sequence[str], candidates: Sequence[dict[str, Any]], folds: int) -> list[float]:
-    """Fold errors of least-squares models from cross products per date block.
+def fold_moments(train: DataFrame, features: Sequence[str], folds: int) -> list[tuple[Moments, Moments]]:
+    """Cross products of the train and the test rows of every expanding date fold.
 
-    The folds are unions of date blocks, so one pass over the rows serves every fold and every
-    candidate; fitting and scoring are then small matrix work.
+    The folds are unions of date blocks, so one pass over the rows serves every fold, every linear
+    model and every candidate; fitting and scoring are then small matrix work.
     """
     bounds = expanding_folds(train, folds).agg(F.sort_array(F.collect_list("test_start"))).scalar()
     marked = train.withColumn("_starts", bounds).withColumn("_block", F.size(F.filter("_starts", lambda d: d <= F.col("date"))))
     blocks = block_cross_products(marked, features, "_block")
-    scores = []
-    for params in candidates:
-        penalty = float(params.get("alpha", 1.0)) if base_name(model) == RIDGE else 0.0
-        errors = []
-        for k in range(1, folds + 1):
-            fit_on = add_moments([blocks[i] for i in range(k)])
-            names = eliminate_features(fit_on, params.get("n_features")) if model.endswith("_RFE") else list(features)
-            keep = [fit_on.features.index(n) for n in names]
-            errors.append(moment_error(blocks[k], *solve(fit_on, keep, penalty), keep))
-        scores.append(sum(errors) / folds)
-    return scores
+    return [(add_moments([blocks[i] for i in range(k)]), blocks[k]) for k in range(1, folds + 1)]
+
+
+def _penalties(model: str, params: dict[str, Any]) -> tuple[float, float]:
+    """(l1, l2) of a candidate for mean squared error / 2."""
+    alpha = float(params.get("alpha", 1.0))
+    l1 = {LASSO: 1.0, ELASTIC: float(params.get("l1_ratio", 0.5))}.get(base_name(model), 0.0)
+    return alpha * l1, alpha * (1 - l1)
+
+
+def _moment_scores(model: str, moments: Sequence[tuple[Moments, Moments]], candidates: Sequence[dict[str, Any]]) -> list[float]:
+    """Fold errors of linear models from cross products.
+
+    Features are eliminated once a fold, for all counts. Sparse penalties are solved along their path:
+    from strong to weak, each from the solution before it.
+    """
+    errors = np.zeros(len(candidates))
+    selecting = model.endswith("_RFE")
+    path = sorted(range(len(candidates)), key=lambda i: (candidates[i].get("n_features", 0), candidates[i].get("l1_ratio", 0.0), -candidates[i].get("alpha", 1.0)))
+    for fit_on, test_on in moments:
+        n = len(fit_on.features)
+        order = elimination_order(fit_on) if selecting else list(fit_on.features)
+        start, before = None, None
+        for i in path:
+            params = candidates[i]
+            wanted = min(params.get("n_features", max(1, n // 2)), n) if selecting else n
+            names = set(order[n - wanted :])
+            keep = [j for j, f in enumerate(fit_on.features) if f in names]
+            if base_name(model) in (LASSO, ELASTIC):
+                l1, l2 = _penalties(model, params)
+                solved = coordinate_descent(fit_on, l1, l2, keep, start if before == keep else None)
+                start, before = solved[0], keep
+            else:
+                solved = solve(fit_on, keep, float(params.get("alpha", 1.0)) if base_name(model) == RIDGE else 0.0)
+            errors[i] += moment_error(test_on, *solved, keep)
+    return [float(e) for e in errors / len(moments)]
 
 
 def _fitted_scores(model: str, train: DataFrame, features: Sequence[str], candidates: Sequence[dict[str, Any]], folds: int, seed: int, parallelism: int) -> list[float]:
@@ -258,17 +346,21 @@ def _fitted_scores(model: str, train: DataFrame, features: Sequence[str], candid
         return list(pool.map(inheritable_thread_target(train.sparkSession)(score), candidates))
 
 
-def param_search(model: str, train: DataFrame, features: Sequence[str], candidates: Sequence[dict[str, Any]], folds: int = 3, seed: int = 42, parallelism: int = 4) -> tuple[FittedModel, list[dict[str, Any]]]:
+def param_search(
+    model: str, train: DataFrame, features: Sequence[str], candidates: Sequence[dict[str, Any]], folds: int = 3, seed: int = 42, parallelism: int = 4,
+    moments: Callable[[], list[tuple[Moments, Moments]]] | None = None,
+) -> tuple[FittedModel, list[dict[str, Any]]]:
     """Score candidates by mean squared error over expanding date folds and refit the best on all rows.
 
-    Falls back to the default parameters when there is nothing to search, too few dates, or a
-    constant label. ``train`` should be a stored table, as it is read repeatedly.
+    Falls back to the default parameters (and returns no scores) when there is nothing to search, too
+    few dates, or a constant label. ``train`` should be a stored table, as it is read repeatedly;
+    ``moments`` gives the fold moments of its features if they are already known.
     """
     stats = train.agg(F.count("*"), F.count_distinct("date"), F.min("label") < F.max("label")).first()
     if not candidates or stats[0] < 2 * folds or stats[1] < folds + 1 or not stats[2]:
         return fit(model, train, features, seed=seed), []
-    if base_name(model) in (OLS, RIDGE) and not sparse_features(train, features):
-        scores = _moment_scores(model, train, features, candidates, folds)
+    if base_name(model) in (OLS, RIDGE, LASSO, ELASTIC) and not sparse_features(train, features):
+        scores = _moment_scores(model, moments() if moments else fold_moments(train, features, folds), candidates)
     else:
         scores = _fitted_scores(model, train, features, candidates, folds, seed, parallelism)
     scored = [{"params": p, "mse": s} for p, s in zip(candidates, scores)]

@@ -11,8 +11,8 @@ from ledgerline.config import PanelConfig
 from ledgerline.functions import scalars as S
 from ledgerline.operators import clean
 from ledgerline.operators.joins import BROADCAST_ROWS
-from ledgerline.operators.quantiles import grouped_quantiles, order_statistics
-from ledgerline.operators.aggregates import unpivot
+from ledgerline.operators.aggregates import global_quantiles
+from ledgerline.operators.quantiles import order_statistics
 from ledgerline.operators.windows import abs_change_filter, scalar_struct
 
 
@@ -93,7 +93,7 @@ def winsorize(df: DataFrame, columns: Iterable[str], lower: float, upper: float)
     columns = [c for c in columns if c in numeric]
     if not columns:
         return df
-    limits = grouped_quantiles(unpivot(df, [], columns), ["variable"], "value", {"lo": lower, "hi": upper}, few_groups=True)
+    limits = global_quantiles(df, columns, {"lo": lower, "hi": upper})
     b = scalar_struct(
         limits,
         **{f"{c}_{e}": F.max(F.when(F.col("variable") == c, F.col(e))) for c in columns for e in ("lo", "hi")},

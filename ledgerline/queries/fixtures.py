@@ -69,6 +69,24 @@ PANEL_SQL = (
 )
 
 
+NEW_PANEL_SUMS = ("total_assets", "total_deposits", "total_equity", "net_income")
+
+
+def new_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """Panel of other entities with the same measures: customers x quarters of the ship date."""
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.groupBy(
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("id"), F.expr("cast(date_trunc('quarter', l_shipdate) as date)").alias("date")
+    ).agg(*[F.expr(f"round(sum({PANEL_SUMS[n]}), 4)").alias(n) for n in NEW_PANEL_SUMS])
+
+
+NEW_PANEL_SQL = (
+    "new_panel AS (SELECT 'c' || CAST(o_custkey AS VARCHAR) AS id, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS date, "
+    + ", ".join(f"round(sum({PANEL_SUMS[n]}), 4) AS {n}" for n in NEW_PANEL_SUMS)
+    + " FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
+)
+
+
 # --- sparse panel of customers -----------------------------------------------------------
 
 
@@ -293,6 +311,31 @@ def land_archives(spark: SparkSession, sf: str, root: str) -> None:
     lines.groupBy("path").applyInPandas(_packer(root if "://" in root or root.startswith("file:") else f"file://{root}"), "path string").write.format("noop").mode("overwrite").save()
 
 
+def _report_packer(root: str):
+    def pack(lines: pd.DataFrame) -> pd.DataFrame:
+        """Write the members of one report archive, and beside each fourth quarter's an archive that is damaged."""
+        ordered = lines.sort_values(["member_no", "line_no"])
+        members = {m: ("\n".join(part) + "\n").encode() for m, part in ordered.groupby("member", sort=False)["line"]}
+        system, folder = fs.FileSystem.from_uri(root)
+        system.create_dir(folder, recursive=True)
+        name = lines["archive"].iloc[0]
+        files = {name: _zipped(members)}
+        if name.endswith("1231.zip"):
+            files[f"Broken {name}"] = b"not an archive, but long enough to look for a directory in"
+        for file, content in files.items():
+            with system.open_output_stream(f"{folder}/{file}") as out:
+                out.write(content)
+        return pd.DataFrame({"path": [name]})
+
+    return pack
+
+
+def land_reports(spark: SparkSession, sf: str, root: str) -> None:
+    """Write the report lines as zip files below ``root``, an archive per quarter; Spark tasks write the files."""
+    target = root if "://" in root or root.startswith("file:") else f"file://{root}"
+    report_lines(spark, sf).groupBy("archive").applyInPandas(_report_packer(target), "path string").write.format("noop").mode("overwrite").save()
+
+
 def _pack_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """An archive per batch: names with an even key in a Latin-1 member, the others in a UTF-8 one."""
     for number, batch in enumerate(batches):
@@ -310,6 +353,7 @@ def packed_names(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL = {
     "panel": PANEL_SQL,
+    "new_panel": NEW_PANEL_SQL,
     "thin": THIN_SQL,
     "macro": MACRO_SQL,
     "macro_long": MACRO_LONG_SQL,

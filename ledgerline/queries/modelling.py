@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ledgerline.config import PanelConfig
 from ledgerline.functions import scalars as S
 from ledgerline.operators import aggregates as A
-from ledgerline.operators import design, linear, metrics, models, sample
+from ledgerline.operators import design, linear, metrics, models, preprocess, sample
 from ledgerline.plans import training
-from ledgerline.plans.panel import prepare_panel
+from ledgerline.plans.panel import PreparedPanel, prepare_panel
 from ledgerline.queries import fixtures as fx
 from ledgerline.queries.registry import query
 from ledgerline.session import materialize, scratch_path
@@ -301,13 +301,32 @@ def batch_score(spark, sf):
     return models.predictions(fitted, rows, "roa", 1)
 
 
-@query(
-    "fixed_effects_ols", "id slope:6 effect:6", "panel", _XY,
-    """SELECT id, slope, avg(label) - slope * avg(x1) AS effect FROM xy, (SELECT sum((label - ym) * (x1 - xm)) / sum((x1 - xm) * (x1 - xm)) AS slope FROM
-       (SELECT *, avg(label) OVER (PARTITION BY id) AS ym, avg(x1) OVER (PARTITION BY id) AS xm FROM xy WHERE split = 'train')) WHERE split = 'train' GROUP BY id, slope""",
-)
+def _within(rows: str, a: str, b: str) -> str:
+    """Slopes of two features and entity levels: least squares on what is left of entity means."""
+    return f"""dev AS (SELECT label - avg(label) OVER w AS y, {a} - avg({a}) OVER w AS u, {b} - avg({b}) OVER w AS v FROM {rows} WHERE split = 'train' WINDOW w AS (PARTITION BY id)),
+dev_sums AS (SELECT sum(u * u) AS uu, sum(v * v) AS vv, sum(u * v) AS uv, sum(u * y) AS uy, sum(v * y) AS vy FROM dev),
+within_fit AS (SELECT (uy * vv - vy * uv) / (uu * vv - uv * uv) AS w1, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS w2 FROM dev_sums),
+levels AS (SELECT id, avg(label) - w1 * avg({a}) - w2 * avg({b}) AS effect, w1, w2 FROM {rows}, within_fit WHERE split = 'train' GROUP BY id, w1, w2)"""
+
+
+@query("fixed_effects_ols", "id slope:6 slope_2:6 effect:6", "panel", _XY, _within("xy", "x1", "x2"), "SELECT id, w1 AS slope, w2 AS slope_2, effect FROM levels")
 def fixed_effects_ols(spark, sf):
-    beta, effects = linear.fixed_effects(_train(_xy(spark, sf)), ["x1"])
+    beta, effects = linear.fixed_effects(_train(_xy(spark, sf)), ["x1", "x2"])
+    return effects.withColumns({"slope": F.lit(float(beta[0])), "slope_2": F.lit(float(beta[1]))})
+
+
+# With a penalty a on slope and levels alike, a level is its summed residual over its rows plus a.
+_EFFECT_RIDGE = """cells AS (SELECT id, label, (x1 - m1) / sqrt(v1) AS x FROM xy, fit WHERE split = 'train'),
+sums AS (SELECT id, count(*) AS n, sum(x) AS x, sum(label) AS y, sum(x * x) AS xx, sum(x * label) AS xy FROM cells GROUP BY id),
+reduced AS (SELECT sum(n - n * n / (n + 25.0)) AS a00, sum(x - n * x / (n + 25.0)) AS a01, sum(xx - x * x / (n + 25.0)) + 25.0 AS a11, sum(y - n * y / (n + 25.0)) AS b0, sum(xy - x * y / (n + 25.0)) AS b1 FROM sums),
+solved AS (SELECT (b0 * a11 - b1 * a01) / (a00 * a11 - a01 * a01) AS c, (b1 * a00 - b0 * a01) / (a00 * a11 - a01 * a01) AS b FROM reduced)"""
+
+
+@query("effects_ridge", "id slope:8 effect:6", "panel", _XY, _EFFECT_RIDGE, "SELECT id, b AS slope, c + (y - n * c - b * x) / (n + 25.0) AS effect FROM sums, solved")
+def effects_ridge(spark, sf):
+    rows = _train(design.standard_scale(_xy(spark, sf), ["x1"]))
+    absorbed = linear.absorb(rows, ["num__x1"], penalty=25.0)
+    beta, _, effects = linear.absorbed_fit(absorbed, ["num__x1"], ["num__x1"], 25.0)
     return effects.withColumn("slope", F.lit(float(beta[0])))
 
 
@@ -338,10 +357,6 @@ def elastic_net(spark, sf):
     return _penalised(spark, sf, models.ELASTIC, {"alpha": 0.001, "l1_ratio": 0.3})
 
 
-_TREE_PARAMS = {
-    models.TREE: {"max_depth": 4, "min_samples_leaf": 5},
-    models.FOREST: {"max_depth": 4, "n_estimators": 8, "min_samples_leaf": 5},
-}
 # Over features with few values a fully grown tree predicts the train mean of every cell; so does every tree of
 # a forest without resampling, and the later trees of a boosted model have nothing left to fit.
 _CELLS = """cells AS (SELECT *, quarter(date) AS q, CAST(id AS BIGINT) % 5 AS g, year(date) % 2 AS y FROM xy),
@@ -393,13 +408,20 @@ def rfe_pair(spark, sf):
     return models.importance_table(spark, [models.fit("LinearRegression_RFE", _train(rows), ["num__x1", "num__x2"], keep=1)])
 
 
-# Ridge over one feature has its fold errors in closed form.
-_RIDGE_FOLDS = """train AS (SELECT date, label, (x1 - m1) / sqrt(v1) AS x FROM xy, fit WHERE split = 'train'),
+# Over one feature the fold errors of penalised models have a closed form.
+_FOLDS = """train AS (SELECT date, label, (x1 - m1) / sqrt(v1) AS x FROM xy, fit WHERE split = 'train'),
 days AS (SELECT list_sort(list(DISTINCT date)) AS ds, len(list(DISTINCT date)) AS n, len(list(DISTINCT date)) // 4 AS b FROM train),
 roles AS (SELECT i AS fold, x, label, CASE WHEN date <= ds[n - (3 - i) * b] THEN 'train' WHEN date BETWEEN ds[n - (3 - i) * b + 1] AND ds[n - (3 - i) * b + b] THEN 'test' END AS role FROM train, days, range(3) t(i)),
-fold_fits AS (SELECT fold, a, avg(x) AS mx, avg(label) AS ml, covar_pop(label, x) * count(*) / (var_pop(x) * count(*) + a) AS slope
-  FROM roles, (VALUES (0.001), (0.01), (0.1), (1), (10), (50), (100)) AS v(a) WHERE role = 'train' GROUP BY fold, a),
-errors AS (SELECT fold, a, avg((label - ml - slope * (x - mx)) * (label - ml - slope * (x - mx))) AS e FROM roles JOIN fold_fits USING (fold) WHERE role = 'test' GROUP BY fold, a)"""
+fold_stats AS (SELECT fold, count(*) AS n, avg(x) AS mx, avg(label) AS ml, covar_pop(label, x) AS c, var_pop(x) AS v FROM roles WHERE role = 'train' GROUP BY fold)"""
+_ERRORS = """errors AS (SELECT fold, model, a, l, avg((label - ml - slope * (x - mx)) * (label - ml - slope * (x - mx))) AS e FROM roles JOIN fold_fits USING (fold) WHERE role = 'test' GROUP BY ALL)"""
+_RIDGE_FOLDS = f"""{_FOLDS},
+fold_fits AS (SELECT fold, 'Ridge' AS model, a, 0 AS l, mx, ml, c * n / (v * n + a) AS slope FROM fold_stats, (VALUES (0.001), (0.01), (0.1), (1), (10), (50), (100)) AS p(a)),
+{_ERRORS}"""
+_SPARSE_FOLDS = f"""{_FOLDS},
+points AS (SELECT 'Lasso' AS model, CAST(a AS DOUBLE) AS a, 1.0 AS l FROM (VALUES (0.0001), (0.001), (0.01), (0.1), (1), (10), (20)) AS p(a) UNION ALL
+  SELECT 'ElasticNet', CAST(a AS DOUBLE), l FROM (VALUES (0.001), (0.01), (0.1), (1), (10)) AS p(a), (VALUES (0.1), (0.3), (0.5), (0.7), (0.9)) AS q(l)),
+fold_fits AS (SELECT fold, model, a, l, mx, ml, sign(c) * greatest(abs(c) - a * l, 0) / (v + a * (1 - l)) AS slope FROM fold_stats, points),
+{_ERRORS}"""
 
 
 @query("ridge_search", "alpha:3 mse:9", "panel", _XY, _RIDGE_FOLDS, "SELECT a AS alpha, avg(e) AS mse FROM errors GROUP BY a")
@@ -409,6 +431,38 @@ def ridge_search(spark, sf):
     return spark.createDataFrame([(float(p["params"]["alpha"]), p["mse"]) for p in scored], "alpha double, mse double")
 
 
+def _searched(spark, rows, features, names):
+    """Scores of the whole grids of several linear models, all from one pass over the rows."""
+    moments = models.fold_moments(rows, features, 3)
+    out = []
+    for name in names:
+        _, scored = models.param_search(name, rows, features, models.grid_points(name, len(features)), moments=lambda: moments)
+        out += [(name, models.params_json(s["params"]), float(s["params"].get("alpha", 0.0)), float(s["params"].get("l1_ratio", 1.0)), s["mse"]) for s in scored]
+    return spark.createDataFrame(out, "model string, params string, alpha double, l1_ratio double, mse double")
+
+
+@query("sparse_search", "model alpha:4 l1_ratio:1 mse:9", "panel", _XY, _SPARSE_FOLDS, "SELECT model, a AS alpha, l AS l1_ratio, avg(e) AS mse FROM errors GROUP BY model, a, l")
+def sparse_search(spark, sf):
+    rows = materialize(_train(design.standard_scale(_xy(spark, sf), ["x1"])), "search-rows")
+    return _searched(spark, rows, ["num__x1"], (models.LASSO, models.ELASTIC))
+
+
+# Ridge over two features: solutions of two equations.
+_PAIR_FOLDS = """train AS (SELECT date, label, (x1 - m1) / sqrt(v1) AS x, (x2 - m2) / sqrt(v2) AS z FROM xy, fit WHERE split = 'train'),
+days AS (SELECT list_sort(list(DISTINCT date)) AS ds, len(list(DISTINCT date)) AS n, len(list(DISTINCT date)) // 4 AS b FROM train),
+roles AS (SELECT i AS fold, x, z, label, CASE WHEN date <= ds[n - (3 - i) * b] THEN 'train' WHEN date BETWEEN ds[n - (3 - i) * b + 1] AND ds[n - (3 - i) * b + b] THEN 'test' END AS role FROM train, days, range(3) t(i)),
+fold_stats AS (SELECT fold, count(*) AS n, avg(x) AS mx, avg(z) AS mz, avg(label) AS ml, covar_pop(label, x) AS cx, covar_pop(label, z) AS cz, covar_pop(x, z) AS xz, var_pop(x) AS vx, var_pop(z) AS vz FROM roles WHERE role = 'train' GROUP BY fold),
+fold_fits AS (SELECT *, n * (cx * (n * vz + a) - cz * n * xz) / d AS bx, n * (cz * (n * vx + a) - cx * n * xz) / d AS bz
+  FROM (SELECT *, (n * vx + a) * (n * vz + a) - n * xz * n * xz AS d FROM fold_stats, (VALUES (0.001, '0.001'), (0.01, '0.01'), (0.1, '0.1'), (1, '1'), (10, '10'), (50, '50'), (100, '100')) AS p(a, t))),
+pair_errors AS (SELECT fold, t, avg(pow(label - ml - bx * (x - mx) - bz * (z - mz), 2)) AS e FROM roles JOIN fold_fits USING (fold) WHERE role = 'test' GROUP BY fold, t)"""
+
+
+@query("param_search", "params mse:10", "panel", _XY, _PAIR_FOLDS, """SELECT '{"alpha": ' || t || '}' AS params, avg(e) AS mse FROM pair_errors GROUP BY t""")
+def param_search(spark, sf):
+    rows = materialize(_train(design.standard_scale(_xy(spark, sf), ["x1", "x2"])), "search-rows")
+    return _searched(spark, rows, ["num__x1", "num__x2"], (models.RIDGE,))
+
+
 _RFE = ["num__" + c for c in _DESIGN_NUM]
 
 
@@ -416,43 +470,159 @@ def _matrix(spark, sf):
     return materialize(design.scale_and_encode(materialize(_design(spark, sf), "design"), ["quarter"]), "matrix")
 
 
-@query("rfe_select", "model feature importance:6")
+@query("param_search_design", "model params mse:8")
+def param_search_design(spark, sf):
+    """All linear models with their whole grids, with and without feature selection, over the design matrix."""
+    names = [m + s for m in (models.OLS, models.RIDGE, models.LASSO, models.ELASTIC) for s in ("", "_RFE")]
+    return _searched(spark, _train(_matrix(spark, sf)), _RFE, names)
+
+
+# Elimination among three standardised features: three equations, then two, by Cramer's rule.
+_THREE = """x3 AS (SELECT id, date, total_loans_and_leases / total_assets AS x3 FROM panel),
+three AS (SELECT corr(label, x1) AS r1, corr(label, x2) AS r2, corr(label, x3) AS r3, corr(x1, x2) AS r12, corr(x1, x3) AS r13, corr(x2, x3) AS r23, stddev_pop(label) AS s FROM xy JOIN x3 USING (id, date) WHERE split = 'train'),
+first_fit AS (SELECT *, r1 * (1 - r23 * r23) - r2 * (r12 - r13 * r23) - r3 * (r13 - r12 * r23) AS d1, r2 * (1 - r13 * r13) - r1 * (r12 - r13 * r23) - r3 * (r23 - r12 * r13) AS d2,
+  r3 * (1 - r12 * r12) - r1 * (r13 - r12 * r23) - r2 * (r23 - r12 * r13) AS d3 FROM three),
+left_two AS (SELECT s, out, CASE out WHEN 1 THEN 2 ELSE 1 END AS i, CASE out WHEN 3 THEN 2 ELSE 3 END AS j, CASE out WHEN 1 THEN r2 ELSE r1 END AS ri, CASE out WHEN 3 THEN r2 ELSE r3 END AS rj,
+  CASE out WHEN 1 THEN r23 WHEN 2 THEN r13 ELSE r12 END AS rij
+  FROM (SELECT *, CASE WHEN abs(d1) <= least(abs(d2), abs(d3)) THEN 1 WHEN abs(d2) <= abs(d3) THEN 2 ELSE 3 END AS out FROM first_fit))"""
+
+
+@query(
+    "rfe_select", "model feature importance:6", "panel", _XY, _THREE,
+    """SELECT 'LinearRegression_RFE' AS model, 'num__x' || CASE WHEN stays THEN i ELSE j END AS feature, s * CASE WHEN stays THEN ri ELSE rj END AS importance
+       FROM (SELECT *, abs(ri - rij * rj) > abs(rj - rij * ri) AS stays FROM left_two)""",
+)
 def rfe_select(spark, sf):
+    third = fx.panel(spark, sf).select("id", "date", S.ratio("total_loans_and_leases", "total_assets").alias("x3"))
+    names = ["x1", "x2", "x3"]
+    rows = _train(design.standard_scale(materialize(_xy(spark, sf).join(third, ["id", "date"]), "xyz"), names))
+    return models.importance_table(spark, [models.fit("LinearRegression_RFE", rows, [f"num__{n}" for n in names])])
+
+
+@query("rfe_select_design", "model feature importance:6")
+def rfe_select_design(spark, sf):
     return models.importance_table(spark, [models.fit("LinearRegression_RFE", _train(_matrix(spark, sf)), _RFE)])
 
 
-@query("feature_importance", "target horizon:i model rank:i feature display importance:6")
-def feature_importance(spark, sf):
+@query("tree_importance", "target horizon:i model rank:i feature display importance:6")
+def tree_importance(spark, sf):
+    """Largest importances of trees and forests of default size over the design matrix."""
     rows = _train(_matrix(spark, sf))
-    fitted = [models.fit(m, rows, _RFE, _TREE_PARAMS.get(m)) for m in (models.TREE, models.FOREST, models.OLS)]
+    fitted = [models.fit(m, rows, _RFE) for m in (models.TREE, models.FOREST)]
     table = models.importance_table(spark, fitted).withColumns({"target": F.lit("roa"), "horizon": F.lit(1)})
     return training.importance_report(table, 5)
 
 
-@query("param_search", "params mse:8")
-def param_search(spark, sf):
-    rows = _train(_matrix(spark, sf))
-    _, scored = models.param_search(models.RIDGE, rows, _RFE, models.grid_points(models.RIDGE))
-    return spark.createDataFrame([(models.params_json(s["params"]), s["mse"]) for s in scored], "params string, mse double")
+@query(
+    "stored_preprocessing", "kind column level mean:6 deviation:6", "panel", _RATIOS, _DESIGN,
+    " UNION ALL ".join(f"SELECT 'numeric' AS kind, '{c}' AS \"column\", NULL AS level, avg({c}) AS mean, stddev_pop({c}) AS deviation FROM design WHERE split = 'train'" for c in _DESIGN_NUM)
+    + " UNION ALL SELECT DISTINCT 'category', 'quarter', quarter, NULL, NULL FROM design WHERE split = 'train'",
+)
+def stored_preprocessing(spark, sf):
+    """What is stored beside a model: statistics and levels of its train rows."""
+    path = scratch_path(spark, "preprocessing")
+    preprocess.fit(materialize(_design(spark, sf), "design"), ["quarter"]).save(path, spark)
+    return preprocess.load(path, spark).table(spark)
 
 
-_RUN_MODELS = (models.MEAN, models.OLS, models.RIDGE, models.EFFECTS, models.TREE, models.FOREST)
-_RUN_DRAWS = 2  # of the random search, for each model
+_METRICS = """count(*) AS n, avg(abs(label - prediction)) AS mae, avg((label - prediction) * (label - prediction)) AS mse, sqrt(avg((label - prediction) * (label - prediction))) AS rmse,
+ 1 - avg((label - prediction) * (label - prediction)) / var_pop(label) AS r2, avg(abs((label - prediction) / nullif(label, 0))) * 100 AS mape"""
+
+
+# --- a stored run ---------------------------------------------------------------------------
+# A study of two features whose linear models have closed forms.
+
+_STUDY_CFG = PanelConfig(targets=("roa",), features={"deposit_ratio": "bank", "equity": "bank"}, include_lags=False, lags=0)
+_STUDY_MODELS = (models.MEAN, models.OLS, models.RIDGE, models.EFFECTS, "LinearRegression_RFE")
+_STUDY = f"""s1 AS (SELECT id, date, roa, deposit_ratio, equity FROM ratios WHERE roa IS NOT NULL),
+s2 AS (SELECT s1.*, CASE WHEN date <= ds[len(ds) - CAST(ceil(len(ds) * 0.2) AS INT)] THEN 'train' ELSE 'test' END AS split FROM s1, {_CUT.format(t='s1')}),
+s3 AS (SELECT *, lead(roa) OVER (PARTITION BY split, id ORDER BY date) AS label FROM s2),
+study AS (SELECT id, date, split, label, deposit_ratio, equity FROM s3 WHERE label IS NOT NULL AND deposit_ratio IS NOT NULL AND equity IS NOT NULL),
+scaling AS (SELECT avg(deposit_ratio) AS m1, stddev_pop(deposit_ratio) AS d1, avg(equity) AS m2, stddev_pop(equity) AS d2 FROM study WHERE split = 'train'),
+scaled AS (SELECT id, date, split, label, (deposit_ratio - m1) / d1 AS x, (equity - m2) / d2 AS z FROM study, scaling),
+mom AS (SELECT count(*) AS n, avg(label) AS my, covar_pop(label, x) AS cx, covar_pop(label, z) AS cz, covar_pop(x, z) AS xz FROM scaled WHERE split = 'train'),
+{_within("scaled", "x", "z")},
+slopes AS (SELECT 'DummyRegressor' AS model, my AS c, 0.0 AS bx, 0.0 AS bz FROM mom UNION ALL
+  SELECT 'LinearRegression', my, (cx - cz * xz) / (1 - xz * xz), (cz - cx * xz) / (1 - xz * xz) FROM mom UNION ALL
+  SELECT 'Ridge', my, n * (cx * (n + 1) - cz * n * xz) / ((n + 1) * (n + 1) - n * xz * n * xz), n * (cz * (n + 1) - cx * n * xz) / ((n + 1) * (n + 1) - n * xz * n * xz) FROM mom UNION ALL
+  SELECT 'LinearRegression_RFE', my, CASE WHEN abs(cx - cz * xz) > abs(cz - cx * xz) THEN cx ELSE 0 END, CASE WHEN abs(cx - cz * xz) > abs(cz - cx * xz) THEN 0 ELSE cz END FROM mom UNION ALL
+  SELECT 'FixedEffectsLR', (SELECT avg(effect) FROM levels), w1, w2 FROM within_fit),
+scores AS (SELECT 'roa' AS target, 1 AS horizon, model, split, id, date, label, CASE WHEN model = 'FixedEffectsLR' THEN coalesce(effect, c) ELSE c END + bx * x + bz * z AS prediction
+  FROM slopes, scaled LEFT JOIN levels USING (id))"""
+
+
+def _study_run(spark, sf, names=_STUDY_MODELS, search=None):
+    """The folder of a finished run; readers take everything from there."""
+    out = scratch_path(spark, "run")
+    panel = PreparedPanel(_ratios(spark, sf), ["deposit_ratio", "equity"], [], [], None, None)
+    training.train_matrix(panel, _STUDY_CFG, names=names, search=search, out=out)
+    return out
 
 
-@query("train_matrix", "target horizon:i model split n:i mae:6 rmse:6 r2:6 mape:4")
+@query("train_matrix", "target horizon:i model split n:i mae:6 rmse:6 r2:6 mape:4", "panel", _RATIOS, _STUDY, f"SELECT target, horizon, model, split, {_METRICS} FROM scores GROUP BY 1, 2, 3, 4")
 def train_matrix(spark, sf):
+    return metrics.regression_metrics(training.load_run(spark, _study_run(spark, sf)).predictions)
+
+
+@query("train_matrix_default", "target horizon:i model split n:i mae:6 rmse:6 r2:6 mape:4")
+def train_matrix_default(spark, sf):
+    """All configured targets with the default models, mean and entity effects, and the ensemble of the tree models."""
     out = scratch_path(spark, "run")
-    training.train_matrix(prepared(spark, sf), PREP_CFG, names=_RUN_MODELS, draws=_RUN_DRAWS, out=out)
+    names = (models.MEAN, models.EFFECTS, *models.DEFAULT_MODELS)
+    training.train_matrix(prepared(spark, sf), PREP_CFG, names=names, search=None, out=out)
     return metrics.regression_metrics(training.load_run(spark, out).predictions)
 
 
-# --- run reports --------------------------------------------------------------------------
+@query(
+    "score_new_panel", "target horizon:i model id date:d label:6 prediction:6", "panel", "new_panel", _RATIOS, _STUDY,
+    """unseen AS (SELECT *, lead(roa) OVER (PARTITION BY id ORDER BY date) AS label FROM (SELECT id, date, net_income / total_assets AS roa, total_deposits / total_assets AS deposit_ratio,
+       total_equity / total_assets AS equity FROM new_panel) WHERE roa IS NOT NULL)""",
+    """SELECT 'roa' AS target, 1 AS horizon, model, id, date, label, c + bx * (deposit_ratio - m1) / d1 + bz * (equity - m2) / d2 AS prediction
+       FROM unseen, scaling, slopes WHERE deposit_ratio IS NOT NULL AND equity IS NOT NULL""",
+)
+def score_new_panel(spark, sf):
+    """A run trained on one panel scores the entities of another from what it stored."""
+    rows = fx.new_panel(spark, sf).select(
+        "id", "date", S.ratio("net_income", "total_assets").alias("roa"), S.ratio("total_deposits", "total_assets").alias("deposit_ratio"),
+        S.ratio("total_equity", "total_assets").alias("equity"),
+    )
+    return training.score_panel(spark, _study_run(spark, sf), rows)
 
-_METRICS = """count(*) AS n, avg(abs(label - prediction)) AS mae, avg((label - prediction) * (label - prediction)) AS mse, sqrt(avg((label - prediction) * (label - prediction))) AS rmse,
- 1 - avg((label - prediction) * (label - prediction)) / var_pop(label) AS r2, avg(abs((label - prediction) / nullif(label, 0))) * 100 AS mape"""
+
+@query(
+    "run_report", "target horizon:i model base_model run_type n_features:i "
+    + " ".join(f"{s}_{c}" for s in ("train", "test") for c in ("n:i", "mae:6", "rmse:6", "r2:6", "mape:4", "missing:i", "entities:i", "first_date:d", "last_date:d", "avg_dates_per_entity:6")),
+    "panel", _RATIOS, _STUDY,
+    f"""per_split AS (SELECT target, horizon, model, split, {_METRICS}, sum(CASE WHEN label IS NULL THEN 1 ELSE 0 END) AS missing, count(DISTINCT id) AS entities, min(date) AS first_date, max(date) AS last_date,
+       count(*) * 1.0 / count(DISTINCT id) AS avg_dates_per_entity FROM scores GROUP BY 1, 2, 3, 4)""",
+    "SELECT r.target, r.horizon, r.model, replace(r.model, '_RFE', '') AS base_model, CASE WHEN r.model LIKE '%RFE' THEN 'RFE' ELSE 'Standard' END AS run_type, CASE WHEN r.model LIKE '%RFE' THEN 1 ELSE 2 END AS n_features, "
+    + ", ".join(f"{a}.{c} AS {s}_{c}" for a, s in (("r", "train"), ("t", "test")) for c in ("n", "mae", "rmse", "r2", "mape", "missing", "entities", "first_date", "last_date", "avg_dates_per_entity"))
+    + " FROM per_split r JOIN per_split t USING (target, horizon, model) WHERE r.split = 'train' AND t.split = 'test'",
+)
+def run_report(spark, sf):
+    return training.run_report(training.load_run(spark, _study_run(spark, sf)))
 
 
+# Coefficients are the importances of linear models; the entity levels of the effects model are not among them.
+_COEFFICIENTS = """coefficients AS (SELECT model, 'num__deposit_ratio' AS feature, 'Deposit Ratio' AS display, bx AS importance FROM slopes UNION ALL SELECT model, 'num__equity', 'equity', bz FROM slopes),
+kept AS (SELECT * FROM coefficients WHERE model <> 'DummyRegressor' AND NOT (model = 'LinearRegression_RFE' AND importance = 0))"""
+
+
+@query(
+    "feature_importance", "target horizon:i model rank:i feature display importance:6", "panel", _RATIOS, _STUDY, _COEFFICIENTS,
+    "SELECT 'roa' AS target, 1 AS horizon, model, row_number() OVER (PARTITION BY model ORDER BY abs(importance) DESC) AS rank, feature, display, importance FROM kept",
+)
+def feature_importance(spark, sf):
+    return training.importance_report(training.load_run(spark, _study_run(spark, sf)).importances, 5)
+
+
+@query("selected_features", "target horizon:i model feature", "panel", _RATIOS, _STUDY, _COEFFICIENTS, "SELECT 'roa' AS target, 1 AS horizon, model, feature FROM kept WHERE model = 'LinearRegression_RFE'")
+def selected_features(spark, sf):
+    return training.selected_features(training.load_run(spark, _study_run(spark, sf)).registry)
+
+
+# --- run reports --------------------------------------------------------------------------
+
 @query(
     "regression_metrics", "target horizon:i model split n:i mae:8 mse:8 rmse:8 r2:6 mape:4", "panel", "predictions",
     f"SELECT target, horizon, model, split, {_METRICS} FROM predictions GROUP BY 1, 2, 3, 4",
@@ -486,30 +656,26 @@ def best_per_group(spark, sf):
     return A.best_per_group(metrics.model_comparison(fx.predictions(spark, sf)), "base_model", "rmse")
 
 
-def _runs(spark, sf):
-    """One row per run with a feature count and parameters taken from its own predictions."""
-    rows = fx.predictions(spark, sf)
-    registry = rows.groupBy("target", "horizon", "model").agg(
-        F.count_distinct("date").alias("n_features"), F.to_json(F.struct(F.count("*").alias("rows"))).alias("params")
-    )
-    return metrics.model_comparison(rows, registry)
-
-
 @query(
-    "feature_count_report", "base_model run_type income", "panel", "predictions", _COMPARED,
-    """SELECT base_model, run_type, CAST(CAST((SELECT count(DISTINCT date) FROM predictions) AS DOUBLE) AS VARCHAR) AS income FROM compared""",
+    "feature_count_report", "base_model run_type roa absent", "panel", _RATIOS, _STUDY,
+    """SELECT DISTINCT replace(model, '_RFE', '') AS base_model, CASE WHEN model LIKE '%RFE' THEN 'RFE' ELSE 'Standard' END AS run_type, CASE WHEN model LIKE '%RFE' THEN '1.0' ELSE '2.0' END AS roa, '-' AS absent FROM scores""",
 )
 def feature_count_report(spark, sf):
-    return training.feature_count_report(_runs(spark, sf), ["income"])
+    run = training.load_run(spark, _study_run(spark, sf))
+    return training.feature_count_report(metrics.model_comparison(run.predictions, run.registry), ["roa", "absent"])
+
+
+# The penalty that the search over the train dates of the study chooses.
+_STUDY_FOLDS = _PAIR_FOLDS.replace("(x1 - m1) / sqrt(v1) AS x, (x2 - m2) / sqrt(v2) AS z FROM xy, fit", "x, z FROM scaled")
 
 
 @query(
-    "param_report", "target last|Standard before|RFE before|Standard", "panel", "predictions",
-    """SELECT 'income' AS target, '{"rows":' || count(*) FILTER (model = 'last') || '}' AS "last|Standard", '{"rows":' || count(*) FILTER (model = 'before_RFE') || '}' AS "before|RFE",
-       'N/A' AS "before|Standard" FROM predictions""",
+    "param_report", "target Ridge|Standard DummyRegressor|Standard Lasso|Standard", "panel", _RATIOS, _STUDY, _STUDY_FOLDS,
+    """SELECT 'roa' AS target, '{"alpha": ' || (SELECT t FROM pair_errors GROUP BY t ORDER BY avg(e) LIMIT 1) || '}' AS "Ridge|Standard", '{}' AS "DummyRegressor|Standard", 'N/A' AS "Lasso|Standard" """,
 )
 def param_report(spark, sf):
-    return training.param_report(_runs(spark, sf), ["last|Standard", "before|RFE", "before|Standard"])
+    run = training.load_run(spark, _study_run(spark, sf, (models.MEAN, models.RIDGE), "grid"))
+    return training.param_report(metrics.model_comparison(run.predictions, run.registry), ["Ridge|Standard", "DummyRegressor|Standard", "Lasso|Standard"])
 
 
 @query(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
@@ -28,17 +31,49 @@ def archive_scan(spark, sf):
     return data.groupBy(name, "member").agg(F.count("*").alias("lines"), F.sum(value).alias("total"))
 
 
+# All five outputs of an import in one table: what each of them says about archives and names.
+_IMPORTED = """broken AS (SELECT DISTINCT 'Broken ' || archive AS archive FROM rep WHERE quarter(date) = 4),
+member_shapes AS (SELECT archive, member, member_no, count(DISTINCT id) AS rows FROM (SELECT archive, member, member_no, id FROM cells
+  UNION SELECT archive, 'Schedule RC ' || d8 || '(1 of 2).txt', 1, id FROM rep) GROUP BY ALL),
+member_metrics AS (SELECT archive, member AS name, date, count(DISTINCT id) AS entities, count(DISTINCT id) * CASE WHEN member_no IN (0, 2) THEN 2 ELSE 3 END AS cells, count(*) AS known
+  FROM cells GROUP BY archive, member, member_no, date),
+table_metrics AS (SELECT archive, tab AS name, date, count(DISTINCT id) AS entities, count(DISTINCT id) * 4 AS cells, count(*) AS known FROM tabled WHERE member_no IN (1, 2) AND quarter(date) <> 4 GROUP BY ALL),
+described AS (SELECT code, arg_min(description, archive || no) AS description FROM (SELECT DISTINCT archive, date FROM rep) CROSS JOIN (VALUES
+  ('0', 'RCON9999', 'Reporting date'), ('0', 'RSSD9017', 'Name'), ('1', 'RCON2170', 'TOTAL ASSETS'), ('1', 'RCFD2170', 'Total assets'), ('1', 'RCON2122', 'Total loans'), ('2', 'RCON2200', 'Total deposits'),
+  ('2', 'RCON2122', 'Loans again'), ('3', 'RIAD4107', 'Interest income'), ('3', 'RCON2170', '12345'), ('3', 'RIAD4340', 'Net income')) AS v(no, code, description)
+  WHERE NOT regexp_matches(description, '^[0-9]+$') AND NOT (no = '2' AND quarter(date) = 4) GROUP BY code)"""
+
+
 @query(
-    "import_job", "archive member rows:i cols:i", "panel",
-    f"""SELECT CASE WHEN quarter(date) = 4 THEN 'old' ELSE 'new' END || '/Reports ' || year(date) || '.zip' AS archive, 'RC/Schedule RC ' || {fx.D8} || '.txt' AS member,
-       count(*) AS rows, 2 AS cols FROM panel GROUP BY 1, 2""",
+    "import_job", "output archive name a:4 b:4 c:4 text", "panel", "rep", "cells", "tabled", _IMPORTED,
+    """SELECT 'panel' AS output, archive, id AS name, CASE WHEN quarter(date) = 4 THEN total_assets ELSE dom_assets END AS a, total_loans_and_leases AS b, CASE WHEN quarter(date) <> 4 THEN total_deposits END AS c, 'Bank ' || id AS text FROM rep
+       UNION ALL SELECT 'shapes', archive, member, rows, 1 + CASE member_no WHEN 0 THEN 2 WHEN 2 THEN 2 ELSE 3 END, NULL, NULL FROM member_shapes
+       UNION ALL SELECT 'metrics', archive, name, entities, cells, cells - known, 'Q' || quarter(date) || ' ' || year(date) FROM (SELECT * FROM member_metrics UNION ALL SELECT * FROM table_metrics)
+       UNION ALL SELECT 'codes', NULL, code, NULL, NULL, NULL, description FROM described
+       UNION ALL SELECT 'problems', archive, NULL, NULL, NULL, NULL, 'bad zip file' FROM broken""",
 )
 def import_job(spark, sf):
+    """Archives with split members and damaged ones beside them go through the whole import."""
     root, out = scratch_path(spark, "landing"), scratch_path(spark, "imported")
-    fx.land_archives(spark, sf, root)
-    import_archives(spark, root, out, ["RCON2170"])
-    shapes = spark.read.option("header", True).csv(f"{out}/logs/shapes")
-    return shapes.withColumn("archive", F.concat_ws("/", F.slice(F.split("archive", "/"), -2, 2)))
+    fx.land_reports(spark, sf, root)
+    import_archives(spark, root, out, ["RCON2170", "RCON2122", "RCON2200", "RSSD9017"])
+    log = {n: spark.read.option("header", True).csv(f"{out}/logs/{n}") for n in ("shapes", "metrics", "codes", "problems")}
+    parts = {
+        "panel": (spark.read.parquet(f"{out}/panel"), "id", ["RCON2170", "RCON2122", "RCON2200"], "RSSD9017"),
+        "shapes": (log["shapes"], "member", ["rows", "cols"], None),
+        "metrics": (log["metrics"], "member", ["entities", "cells", "missing"], "quarter"),
+        "codes": (log["codes"].withColumn("archive", F.lit(None).cast("string")), "code", [], "description"),
+        "problems": (log["problems"], "member", [], "problem"),
+    }
+    none = F.lit(None)
+    tables = []
+    for output, (rows, name, numbers, text) in parts.items():
+        values = [S.to_number(numbers[i]) if i < len(numbers) else none.cast("double") for i in range(3)]
+        tables.append(rows.select(
+            F.lit(output).alias("output"), archives.base_name("archive").alias("archive"), F.col(name).alias("name"),
+            *[v.alias(n) for v, n in zip(values, "abc")], (F.col(text) if text else none.cast("string")).alias("text"),
+        ))
+    return reduce(DataFrame.unionByName, tables)
 
 
 def _lines(spark, sf):

@@ -2,35 +2,57 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
+from urllib.parse import quote
 
+import pandas as pd
+from pyarrow import fs, parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.codes import ESSENTIAL_CODES, REPORT_CODES
 
 
-def schemas(spark: SparkSession, paths: Iterable[str]) -> dict[str, list[str]]:
-    """Columns of each file, from the footers (a file per quarter: the list is as long as the calendar)."""
-    return {p: spark.read.parquet(p).columns for p in sorted(paths)}
+def open_input(path: str):
+    """A file that tasks read from any place in it, without fetching it whole."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file" or not rest:
+        return open("/" + rest.lstrip("/") if rest else path, "rb")
+    system, name = fs.FileSystem.from_uri(quote(path, safe=":/@%"))
+    return system.open_input_file(name)
+
+
+def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        columns = []
+        for path in batch["file"]:
+            with open_input(path) as file:
+                columns.append(parquet.read_schema(file).names)
+        yield pd.DataFrame({"file": batch["file"], "columns": columns})
+
+
+def schemas(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(file, columns) of every parquet file at or in the flat folders ``paths``: tasks read the footers."""
+    found = spark.read.format("binaryFile").load(list(paths)).select(F.col("path").alias("file"))
+    return found.repartition("file").mapInPandas(_footers, "file string, columns array<string>")
 
 
 def read_evolving(spark: SparkSession, paths: Sequence[str], desired: Iterable[str] = REPORT_CODES, essential: Iterable[str] = ESSENTIAL_CODES) -> DataFrame:
     """Wanted columns of files whose columns differ, stacked by name.
 
     Files without an essential column, or without any wanted one, are skipped. Files with the same
-    wanted columns are read together, so the plan has one pruned scan per layout, not per file.
+    wanted columns are read together, so the plan has one pruned scan per layout, not per file. The
+    driver is told the layouts and their files' names, which it needs to plan the scans.
     """
-    wanted, needed = list(dict.fromkeys(desired)), set(essential)
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for path, columns in schemas(spark, paths).items():
-        present = tuple(c for c in wanted if c in columns)
-        if present and needed <= set(present):
-            layouts.setdefault(present, []).append(path)
-    if not layouts:
+    wanted, needed = list(dict.fromkeys(desired)), list(set(essential))
+    present = F.filter(F.array(*[F.lit(c) for c in wanted]), lambda c: F.array_contains("columns", c))
+    layouts = schemas(spark, paths).select("file", present.alias("present"))
+    usable = layouts.filter((F.size("present") > 0) & (F.size(F.array_except(F.array(*[F.lit(c) for c in needed]), "present")) == 0))
+    found = usable.groupBy("present").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    if not found:
         raise ValueError("no file has the essential columns")
-    frames = [spark.read.parquet(*files).select(*[F.col(f"`{c}`") for c in columns]) for columns, files in layouts.items()]
+    frames = [spark.read.parquet(*r.files).select(*[F.col(f"`{c}`") for c in r.present]) for r in sorted(found, key=lambda r: r.files)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 

@@ -39,18 +39,25 @@ def headers(lines: DataFrame) -> DataFrame:
     )
 
 
-def code_dictionary(lines: DataFrame) -> DataFrame:
-    """code -> description; the first file that describes a code wins."""
-    pairs = headers(lines).select(
-        "archive", "member_no", F.posexplode(F.arrays_zip("codes", "descriptions")).alias("pos", "pair")
-    )
+def descriptions(heads: DataFrame) -> DataFrame:
+    """(code, description) of every member that describes a code usably, with the place where it stands."""
+    pairs = heads.select("archive", "member_no", F.posexplode(F.arrays_zip("codes", "descriptions")).alias("pos", "pair"))
     named = pairs.select(
         F.col("pair.codes").alias("code"),
         S.unquote(S.cell_value("pair.descriptions")).alias("description"),
-        F.struct("archive", "member_no", "pos").alias("_seen"),
+        F.struct("archive", "member_no", "pos").alias("seen"),
     )
-    usable = (F.length("code") > 0) & (F.col("code") != KEY) & F.col("description").isNotNull() & ~S.is_digits("description")
-    return named.filter(usable).groupBy("code").agg(F.min_by("description", "_seen").alias("description"))
+    return named.filter((F.length("code") > 0) & (F.col("code") != KEY) & F.col("description").isNotNull() & ~S.is_digits("description"))
+
+
+def first_descriptions(found: DataFrame) -> DataFrame:
+    """code -> description; the first file that describes a code wins."""
+    return found.groupBy("code").agg(F.min_by("description", "seen").alias("description"))
+
+
+def code_dictionary(lines: DataFrame) -> DataFrame:
+    """code -> description of all members of ``lines``."""
+    return first_descriptions(descriptions(headers(lines)))
 
 
 def rows(lines: DataFrame, heads: DataFrame | None = None) -> DataFrame:

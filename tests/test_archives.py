@@ -187,3 +187,101 @@ def test_import_job_writes_panel_and_logs(spark, landing, tmp_path):
     assert (both.entities, both.cells, both.missing) == (3, 9, 4)
     assert {r.problem for r in read("problems")} == {"empty file", "bad zip file"}
     assert any(r.code == "RCON2170" for r in read("codes"))
+
+
+def test_members_of_one_archive_are_read_by_several_tasks(spark, tmp_path):
+    members = {f"Schedule {i}.txt": f"IDRSSD\tX\n\tt\n{i}\tvalue\n" for i in range(40)}
+    write_zip(tmp_path / "wide one.zip", members)
+    (tmp_path / "broken.zip").write_bytes(b"PK nothing")
+    listed = archives.list_members(archives.archive_files(spark, str(tmp_path)))
+    assert listed.filter("problem is null").count() == 40 and [r.problem for r in listed.filter("problem is not null").collect()] == ["bad zip file"]
+    good = listed.filter("problem is null").select("archive", "member_no").repartition(8, "archive", "member_no")
+    tasks = good.mapInPandas(archives._streamed, archives.LINE_SCHEMA).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 3
+    scanned = archives.read_archives(spark, str(tmp_path))
+    assert archives.member_lines(scanned).count() == 120
+    # the same lines as from archives that are read whole
+    whole = archives.scan_archives(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(str(tmp_path)))
+    assert sorted(map(str, scanned.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_an_archive_beyond_two_gigabytes_is_read_as_a_stream(spark, tmp_path, monkeypatch):
+    """Members behind more than 2 GB of others, which no reader of whole files could take."""
+    path = tmp_path / "large.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED, allowZip64=True) as out:
+        out.writestr("first.txt", "IDRSSD\tX\n\tt\n1\ta\n")
+        with out.open(zipfile.ZipInfo("filler.bin"), "w", force_zip64=True) as member:
+            block = bytes(1 << 24)
+            for _ in range(130):
+                member.write(block)
+        out.writestr("last.txt", "IDRSSD\tX\n\tt\n2\tb\n")
+    assert path.stat().st_size > 2 << 30
+    got = reports.melt(reports.rows(archives.member_lines(archives.read_archives(spark, str(tmp_path))))).collect()
+    assert sorted((r.member, r.value) for r in got) == [("first.txt", "a"), ("last.txt", "b")]
+    path.unlink()
+
+
+def _reads(monkeypatch):
+    """What each import lists, in order."""
+    listed, original = [], archives.list_members
+
+    def listing(files_):
+        listed.append(sorted(r.path.rsplit("/", 1)[-1] for r in files_.collect()))
+        return original(files_)
+
+    monkeypatch.setattr(archives, "list_members", listing)
+    return listed
+
+
+def test_an_added_or_changed_archive_is_read_alone(spark, tmp_path, monkeypatch):
+    landing, out = tmp_path / "landing", str(tmp_path / "out")
+    landing.mkdir()
+    report = "IDRSSD\tX\n\t{text}\n{rows}\n"
+    write_zip(landing / "A.zip", {"RC.txt": report.format(text="from A", rows="1\t10")})
+    (landing / "B.zip").write_bytes(b"broken")
+    listed = _reads(monkeypatch)
+    panel = lambda: sorted((r.archive.rsplit("/", 1)[-1], r.id, r.X) for r in spark.read.parquet(f"{out}/panel").collect())
+    log = lambda name: sorted(tuple(r) for r in spark.read.option("header", True).csv(f"{out}/logs/{name}").collect())
+    import_archives(spark, str(landing), out, ["X"])
+    assert panel() == [("A.zip", "1", "10")] and len(log("problems")) == 1
+    import_archives(spark, str(landing), out, ["X"])
+    write_zip(landing / "C.zip", {"RC.txt": report.format(text="from C", rows="2\t20\n3\t30")})
+    import_archives(spark, str(landing), out, ["X"])
+    assert panel() == [("A.zip", "1", "10"), ("C.zip", "2", "20"), ("C.zip", "3", "30")]
+    assert log("codes") == [("X", "from A")] and len(log("metrics")) == len(log("shapes")) == 2
+    write_zip(landing / "A.zip", {"RC.txt": report.format(text="new text", rows="1\t11")})
+    write_zip(landing / "B.zip", {"RC.txt": report.format(text="from B", rows="5\t50")})
+    import_archives(spark, str(landing), out, ["X"])
+    assert panel() == [("A.zip", "1", "11"), ("B.zip", "5", "50"), ("C.zip", "2", "20"), ("C.zip", "3", "30")]
+    assert log("problems") == [] and log("codes") == [("X", "new text")]
+    (landing / "C.zip").write_bytes(b"broken now")
+    import_archives(spark, str(landing), out, ["X"])
+    assert panel() == [("A.zip", "1", "11"), ("B.zip", "5", "50")] and len(log("problems")) == 1
+    assert listed == [["A.zip", "B.zip"], ["C.zip"], ["A.zip", "B.zip"], ["C.zip"]]
+
+
+def test_an_import_that_was_cut_short_is_finished(spark, tmp_path, monkeypatch):
+    landing, out = tmp_path / "landing", str(tmp_path / "out")
+    landing.mkdir()
+    write_zip(landing / "A.zip", {"RC.txt": "IDRSSD\tX\n\tt\n1\t10\n"})
+    original = reports.file_metrics
+    monkeypatch.setattr(reports, "file_metrics", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        import_archives(spark, str(landing), out, ["X"])
+    monkeypatch.setattr(reports, "file_metrics", original)
+    import_archives(spark, str(landing), out, ["X"])
+    assert [(r.id, r.X) for r in spark.read.parquet(f"{out}/panel").collect()] == [("1", "10")]
+    assert spark.read.option("header", True).csv(f"{out}/logs/metrics").count() == 1
+
+
+def test_five_thousand_evolving_files(spark, tmp_path):
+    """Footers are read by tasks and grouped by layout: as many scans as layouts, whatever the number of files."""
+    import pyarrow as pa
+    from pyarrow import parquet
+
+    layouts = [{"IDRSSD": ["1"], "RCON9999": ["20230331"], "RCON2170": [1.0]}, {"IDRSSD": ["2"], "RCON9999": ["20230630"], "EXTRA": [2]}, {"RCON2170": [3.0]}]
+    for i in range(5000):
+        parquet.write_table(pa.table(layouts[i % 3]), tmp_path / f"{i}.parquet")
+    got = files.read_evolving(spark, [str(tmp_path)])
+    assert sorted(got.columns) == ["IDRSSD", "RCON2170", "RCON9999"]
+    assert {(r.IDRSSD, r.n) for r in got.groupBy("IDRSSD").agg(F.count("*").alias("n")).collect()} == {("1", 1667), ("2", 1667)}

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.config import PanelConfig
-from ledgerline.operators import linear, metrics, models
+from ledgerline.operators import linear, metrics, models, preprocess
 from ledgerline.operators.design import feature_columns, one_hot_vector, scale_and_encode
 from ledgerline.plans import training
 from ledgerline.plans.panel import PreparedPanel
@@ -101,6 +101,40 @@ def test_fixed_effects_equal_dummies(train, data):
     assert stranger.prediction == pytest.approx(np.mean(expected[2:]) + stranger.x0 * expected[0] + stranger.x1 * expected[1])
 
 
+def with_dummies(x, y, ids, alpha):
+    """Least squares (ridge if alpha > 0) of x and a column for each of the ids, by normal equations."""
+    z = np.hstack([x, (ids[:, None] == np.unique(ids)[None, :]).astype(float)])
+    zc, yc = z - z.mean(0), y - y.mean()
+    b = np.linalg.pinv(zc.T @ zc + alpha * np.eye(z.shape[1])) @ zc.T @ yc
+    return b[: x.shape[1]], b[x.shape[1] :], y.mean() - z.mean(0) @ b
+
+
+@pytest.mark.parametrize("alpha", [0.0, 3.0, 200.0])
+def test_absorbed_levels_equal_dummies_of_fifty_entities(spark, alpha):
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 50, 700)
+    x = rng.normal(0, 1, (700, 3)) + 0.1 * ids[:, None] + 100
+    y = x @ [1.0, -2.0, 0.3] + np.sin(ids) * 4 + rng.normal(0, 0.5, 700)
+    df = spark.createDataFrame([(str(i), float(t), *map(float, r)) for i, t, r in zip(ids, y, x)], "id string, label double, a double, b double, c double").repartition(4)
+    absorbed = linear.absorb(df, ["a", "b", "c"], penalty=alpha)
+    for keep in (["a", "b", "c"], ["c", "a"]):
+        beta, level, effects = linear.absorbed_fit(absorbed, ["a", "b", "c"], keep, alpha)
+        slopes, levels, intercept = with_dummies(x[:, ["abc".index(k) for k in keep]], y, ids, alpha)
+        got = {int(r.id): r.effect for r in effects.collect()}
+        assert beta == pytest.approx(slopes, rel=1e-7) and level == pytest.approx(intercept, rel=1e-7)
+        assert [got[i] for i in np.unique(ids)] == pytest.approx(levels + intercept, rel=1e-7)
+
+
+def test_two_hundred_thousand_entities(spark):
+    """Linear models with entity levels hold nothing on the driver that grows with the entities."""
+    n = 200_000
+    rows = spark.range(0, 3 * n, 1, 8).select((F.col("id") % n).cast("string").alias("id"), F.lit(None).cast("date").alias("date"), (F.pmod(F.xxhash64("id"), F.lit(17)) / 3).alias("num__x"))
+    rows = rows.withColumn("label", 2 * F.col("num__x") + F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(10)))
+    for model, slope in ((models.EFFECTS, 2.0), ("FixedEffectsLR_RFE", 2.0)):
+        fitted = models.fit(model, rows, ["num__x"], keep=1)
+        assert fitted.beta == pytest.approx([slope]) and fitted.effects.count() == n and fitted.model is None
+
+
 def test_search_is_repeatable_and_picks_the_best(train):
     assert models.random_draws("Ridge_RFE", 4, n_features=5) == models.random_draws("Ridge_RFE", 4, n_features=5)
     draws = models.random_draws(models.FOREST, 50)
@@ -110,14 +144,48 @@ def test_search_is_repeatable_and_picks_the_best(train):
     assert best.params == {"alpha": 0.01} and scored[0]["mse"] < scored[1]["mse"]
 
 
-@pytest.mark.parametrize("model", [models.RIDGE, "Ridge_RFE", "LinearRegression_RFE"])
+@pytest.mark.parametrize("model", [m + e for m in (models.OLS, models.RIDGE, models.LASSO, models.ELASTIC) for e in ("", "_RFE")])
 def test_one_pass_scores_equal_refitting(train, model):
-    candidates = [{"alpha": 3.0, "n_features": 2}, {"alpha": 60.0, "n_features": 4}]
-    if not model.endswith("_RFE"):
-        candidates = [{"alpha": c["alpha"]} for c in candidates]
-    one_pass = models._moment_scores(model, train, NAMES, candidates, 3)
+    candidates = [{"alpha": 3.0, "l1_ratio": 0.4, "n_features": 2}, {"alpha": 0.1, "l1_ratio": 0.4, "n_features": 4}, {"alpha": 0.02, "l1_ratio": 0.7, "n_features": 4}]
+    wanted = {models.RIDGE: ["alpha"], models.LASSO: ["alpha"], models.ELASTIC: ["alpha", "l1_ratio"], models.OLS: []}[models.base_name(model)]
+    wanted += ["n_features"] if model.endswith("_RFE") else []
+    candidates = [{k: c[k] for k in wanted} for c in candidates]
+    one_pass = models._moment_scores(model, models.fold_moments(train, NAMES, 3), candidates)
     refitted = models._fitted_scores(model, train, NAMES, candidates, 3, 42, 2)
-    assert one_pass == pytest.approx(refitted, rel=1e-5)
+    assert one_pass == pytest.approx(refitted, rel=1e-6)
+
+
+@pytest.mark.parametrize("l1,l2", [(0.2, 0.0), (0.05, 0.3), (1e-4, 0.0), (50.0, 0.0)])
+def test_coordinate_descent_on_moments(train, data, l1, l2):
+    moments = linear.cross_products(train, NAMES)
+    beta, intercept = linear.coordinate_descent(moments, l1, l2)
+    assert beta == pytest.approx(descent(*centred(data), l1, l2), abs=1e-7)
+    warm, _ = linear.coordinate_descent(moments, l1, l2, start=beta + 0.5)
+    assert warm == pytest.approx(beta, abs=1e-8)
+    assert intercept == pytest.approx(data[1].mean() - data[0].mean(0) @ beta)
+
+
+def test_coordinate_descent_with_a_constant_and_a_copy(train):
+    moments = linear.cross_products(train.withColumns({"c": F.lit(1.0), "copy": F.col("x0")}), ["x0", "c", "copy"])
+    beta, _ = linear.coordinate_descent(moments, 0.1)
+    assert beta[1] == 0 and beta[0] + beta[2] == pytest.approx(linear.coordinate_descent(moments, 0.1, keep=[0])[0][0])
+
+
+def test_a_whole_search_reads_the_rows_once(train, monkeypatch):
+    reads = []
+    original = models.block_cross_products
+    monkeypatch.setattr(models, "block_cross_products", lambda *a, **k: reads.append(1) or original(*a, **k))
+    moments = models.fold_moments(train, NAMES, 3)
+    for model in (models.RIDGE, models.LASSO, models.ELASTIC, "Lasso_RFE"):
+        grid = models.grid_points(model, D)
+        _, scored = models.param_search(model, train, NAMES, grid, moments=lambda: moments)
+        assert len(scored) == len(grid)
+    assert len(reads) == 1
+
+
+def test_selection_grid_is_a_third_two_thirds_and_all():
+    assert sorted({g["n_features"] for g in models.grid_points("Lasso_RFE", 9)}) == [3, 6, 9]
+    assert [g["n_features"] for g in models.grid_points("LinearRegression_RFE", 2)] == [1, 2]
 
 
 def test_search_falls_back_to_defaults(train):
@@ -182,6 +250,87 @@ def test_stored_models_predict_the_same(spark, train, tmp_path):
         assert a == b and loaded.features == fitted.features and loaded.params == fitted.params
 
 
+def study(spark, train):
+    panel = PreparedPanel(train.withColumn("quarter", F.concat(F.lit("quarter_"), F.quarter("date"))), ["x0", "x1"], ["quarter"], [], None, None)
+    return panel, PanelConfig(targets=("label",), features={"x0": "bank", "x1": "bank"}, lags=1)
+
+
+def test_a_run_is_taken_up_where_it_ended(spark, train, tmp_path, monkeypatch):
+    panel, cfg = study(spark, train)
+    fitted, original = [], models.fit
+
+    def counting(name, *args, **kwargs):
+        fitted.append(name)
+        if name == models.RIDGE and fitted.count(name) == 1:
+            raise RuntimeError("the cluster is gone")
+        return original(name, *args, **kwargs)
+
+    monkeypatch.setattr(models, "fit", counting)
+    names = (models.MEAN, models.OLS, models.RIDGE)
+    with pytest.raises(RuntimeError):
+        training.train_matrix(panel, cfg, names=names, search=None, out=str(tmp_path))
+    run = training.train_matrix(panel, cfg, names=names, search=None, out=str(tmp_path))
+    assert fitted == [models.MEAN, models.OLS, models.RIDGE, models.RIDGE]
+    assert {r.model for r in run.registry.collect()} == set(names)
+    training.train_matrix(panel, cfg, names=names, search=None, out=str(tmp_path))
+    assert len(fitted) == 4
+    # other settings make everything due again
+    training.train_matrix(panel, PanelConfig(targets=("label",), features={"x0": "bank", "x1": "bank"}, lags=2), names=names, search=None, out=str(tmp_path))
+    assert len(fitted) == 7
+
+
+def test_a_search_that_fails_is_on_record(spark, train, tmp_path, monkeypatch):
+    panel, cfg = study(spark, train)
+    monkeypatch.setattr(models, "fold_moments", lambda *a: (_ for _ in ()).throw(ValueError("no folds")))
+    run = training.train_matrix(panel, cfg, names=(models.MEAN, models.RIDGE), search="grid", out=str(tmp_path))
+    found = {r.model: r for r in run.registry.collect()}
+    assert found[models.MEAN].fallback is None and "no folds" in found[models.RIDGE].fallback and found[models.RIDGE].problem is None
+
+
+def test_a_stored_run_scores_rows_it_never_saw(spark, train, tmp_path):
+    """New entities, a level and quarters that training did not have; ensembles too."""
+    panel, cfg = study(spark, train)
+    names = (models.MEAN, models.OLS, models.EFFECTS, models.TREE, models.FOREST)
+    original = models.estimator
+    models.estimator = lambda m, p, *a: original(m, {"max_depth": 3, "n_estimators": 4, **p}, *a)
+    try:
+        training.train_matrix(panel, cfg, names=names, search=None, out=str(tmp_path))
+    finally:
+        models.estimator = original
+    run = training.load_run(spark, str(tmp_path))
+    # the rows of the test split come out as they did in training
+    again = training.score_panel(spark, str(tmp_path), panel.data)
+    both = again.join(run.predictions.withColumnRenamed("prediction", "then"), ["target", "horizon", "model", "id", "date"])
+    gap = both.agg(F.count("*").alias("n"), F.max(F.abs(F.col("prediction") - F.col("then"))).alias("gap")).first()
+    assert gap.n == run.predictions.count() and gap.gap < 1e-9
+    late = panel.data.select(F.concat(F.lit("new"), "id").alias("id"), F.add_months("date", 1200).alias("date"), "label", "x0", "x1", F.lit("quarter_9").alias("quarter"))
+    scored = training.score_panel(spark, str(tmp_path), late)
+    assert scored.filter("prediction is null").count() == 0 and scored.filter("label is null").count() > 0
+    assert {r.model for r in scored.select("model").distinct().collect()} == {*names, "VotingEnsemble"}
+    members = scored.filter("model in ('DecisionTree', 'RandomForest')").groupBy("id", "date").agg(F.avg("prediction").alias("mean"))
+    off = members.join(scored.filter("model = 'VotingEnsemble'"), ["id", "date"]).agg(F.max(F.abs(F.col("mean") - F.col("prediction")))).first()[0]
+    assert off < 1e-9
+    report = training.run_report(run)
+    assert report.count() == 6 and report.filter("train_rmse is null or test_rmse is null").count() == 0
+
+
+def test_preprocessing_is_stored_whole(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("1", "train", 1.0, 5.0, "b", f"e{i}") for i in range(80)] + [("2", "train", 3.0, 5.0, "a", "e0"), ("3", "test", 9.0, 6.0, "zz", "unseen"), ("4", "test", 9.0, 6.0, None, None)],
+        "id string, split string, x double, one double, level string, many string",
+    )
+    fitted = preprocess.fit(rows, ["level", "many"])
+    assert fitted.levels == {"level": ("a", "b")} and list(fitted.vectors) == ["many"]
+    fitted.save(f"{tmp_path}/p", spark)
+    loaded = preprocess.load(f"{tmp_path}/p", spark)
+    assert loaded.scaling == fitted.scaling and loaded.levels == fitted.levels
+    a, b = (sorted(map(str, p.apply(rows).collect())) for p in (fitted, loaded))
+    assert a == b
+    unseen = {r.id: r for r in loaded.apply(rows.drop("split")).collect() if r.id in "34"}
+    assert unseen["3"]["cat__level_a"] == unseen["3"]["cat__level_b"] == 0 and unseen["3"]["cat__many"].numNonzeros() == 0
+    assert unseen["4"]["num__one"] == 1.0 and unseen["4"]["cat__many"].numNonzeros() == 0
+
+
 def test_a_model_that_fails_does_not_end_the_run(spark, train, tmp_path):
     panel = PreparedPanel(train.withColumn("quarter", F.concat(F.lit("quarter_"), F.quarter("date"))), ["x0", "x1"], ["quarter"], [], None, None)
     cfg = PanelConfig(targets=("label",), features={"x0": "bank", "x1": "bank"}, lags=1)
@@ -224,3 +373,27 @@ def test_unseen_level_is_all_zeros(spark):
     rows = spark.createDataFrame([("1", "train", "b", 1.0), ("2", "train", "a", 2.0), ("3", "test", "zz", 3.0)], "id string, split string, bank_id string, x double")
     got = {r["id"]: r["cat__bank_id"].toArray().tolist() for r in one_hot_vector(rows, "bank_id").collect()}
     assert got == {"1": [0.0, 1.0], "2": [1.0, 0.0], "3": [0.0, 0.0]}
+
+
+def test_boosting_ends_on_the_last_train_dates(spark):
+    """Noise is not learned for long, and rows of the test split have no say."""
+    rows = spark.range(0, 1200, 1, 4).select(
+        F.expr("add_months(DATE '2000-01-01', 3 * cast(id % 40 as int))").alias("date"), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("x"),
+        (F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1000)) / 1000).alias("label"),
+    ).cache()
+    params = {"n_estimators": 30, "max_depth": 4}
+    long, short = (models.fit(models.BOOSTED, rows, ["x"], {**params, **more}) for more in ({}, {"validation": 0.2}))
+    assert long.model.getNumTrees == 30 and short.model.getNumTrees < 30
+    judges = rows.withColumn("j", models._last_dates(rows, 0.2)).groupBy("j").agg(F.min("date").alias("lo"), F.max("date").alias("hi"), F.count_distinct("date").alias("n"))
+    by = {r.j: r for r in judges.collect()}
+    assert by[True].n == 8 and by[False].hi < by[True].lo
+
+
+def test_trees_do_not_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(models, "MODEL_LEAVES", 60)
+    assert models.smallest_leaf(10, 1) == 1 and models.smallest_leaf(10**9, 100) == 10**11 // 60 + 1
+    for n in (500, 5000):
+        rows = spark.range(n).select((F.pmod(F.xxhash64("id"), F.lit(99991)) / 7.0).alias("x"), F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(1000)).cast("double").alias("label"))
+        tree = models.fit(models.TREE, rows, ["x"]).model
+        forest = models.fit(models.FOREST, rows, ["x"], {"n_estimators": 3}).model
+        assert (tree.numNodes + 1) / 2 <= 60 and sum((t.numNodes + 1) / 2 for t in forest.trees) <= 60 * 1.7

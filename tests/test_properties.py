@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import clean, design, quantiles, sample, windows
+from ledgerline.operators import aggregates, clean, design, quantiles, sample, windows
 from ledgerline.queries import catalog, fixtures
 from tests.compare import difference
 
@@ -27,16 +27,81 @@ def samples(seed: int) -> dict[str, np.ndarray]:
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("few_groups", [True, False])
-def test_quantiles_equal_sorting(spark, seed, few_groups):
+@pytest.mark.parametrize("bracket_rows", [10_000, 16])
+def test_quantiles_equal_sorting(spark, seed, bracket_rows, monkeypatch):
+    monkeypatch.setattr(quantiles, "BRACKET_ROWS", bracket_rows)
     data = samples(seed)
     rows = [(g, float(v)) for g, vs in data.items() for v in vs] + [("normal", None), (None, 1.0)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(7)
-    got = {r.g: r for r in quantiles.grouped_quantiles(df, ["g"], "v", PROBS, few_groups).collect()}
+    got = {r.g: r for r in quantiles.grouped_quantiles(df, ["g"], "v", PROBS, moments=True).collect()}
     assert set(got) == set(data)
     for g, vs in data.items():
         for name, p in PROBS.items():
             assert got[g][name] == pytest.approx(np.quantile(vs, p), rel=1e-12, abs=1e-12), (g, name)
+        assert (got[g].n, got[g]["min"], got[g]["max"]) == (len(vs), vs.min(), vs.max())
+        assert got[g]["mean"] == pytest.approx(vs.mean(), rel=1e-9)
+        assert got[g]["std"] is None if len(vs) == 1 else got[g]["std"] == pytest.approx(vs.std(ddof=1), rel=1e-6, abs=1e-15 * abs(vs).max())
+
+
+def test_brackets_are_narrowed_until_they_are_small(spark, monkeypatch):
+    """200 000 values within a millionth and one far off: no pass that counts single values sees many of them."""
+    values = np.append(1 + np.arange(200_000) * 5e-12, 1.02)
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(8)
+    counted, original = [], quantiles._narrow
+
+    def counting(rows, by, bucket):
+        out = original(rows, by, bucket)
+        if "_sub" not in str(bucket) and str(bucket) == str(F.col("_v")):
+            counted.append(rows.select("t", "_v").distinct().groupBy("t").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(quantiles, "_narrow", counting)
+    got = quantiles.grouped_quantiles(df, [], "v", PROBS).first()
+    assert counted and max(c or 0 for c in counted) <= quantiles.BRACKET_ROWS
+    for name, p in PROBS.items():
+        assert got[name] == pytest.approx(np.quantile(values, p), rel=1e-15)
+
+
+def test_quantiles_of_extreme_values(spark):
+    for values in ([-1.7e308, 1.7e308, 0.0, 5e-324, 1.0], [2.0**-k for k in range(60)], []):
+        df = spark.createDataFrame([(float(v),) for v in values], "v double")
+        got = quantiles.order_statistics(df, [], "v", lambda n: [F.lit(0), F.floor(n / 2), n - 1]).collect()
+        ordered = sorted(values)
+        assert [(r.s0, r.s1, r.s2) for r in got] == ([(ordered[0], ordered[len(values) // 2], ordered[-1])] if values else [])
+
+
+def test_quantiles_without_groups_of_a_union(spark):
+    half = spark.createDataFrame([(float(v),) for v in range(50)], "v double")
+    got = quantiles.grouped_quantiles(half.unionByName(half.select((F.col("v") + 50).alias("v"))), [], "v", {"median": 0.5}).collect()
+    assert [r.median for r in got] == [49.5]
+
+
+def test_correlations_over_pairs_that_know_both(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (400, 6)) @ rng.normal(0, 1, (6, 6)) + 1e6
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[:, 4] = 3.0
+    x[10:, 5] = np.nan
+    names = [f"c{i}" for i in range(6)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"{n} double" for n in names)).repartition(5)
+    got = {(r.var_a, r.var_b): r.r for r in aggregates.correlation_table(df, names).collect()}
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            if 4 in (i, j):
+                assert got[a, b] is None
+            else:
+                assert got[a, b] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], rel=1e-9)
+
+
+def test_correlations_of_three_hundred_columns(spark):
+    names = [f"c{i}" for i in range(300)]
+    df = spark.range(0, 500, 1, 4).select(*[F.when(F.col("id") % (i % 7 + 3) != 0, F.pmod(F.xxhash64(F.lit(i), "id"), F.lit(1000)).cast("double")).alias(n) for i, n in enumerate(names)])
+    table = aggregates.correlation_table(df, names)
+    got = {(r.var_a, r.var_b): r.r for r in table.filter("var_a in ('c0', 'c150', 'c299')").collect()}
+    assert table.count() == 300 * 300
+    for a, b in (("c0", "c1"), ("c150", "c299"), ("c299", "c4")):
+        assert got[a, b] == pytest.approx(df.agg(F.corr(a, b)).first()[0], rel=1e-9)
 
 
 def test_order_statistics_without_groups(spark):
