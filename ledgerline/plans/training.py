@@ -5,10 +5,13 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 from functools import cache, reduce
+from threading import Lock
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,12 +63,14 @@ def train_matrix(
     draws: int = 20,
     folds: int = 3,
     out: str | None = None,
+    parallelism: int = 4,
 ) -> TrainingRun:
     """Fit every model for every target and horizon and score both splits.
 
     The driver only loops over runs; matrices, fits and scores are Spark jobs. Each matrix is
-    written once (partitioned by split) and all its models read it; the fold cross products of a
-    matrix are taken once for all its linear models. Beside a matrix stands its preprocessing, so
+    written once (partitioned by split) and all its models read it, ``parallelism`` of them at a time,
+    as the many small jobs of a fit do not keep a cluster busy; the fold cross products of a matrix are
+    taken once for all its linear models. Beside a matrix stands its preprocessing, so
     that :func:`score_panel` can put rows through it which nobody had seen.
 
     A run can be taken up again: a matrix and a model are marked in ``out`` when all they consist of is
@@ -102,19 +107,26 @@ def train_matrix(
             trained = True
             todo = [n for n in names if (target, horizon, n) not in finished]
             if todo:
-                _fit_models(spark, out, folder, target, horizon, todo, search, draws, folds, cfg.seed, settings)
+                _fit_models(spark, out, folder, target, horizon, todo, search, draws, folds, cfg.seed, settings, parallelism)
             _vote(spark, out, target, horizon, names, bool(todo), settings)
     if not trained:
         raise ValueError("no target and horizon has train rows")
     return load_run(spark, out)
 
 
-def _fit_models(spark, out, folder, target, horizon, names, search, draws, folds, seed, settings) -> None:
+def _fit_models(spark, out, folder, target, horizon, names, search, draws, folds, seed, settings, parallelism) -> None:
     matrix = spark.read.parquet(f"{folder}/scaled")
     features = feature_columns(matrix)
     train = matrix.filter(F.col("split") == TRAIN)
-    moments = cache(lambda: models.fold_moments(train, features, folds))
-    for name in names:
+    lock, taken = Lock(), []
+
+    def moments():
+        with lock:
+            if not taken:
+                taken.append(models.fold_moments(train, features, folds))
+            return taken[0]
+
+    def one(name: str) -> None:
         candidates = {
             "random": lambda: models.random_draws(name, draws, seed, len(features)),
             "grid": lambda: models.grid_points(name, len(features)),
@@ -131,12 +143,15 @@ def _fit_models(spark, out, folder, target, horizon, names, search, draws, folds
             rows.write.mode("overwrite").parquet(f"{out}/predictions/{_of(target, horizon, name)}")
         except DATA_ERRORS as e:
             _register(spark, out, target, horizon, name, [None, None, None, None, f"{type(e).__name__}: {e}"[:500], None, settings])
-            continue
+            return
         importances = spark.createDataFrame(fitted.importances(), "feature string, importance double")
         importances.coalesce(1).write.mode("overwrite").parquet(f"{out}/importances/{_of(target, horizon, name)}")
         # the mark that all of this model is stored
         _register(spark, out, target, horizon, name, [len(fitted.features), fitted.features, models.params_json(fitted.params), path, None, fallback, settings])
 
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        list(pool.map(inheritable_thread_target(spark)(one), names))
+
 
 def _register(spark: SparkSession, out: str, target: str, horizon: int, model: str, row: list) -> None:
     spark.createDataFrame([tuple(row)], RUN_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{out}/registry/{_of(target, horizon, model)}")
