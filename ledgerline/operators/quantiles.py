@@ -39,6 +39,12 @@ def _sub_bucket(v: Column, lo: Column, hi: Column) -> Column:
 
 def _inside(data: DataFrame, by: list[str], brackets: DataFrame) -> DataFrame:
     """Rows of ``data`` inside a bracket of their group, one row per bracket."""
+    if by == [_ALL]:
+        # one group has a bracket for each wanted rank at most: they become literals, and nothing is joined
+        held = [F.struct(F.lit(b.t).alias("t"), F.lit(b.r).cast("bigint").alias("r"), F.lit(b.n).cast("bigint").alias("n"), F.lit(b.lo).alias("lo"), F.lit(b.hi).alias("hi")) for b in brackets.collect()]
+        kind = "array<struct<t:int,r:bigint,n:bigint,lo:double,hi:double>>"
+        inside = F.filter(F.array(*held).cast(kind), lambda t: F.col("_v").between(t["lo"], t["hi"]))
+        return data.select(*by, "_v", F.inline(inside))
     targets = brackets.groupBy(*by).agg(F.collect_list(F.struct("t", "r", "n", "lo", "hi")).alias("_targets"))
     joined = data.join(checked_broadcast(targets), by)
     inside = F.filter("_targets", lambda t: F.col("_v").between(t["lo"], t["hi"]))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ledgerline.config import PanelConfig
@@ -31,9 +31,16 @@ RATIOS = {
     "charge_off_ratio": ("total_charge_offs", "total_loans_and_leases"),
     "rwa_ratio": ("total_rwa", "total_assets"),
 }
-DEPOSIT_BUCKETS = [f"dep_{size}_{m}" for size in ("small", "large") for m in ("3m_less", "3m_1y", "1y_3y", "3y_more")]
-LOAN_STEMS = ("closed_end_first_liens_1_4_res_prop", "all_other_loans")
-LOAN_BUCKETS = [f"{stem}_{m}" for stem in LOAN_STEMS for m in ("3m_less", "3m_1y", "1y_3y", "3y_5y", "5y_15y", "15y_more")]
+# Maturity buckets of deposits and of loans.
+DEPOSIT_BUCKETS = [
+    "dep_small_3m_less", "dep_small_3m_1y", "dep_small_1y_3y", "dep_small_3y_more",
+    "dep_large_3m_less", "dep_large_3m_1y", "dep_large_1y_3y", "dep_large_3y_more",
+]
+LOAN_BUCKETS = [
+    "closed_end_first_liens_1_4_res_prop_3m_less", "closed_end_first_liens_1_4_res_prop_3m_1y", "closed_end_first_liens_1_4_res_prop_1y_3y",
+    "closed_end_first_liens_1_4_res_prop_3y_5y", "closed_end_first_liens_1_4_res_prop_5y_15y", "closed_end_first_liens_1_4_res_prop_15y_more",
+    "all_other_loans_3m_less", "all_other_loans_3m_1y", "all_other_loans_1y_3y", "all_other_loans_3y_5y", "all_other_loans_5y_15y", "all_other_loans_15y_more",
+]
 TO_ASSETS = [
     "net_income", "net_interest_income", "interest_income", "interest_expense", "non_interest_income",
     "non_interest_expense", "allowance_for_loan_and_lease_losses", "allowance_for_credit_losses",
@@ -41,15 +48,17 @@ TO_ASSETS = [
 ]
 
 
-def _term(buckets: Sequence[str], short: bool) -> list[str]:
-    return [b for b in buckets if b.endswith(("3m_less", "3m_1y")) == short]
-
-
+# Which buckets are short and which long term.
 TERMS = {
-    "dep_short_term": _term(DEPOSIT_BUCKETS, True),
-    "dep_long_term": _term(DEPOSIT_BUCKETS, False),
-    "loans_short_term": _term(LOAN_BUCKETS, True),
-    "loans_long_term": _term(LOAN_BUCKETS, False),
+    "dep_short_term": ["dep_small_3m_less", "dep_small_3m_1y", "dep_large_3m_less", "dep_large_3m_1y"],
+    "dep_long_term": ["dep_small_1y_3y", "dep_small_3y_more", "dep_large_1y_3y", "dep_large_3y_more"],
+    "loans_short_term": [
+        "closed_end_first_liens_1_4_res_prop_3m_less", "closed_end_first_liens_1_4_res_prop_3m_1y", "all_other_loans_3m_less", "all_other_loans_3m_1y",
+    ],
+    "loans_long_term": [
+        "closed_end_first_liens_1_4_res_prop_1y_3y", "closed_end_first_liens_1_4_res_prop_3y_5y", "closed_end_first_liens_1_4_res_prop_5y_15y",
+        "closed_end_first_liens_1_4_res_prop_15y_more", "all_other_loans_1y_3y", "all_other_loans_3y_5y", "all_other_loans_5y_15y", "all_other_loans_15y_more",
+    ],
 }
 
 
@@ -125,6 +134,28 @@ def stage_stats(stages: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [stage_row(df, name) for name, df in stages.items()])
 
 
+def _stored_features(selected: DataFrame, counted: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """The stored rows, with the entity's number of known values in ``_known``, and the rows of their two stages.
+
+    The count shares the exchange of the entity windows before it. What the stage rows tell is observed
+    while the table is written, so the rows are not read again for it.
+    """
+    entity = Window.partitionBy("id")
+    marked = selected.withColumn("_known", F.count(counted).over(entity)).withColumn("_first", F.row_number().over(windows.by_entity()) == 1)
+    kept = (F.col("_known") >= least) | F.lit(least <= 1)
+    seen, metrics = Observation(), []
+    for stage, there in (("features", F.lit(True)), ("min_observations", kept)):
+        metrics += [
+            F.count_if(there).alias(f"{stage}_rows"), F.count_if(there & F.col("_first")).alias(f"{stage}_entities"),
+            F.min(F.when(there, F.col("date"))).alias(f"{stage}_min_date"), F.max(F.when(there, F.col("date"))).alias(f"{stage}_max_date"),
+        ]
+    base = materialize(marked.observe(seen, *metrics).drop("_first"), "panel-features")
+    names = ("rows", "entities", "min_date", "max_date")
+    rows = [(stage, *[seen.get[f"{stage}_{n}"] for n in names]) for stage in ("features", "min_observations")]
+    date = selected.schema["date"].dataType.simpleString()
+    return base, base.sparkSession.createDataFrame(rows, f"stage string, rows long, entities long, min_date {date}, max_date {date}")
+
+
 def prepare_panel(panel: DataFrame, macro: DataFrame, index: DataFrame | None, cfg: PanelConfig) -> PreparedPanel:
     """Gap fill, ratios, changes, macro join, sample rules, break correction and winsorising.
 
@@ -148,9 +179,11 @@ def prepare_panel(panel: DataFrame, macro: DataFrame, index: DataFrame | None, c
     wanted = [*features, *cfg.targets, *extra, counted]
     selected, absent = clean.select_present(joined, ["id", "date", *wanted, "gap_filled"])
     absent = [c for c in absent if c != "is_structural_break"]
-    base = materialize(selected, "panel-features")
+    base, counted_stages = _stored_features(selected, counted, cfg.min_obs_per_entity)
 
-    enough = sample.min_observations(base, counted, cfg.min_obs_per_entity) if cfg.min_obs_per_entity > 1 else base
+    # The rule's count is stored with each row: a filter for the scan, not a window for each pass below.
+    enough = base.filter(F.col("_known") >= cfg.min_obs_per_entity) if cfg.min_obs_per_entity > 1 else base
+    enough, base = enough.drop("_known"), base.drop("_known")
     without_outliers = sample.remove_outliers(enough, cfg.targets, cfg.outlier_threshold)
     # Break and winsorising limits are statistics of the restricted sample, so it is kept as well.
     restricted = materialize(sample.restrict_sample(without_outliers, cfg), "panel-sample")
@@ -166,9 +199,7 @@ def prepare_panel(panel: DataFrame, macro: DataFrame, index: DataFrame | None, c
     if cfg.include_entity_effect:
         effects[ENTITY] = entity_effect()
     final = final.withColumns(effects) if effects else final
-    stages = stage_stats(
-        {"features": base, "min_observations": enough, "outliers": without_outliers, "restricted": restricted}
-    )
+    stages = counted_stages.unionByName(stage_stats({"outliers": without_outliers, "restricted": restricted}))
     numeric = [f for f in features if f in final.columns]
     return PreparedPanel(
         final.drop("gap_filled"), numeric, list(effects), absent, stages, windows.fill_summary(base)
@@ -176,5 +207,5 @@ def prepare_panel(panel: DataFrame, macro: DataFrame, index: DataFrame | None, c
 
 
 def merge_tables(panel: DataFrame, macro: DataFrame, index: DataFrame | None) -> DataFrame:
-    """The three-way merge as a stored table: macro quarters, panel rows, index levels."""
+    """The three-way merge: macro quarters, panel rows, index levels."""
     return macro_panel_join(panel, macro, index)
