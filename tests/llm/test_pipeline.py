@@ -13,7 +13,7 @@ from ledgerline.session import materialize
 from tests.llm.test_decontaminate import plain_tiles
 from tests.llm.test_line_dedup import plain as plain_lines
 from tests.llm.test_quality_rules import plain_counts
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_simhash import plain_components, plain_jaccard, plain_set
 
 
 @pytest.fixture(scope="module")
@@ -58,12 +58,9 @@ def test_line_dedup(stages):
 def test_near_duplicates(stages):
     _, before, after = stages[2]
     docs = texts(before)
-    prints = {d: plain_fingerprint(t) for d, t in docs.items()}
-    least = {}
-    for d, f in sorted(prints.items()):
-        least.setdefault(f, d)
-    component = plain_components(sorted(least), least, lambda a, b: (a ^ b).bit_count() <= 2)
-    assert texts(after) == {d: t for d, t in docs.items() if component[prints[d]] == d}
+    sets = {d: plain_set(t, p.NEAR_WORDS) for d, t in docs.items()}
+    component = plain_components(sorted(sets), {d: d for d in sets}, lambda a, b: plain_jaccard(sets[a], sets[b]) >= p.NEAR_SIMILARITY)
+    assert texts(after) == {d: t for d, t in docs.items() if component[d] == d}
 
 
 def test_decontamination(spark, sf_dir, stages):
