@@ -7,6 +7,10 @@ difference of its two log-probabilities, less its sampling error and less a gate
 topics are spread unevenly over the classes, and a small difference on every word would outweigh the
 few words that matter. A document's evidence is the mean over its words; a logistic curve, fitted on
 labelled rows that the counts did not see, turns it into a score.
+
+Words that make up a large enough share of the labelled text are weighed where a document is split, from
+a broadcast table whose size that share bounds. Of all other words only those that a bitmap of fixed size
+does not rule out leave the document and meet their evidence by key.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import bucket_of, text_hash, text_of
+from ledgerline.llm.exact_dedup import Filter
 from ledgerline.llm.quality_model import bounded, learnable
 from ledgerline.session import materialize
 
@@ -32,6 +37,10 @@ FIT_ROWS = 200_000
 #: A log ratio counts as far as it exceeds this, plus this share of its standard error.
 GATE, ERROR_SHARE = 1.5, 0.5
 THRESHOLD = 0.3
+#: A word is frequent when it is more than one in this many of the counted words with evidence; so no more can exist.
+FREQUENT_WORDS = 1 << 19
+#: Bits that rule out words without evidence (16 MB).
+RARE_BITS = 1 << 27
 #: Remainders of crc32(id) modulo four: held out, calibration; the other two are counted.
 HELD_OUT, CALIBRATION = 2, 3
 
@@ -92,7 +101,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def log_ratios(counts: DataFrame, gate: float = GATE, error_share: float = ERROR_SHARE) -> DataFrame:
-    """(word, ratio) of the words with evidence for either class."""
+    """(word, ratio, times) of the words with evidence for either class; ``times`` they were counted."""
     sums = [F.count(F.lit(1)), F.sum("continuations")]
     for c in ("toxic", "ordinary"):
         sums += [F.sum(c), F.count(F.when(F.col(c) > 0, 1)), F.count(F.when(F.col(c) == 1, 1)), F.count(F.when(F.col(c) == 2, 1))]
@@ -105,33 +114,66 @@ def log_ratios(counts: DataFrame, gate: float = GATE, error_share: float = ERROR
 
     ratio = log_p("toxic", *of[:4]) - log_p("ordinary", *of[4:])
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("ordinary") + 0.5))
-    return counts.select("word", (F.signum(ratio) * F.greatest(F.abs(ratio) - gate - error_share * error, F.lit(0.0))).alias("ratio")).where("ratio <> 0")
-
-
-def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of each text and their numbers; a text without words has one null."""
-    known = WordKeys()
-    for batch in batches:
-        words, counts = [], []
-        for text in batch.column(3):
-            w, n = np.unique(known.of(text.as_py()), return_counts=True)
-            words.append(w if len(w) else [None])
-            counts.append(n if len(w) else [0])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(2), pa.array(words, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))],
-            names=["doc_id", "text_hash", "fold", "word", "n"],
-        )
-
-
-def evidence(rows: DataFrame, ratios: DataFrame) -> DataFrame:
+    beyond = F.signum(ratio) * F.greatest(F.abs(ratio) - gate - error_share * error, F.lit(0.0))
+    return counts.select("word", beyond.alias("ratio"), (F.col("toxic") + F.col("ordinary")).alias("times")).where("ratio <> 0")
+
+
+def _bitmap(words: DataFrame) -> np.ndarray:
+    """Bits at the lowest ``RARE_BITS`` values of the words' keys, put together by tasks in slices of 4 KB."""
+    place = F.col("word").bitwiseAND(F.lit(RARE_BITS - 1)) + 1
+    slices = words.groupBy(F.bitmap_bucket_number(place).alias("slice")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    held = np.zeros(RARE_BITS // 8, dtype=np.uint8)
+    for at, bits in slices.collect():
+        held[4096 * (at - 1) : 4096 * at] = np.frombuffer(bits, dtype=np.uint8)
+    return held
+
+
+def _weighed(known_words):
+    """Number of words of each text, the sum of its frequent words' ratios, and the distinct other words that may have one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, (frequent, ratios, bits) = WordKeys(), known_words.value
+        for batch in batches:
+            totals, sums, words, counts = [], [], [], []
+            for text in batch.column(3):
+                w, n = np.unique(known.of(text.as_py()), return_counts=True)
+                at = np.minimum(np.searchsorted(frequent, w), len(frequent) - 1)
+                is_frequent = frequent[at] == w
+                low = w & (RARE_BITS - 1)
+                rest = ~is_frequent & ((bits[low >> 3] >> (low & 7)) & 1).astype(bool)
+                totals.append(int(n.sum()))
+                sums.append(float((ratios[at] * n)[is_frequent].sum()))
+                words.append(w[rest])
+                counts.append(n[rest])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(totals, pa.int64()), pa.array(sums, pa.float64()), pa.array(words, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "fold", "n_words", "frequent", "word", "n"],
+            )
+
+    return run
+
+
+def evidence(rows: DataFrame, ratios: DataFrame, frequent: DataFrame | None = None) -> DataFrame:
     """(doc_id, text_hash, fold, evidence) of rows (doc_id, text_hash, fold, text): the mean ratio of a text's words.
 
-    ``ratios`` (word, ratio) is joined by key and may have any number of words.
+    ``ratios`` (word, ratio) is joined by key and may have any number of words; ``frequent``, of a bounded number
+    and none of them in ``ratios``, is broadcast.
     """
-    held = rows.mapInArrow(_words_of, "doc_id bigint, text_hash bigint, fold bigint, word array<bigint>, n array<bigint>").withColumn("row", F.monotonically_increasing_id())
-    words = held.select("row", "doc_id", "text_hash", "fold", F.inline(F.arrays_zip("word", "n")))
-    sums = words.join(ratios, "word", "left").groupBy("row", "doc_id", "text_hash", "fold").agg(F.sum(F.col("ratio") * F.col("n")).alias("total"), F.sum("n").alias("n"))
-    return sums.select("doc_id", "text_hash", "fold", F.when(F.col("n") > 0, F.coalesce("total", F.lit(0.0)) / F.col("n")).otherwise(0.0).alias("evidence"))
+    spark = rows.sparkSession
+    # one key that no text looks up more than any other word keeps the table from being empty
+    table = np.array([(0, 0.0)], dtype=[("word", np.int64), ("ratio", np.float64)])
+    if frequent is not None:
+        found = frequent.select("word", "ratio").toArrow().to_pandas().sort_values("word")
+        if len(found):
+            table = found.to_records(index=False)
+    known_words = spark.sparkContext.broadcast((np.ascontiguousarray(table["word"]), np.ascontiguousarray(table["ratio"]), _bitmap(ratios)))
+    kinds = "doc_id bigint, text_hash bigint, fold bigint, n_words bigint, frequent double, word array<bigint>, n array<bigint>"
+    held = materialize(rows.mapInArrow(_weighed(known_words), kinds).withColumn("row", F.monotonically_increasing_id()), "text_words")
+    document = ["row", "doc_id", "text_hash", "fold", "n_words", "frequent"]
+    words = held.where(F.size("word") > 0).select(*document, F.inline(F.arrays_zip("word", "n")))
+    looked_up = words.join(ratios.select("word", "ratio"), "word", "left").groupBy(*document).agg(F.coalesce(F.sum(F.col("ratio") * F.col("n")), F.lit(0.0)).alias("rare"))
+    sums = looked_up.unionByName(held.where(F.size("word") == 0).select(*document, F.lit(0.0).alias("rare")))
+    return sums.select("doc_id", "text_hash", "fold", F.when(F.col("n_words") > 0, (F.col("frequent") + F.col("rare")) / F.col("n_words")).otherwise(0.0).alias("evidence"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -147,8 +189,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     learned = materialize(learnable(labels, "toxic").where(bucket_of(F.col("doc_id"), 4) != HELD_OUT), "toxic_labels")
     counting = learned.where(bucket_of(F.col("doc_id"), 4) != CALIBRATION)
     once = materialize(rows.select("doc_id", "text_hash").join(counting, "doc_id").groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")), "toxic_texts")
-    counts = materialize(word_counts(rows.join(once, ["doc_id", "text_hash"]).select("text", "label")), "words")
-    measured = materialize(evidence(rows, materialize(log_ratios(counts), "word_ratios")), "evidence")
+    # most unlabelled texts are ruled out before the join, so that they are not shuffled
+    labelled = Filter(once, ["doc_id", "text_hash"]).mark(rows, ["doc_id", "text_hash"], "labelled").where("labelled").join(once, ["doc_id", "text_hash"])
+    counts = materialize(word_counts(labelled.select("text", "label")), "words")
+    ratios = materialize(log_ratios(counts), "word_ratios")
+    is_frequent = F.col("times") * FREQUENT_WORDS > (ratios.agg(F.sum("times")).first()[0] or 0)
+    measured = materialize(evidence(rows, ratios.where(~is_frequent), ratios.where(is_frequent)), "evidence")
     calibrating = bounded(learned.where(bucket_of(F.col("doc_id"), 4) == CALIBRATION), fit_rows)
     slope, intercept = _curve(measured.where(F.col("fold") == CALIBRATION).join(calibrating, "doc_id").select("label", "evidence"))
     score = 1 / (1 + F.exp(-(F.col("evidence") * slope + intercept)))

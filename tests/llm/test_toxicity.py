@@ -104,3 +104,15 @@ def test_evidence_joins_any_number_of_words_by_key(spark):
     ratios = spark.createDataFrame([(keys["vile"], 3.0), (keys["calm"], -1.0), *((k, 9.0) for k in range(1000))], "word long, ratio double")
     got = {r["text_hash"]: r["evidence"] for r in t.evidence(rows, ratios).collect()}
     assert got == {0: 2.0, 1: 0.0, 2: 0.0, 3: 3.0, 4: 3.0, 5: -0.5}
+
+
+def test_frequent_words_are_weighed_like_others(spark, monkeypatch):
+    docs, labels = corpus(200)
+    docs += [(900, None, "s"), (901, "", "s"), (902, "vile " * 5000, "s")]
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string, source string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = []
+    for most in (t.FREQUENT_WORDS, 3, 0):  # all words, some and none are broadcast
+        monkeypatch.setattr(t, "FREQUENT_WORDS", most)
+        found.append({r["doc_id"]: r["evidence"] for r in t.score_toxicity(d, lab).collect()})
+    assert any(found[0].values()) and len(found[0]) == len(docs)
+    assert all(other[i] == pytest.approx(v) for other in found[1:] for i, v in found[0].items())
