@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import text_hash, text_of
+from ledgerline.llm.exact_dedup import Filter
+from ledgerline.session import materialize
 
 BUCKETS = 1 << 16
-#: Trusted documents counted at most; their ids are broadcast.
-TRUSTED_DOCUMENTS = 50_000
 #: A document is kept when its mean log ratio reaches this.
 MIN_LOG_RATIO = -0.12
 MIN_WORDS = 50
@@ -92,11 +92,23 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(trusted[at])], names=["bucket", "raw", "trusted"])
 
 
+def _marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(text, is_trusted) of every row of ``docs`` (doc_id, text).
+
+    A bitmap of bounded size rules out most ids that are not trusted, so that only the other texts are shuffled
+    to meet their ids; a null id is not trusted.
+    """
+    ids = materialize(trusted.select("doc_id"), "trusted_ids")
+    sieved = Filter(ids, ["doc_id"]).mark(docs, ["doc_id"], "in_bitmap").withColumn("in_bitmap", F.col("in_bitmap") & F.col("doc_id").isNotNull())
+    met = sieved.where("in_bitmap").join(ids.withColumn("is_trusted", F.lit(True)), "doc_id", "left")
+    return met.select("text", F.coalesce("is_trusted", F.lit(False)).alias("is_trusted")).unionByName(sieved.where("not in_bitmap").select("text", F.lit(False).alias("is_trusted")))
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, smoothing: float = SMOOTHING) -> np.ndarray:
-    """Log ratio of each bucket. ``docs``: (doc_id, text); ``trusted``: distinct ids, of a bounded number."""
-    marked = docs.join(F.broadcast(trusted.select("doc_id").withColumn("is_trusted", F.lit(True))), "doc_id", "left")
+    """Log ratio of each bucket. ``docs``: (doc_id, text); ``trusted``: distinct ids, of any number."""
+    marked = _marked(docs, trusted)
     # each task sends one row for a bucket at most
-    counts = marked.select("text", F.coalesce("is_trusted", F.lit(False)).alias("is_trusted")).mapInArrow(_counts, "bucket bigint, raw bigint, trusted bigint")
+    counts = marked.mapInArrow(_counts, "bucket bigint, raw bigint, trusted bigint")
     rows = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toPandas()  # `BUCKETS` rows at most
     raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[rows["bucket"]], good[rows["bucket"]] = rows["raw"], rows["trusted"]
@@ -132,11 +144,9 @@ def _scored(ratios):
     return run
 
 
-def trusted_ids(labels: DataFrame, at_most: int = TRUSTED_DOCUMENTS) -> DataFrame:
-    """Distinct ids labelled as good, thinned by a hash of the id to about ``at_most``."""
-    good = labels.where((labels["quality"] == 1) & labels["doc_id"].isNotNull()).select(labels["doc_id"].cast("bigint").alias("doc_id")).distinct()
-    n = good.count()
-    return good if n <= at_most else good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(at_most / n * (1 << 30)))
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Distinct ids labelled as good."""
+    return labels.where((labels["quality"] == 1) & labels["doc_id"].isNotNull()).select(labels["doc_id"].cast("bigint").alias("doc_id")).distinct()
 
 
 def quality(docs: DataFrame, labels: DataFrame, min_log_ratio: float = MIN_LOG_RATIO, smoothing: float = SMOOTHING) -> DataFrame:

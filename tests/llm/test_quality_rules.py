@@ -78,10 +78,20 @@ def test_counts_ratio_and_verdict_equal_plain(spark):
     assert kept == {w[0] for w in want if w[8]} and not kept & set(range(100, 206)) and kept >= set(range(40))
 
 
-def test_trusted_sample_is_bounded(spark):
-    labels = spark.range(5000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
-    assert 300 < q.trusted_ids(labels, 500).count() < 700
-    assert q.trusted_ids(labels, 5000).count() == 5000
+def test_every_trusted_document_is_counted(spark):
+    labels = spark.range(60_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    ids = q.trusted_ids(labels.unionByName(labels.limit(10)).unionByName(spark.sql("select null doc_id, 1 quality, 0 toxic")))
+    docs = spark.range(61_000).selectExpr("id as doc_id", "'a b' as text").unionByName(spark.sql("select null doc_id, 'n' text union all select 3, 'again'"))
+    got = {(r["text"], r["is_trusted"]): r["count"] for r in q._marked(docs, ids).groupBy("text", "is_trusted").count().collect()}
+    assert got == {("a b", True): 60_000, ("a b", False): 1000, ("n", False): 1, ("again", True): 1}
+
+
+def test_keep_good_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, t, 1, "x", True) for i, t in corpus()], "doc_id long, text string, _id long, _hash string, is_trusted boolean")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    plainly = {r["doc_id"] for r in q.keep_good(docs.select("doc_id", "text"), labels, SMOOTHING).collect()}
+    kept = q.keep_good(docs, labels, SMOOTHING)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == plainly >= set(range(40))
 
 
 def test_empty(spark):
