@@ -96,11 +96,12 @@ def _marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(text, is_trusted) of every row of ``docs`` (doc_id, text).
 
     A bitmap of bounded size rules out most ids that are not trusted, so that only the other texts are shuffled
-    to meet their ids; a null id is not trusted.
+    to meet their ids; a null id is not trusted. The join is one by merging at every size, so that its cost is
+    in proportion to the texts from small tables on.
     """
     ids = materialize(trusted.select("doc_id"), "trusted_ids")
     sieved = Filter(ids, ["doc_id"]).mark(docs, ["doc_id"], "in_bitmap").withColumn("in_bitmap", F.col("in_bitmap") & F.col("doc_id").isNotNull())
-    met = sieved.where("in_bitmap").join(ids.withColumn("is_trusted", F.lit(True)), "doc_id", "left")
+    met = sieved.where("in_bitmap").join(ids.withColumn("is_trusted", F.lit(True)).hint("merge"), "doc_id", "left")
     return met.select("text", F.coalesce("is_trusted", F.lit(False)).alias("is_trusted")).unionByName(sieved.where("not in_bitmap").select("text", F.lit(False).alias("is_trusted")))
 
 
