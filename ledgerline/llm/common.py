@@ -10,6 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare_name(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(docs: DataFrame, text: str = "text") -> Column:
     """The text column with null read as the empty text."""
     return F.coalesce(docs[text], F.lit(""))

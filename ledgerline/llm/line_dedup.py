@@ -15,7 +15,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import text_hash, text_of
+from ledgerline.llm.common import spare_name, text_hash, text_of
 from ledgerline.session import materialize
 
 ONE_EDIT, TWO_EDITS = 10, 20
@@ -259,23 +259,24 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with every line kept once in all: at its first place, without near copies of earlier lines.
 
     Blank lines stay. A text that loses no line stays as it is, null included; a text may become empty.
-    ``n_chars``, if there, follows the new text. Other columns stay as they are.
+    ``n_chars``, if there, follows the new text. Other columns stay as they are, whatever their names.
     """
     found = verdicts(docs)
     drops = found.where("near or not owner").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("id").alias("_drop"))
     repeated = docs.join(drops, docs["doc_id"].cast("bigint").eqNullSafe(drops["_id"]) & (text_hash(docs["text"]) == drops["_hash"]), "left")
     # a blank line gets its number in front, behind a line feed that no line has, so that it is not taken for a copy
     marked = F.array_distinct(F.transform(F.split(docs["text"], "\n"), lambda x, i: F.when(~x.rlike(NOT_BLANK), F.concat(F.lit("\n"), i.cast("string"), F.lit("\n"), x)).otherwise(x)))
-    hashes = F.coalesce(F.col("_drop"), F.array().cast("array<bigint>"))
+    hashes = F.coalesce(drops["_drop"], F.array().cast("array<bigint>"))
     kept = F.filter(marked, lambda x: ~F.array_contains(hashes, F.xxhash64(x)))
     text = F.array_join(F.transform(kept, lambda x: F.when(x.startswith("\n"), F.substring_index(x, "\n", -1)).otherwise(x)), "\n")
-    out = repeated.withColumn("_text", text)
+    new = spare_name(docs, "_text")
+    out = repeated.withColumn(new, text)
     columns = []
     for c in docs.columns:
         if c == "text":
-            columns.append(F.col("_text").alias("text"))
+            columns.append(F.col(new).alias("text"))
         elif c == "n_chars":
-            columns.append(F.length("_text").cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+            columns.append(F.length(new).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
         else:
             columns.append(docs[c])
     return out.select(*columns)

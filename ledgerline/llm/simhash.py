@@ -240,7 +240,7 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: fl
     Components are those of ``similar_documents`` when a similarity is given, else of ``near_duplicates``, whose
     fingerprints have shingles of ``SHINGLE_WORDS`` only.
     Among rows that repeat this id the one of the smallest text hash stays, equal rows once.
-    Rows of a component without any id are kept by their text hash.
+    Rows of a component without any id are kept by their text hash. Other columns stay, whatever their names.
     """
     if similarity is None and shingle_words != SHINGLE_WORDS:
         raise ValueError(f"fingerprints are of {SHINGLE_WORDS} words; give a similarity for other shingles")
@@ -255,6 +255,6 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: fl
         .agg(F.count(F.lit(1)).alias("_copies"))
     )
     joined = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"]) & (text_hash(docs["text"]) == chosen["_hash"]))
-    once = joined.where("_copies = 1").select(*(docs[c] for c in docs.columns))
-    again = joined.where("_copies > 1").select(*(docs[c] for c in docs.columns)).dropDuplicates(["doc_id", "text"])
+    once = joined.where(chosen["_copies"] == 1).select(*(docs[c] for c in docs.columns))
+    again = joined.where(chosen["_copies"] > 1).select(*(docs[c] for c in docs.columns)).dropDuplicates(["doc_id", "text"])
     return once.unionByName(again)

@@ -124,6 +124,13 @@ def test_documents(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in out if r["text"] is not None)
 
 
+def test_clashing_columns(spark):
+    docs = [(1, "first line of all\nsecond", 7, "a", "b", "c"), (2, "first line of all\nother", 7, "a", "b", "c")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, _drop long, _text string, _TEXT_ string, _id string")
+    out = ld.dedup_lines(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [docs[0], (2, "other", *docs[1][2:])]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert ld.line_report(none).count() == 0 and ld.dedup_lines(none).count() == 0

@@ -139,3 +139,12 @@ def test_pipeline_stage_drops_near_copies_beyond_two_bits(spark):
     assert (plain_fingerprint(texts[1]) ^ plain_fingerprint(texts[2])).bit_count() > 2
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "").collect()
     assert sorted(x["doc_id"] for x in kept) == [1, 3]
+
+
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_keep_one_with_clashing_columns(spark, similarity):
+    same = "one two three four five six seven"
+    docs = [(1, same, 5, "x", "y", "z"), (2, same, 5, "x", "y", "z"), (3, "quite another text of eight words in all", 1, "x", "y", "z")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, _copies long, _id string, _hash string, component_id string")
+    out = simhash.keep_one(df, similarity=similarity)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [docs[0], docs[2]]
