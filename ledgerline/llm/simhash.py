@@ -7,10 +7,12 @@ sets of four positions. The six unions of two of the four byte pairs leave out e
 at least once, so every link meets in a posting. Pairs from the postings are tallied byte by byte,
 pairs below six shared bytes are dropped, the rest is verified on the bits.
 
-Two bits of 64 are far fewer than near copies of a given similarity differ in, so ``similar_documents``
-joins the sets of shingles themselves: two sets of similarity s share one of the first
-n - ceil(s * n) + 1 shingles of either in any fixed order, here that of their hashes. The
-documents that meet there are verified by the similarity of their whole sets; none is lost.
+Two bits of 64 are far fewer than near copies of a given similarity differ in. ``similar_documents``
+therefore takes the fingerprints' links, each verified by the similarity of the two sets of shingles,
+first, and completes them by a join of the sets: two sets of similarity s share one of the first
+n - ceil(s * n) + 1 shingles of either in any fixed order. The order is that of a bounded array of
+counters, rare shingles first, so that few sets meet. Where many do, they are tied to one of them and
+verified; then only sets of different components make pairs. Each pair is verified; no link is lost.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from ledgerline.llm.common import text_hash
+from ledgerline.llm.exact_dedup import Filter
 from ledgerline.llm.graph import components
 from ledgerline.session import materialize
 
@@ -37,6 +40,9 @@ MIN_SHARED_BYTES = 8 - MAX_BITS
 #: A posting of up to this many fingerprints is joined with itself; a longer one is refined.
 POSTING_ROWS = 48
 _ROWS_AT_ONCE = 1 << 14
+#: Counters by which shingles are ordered (4 MB); those that share one are only ordered less well.
+ORDER_COUNTERS = 1 << 20
+_SHINGLES_AT_ONCE = 1 << 21
 
 
 def fingerprint(text: str | None) -> int:
@@ -49,7 +55,11 @@ def fingerprint(text: str | None) -> int:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE_WORDS)), strict=False))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), dtype="<u8")
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned number of the bits that are set in over half of the hashes; zero of none."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), _ROWS_AT_ONCE):
         part = hashes[at : at + _ROWS_AT_ONCE].view(np.uint8).reshape(-1, 8)
@@ -167,43 +177,100 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
-def _sets(shingle_words: int, similarity: float | None):
-    """Number, hash and elements of each set; with a similarity only the elements of its prefix."""
+def _tallied(shingle_words: int):
+    """Of the sets of a task, how many elements fall on each of ``ORDER_COUNTERS`` counters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ORDER_COUNTERS, np.uint32)
+        for batch in batches:
+            held, n = [], 0
+            for text in batch.column(0):
+                held.append(shingle_set(text.as_py(), shingle_words) & (ORDER_COUNTERS - 1))
+                n += len(held[-1])
+                if n > _SHINGLES_AT_ONCE:
+                    total += np.bincount(np.concatenate(held), minlength=ORDER_COUNTERS).astype(np.uint32)
+                    held, n = [], 0
+            if held:
+                total += np.bincount(np.concatenate(held), minlength=ORDER_COUNTERS).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+
+    return run
+
+
+def _tally(texts: DataFrame, shingle_words: int) -> np.ndarray:
+    """The counters over all ``texts``: a fixed number, added up in a tree of tasks."""
+    counted = texts.select("text").mapInArrow(_tallied(shingle_words), "counts binary")
+    return counted.rdd.map(lambda r: np.frombuffer(r[0], np.uint32)).treeAggregate(np.zeros(ORDER_COUNTERS, np.uint32), np.add, np.add)
+
+
+def _sets(shingle_words: int, similarity: float | None, counters=None):
+    """Number, hash, fingerprint and elements of each set; with a similarity only its prefix, rare elements first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(t.as_py(), shingle_words) for t in batch.column(2)]
             keys = [xxhash.xxh64_intdigest(x.tobytes()) for x in found]
-            held = [x if similarity is None else x[: prefix_length(len(x), similarity)] for x in found]
+            held, bits = found, np.zeros(len(found), np.uint64)
+            if similarity is not None:
+                tally = counters.value
+                held = [x[np.lexsort((x, tally[x & (ORDER_COUNTERS - 1)]))[: prefix_length(len(x), similarity)]] for x in found]
+                bits = np.array([majority(x) for x in found], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
                     pa.array(np.array(keys, dtype=np.uint64).view(np.int64)),
+                    pa.array(bits.view(np.int64)),
                     pa.array([len(x) for x in found], pa.int32()),
                     pa.array(held, pa.list_(pa.int64())),
                 ],
-                names=["row", "text_hash", "fp", "n", "shingles"],
+                names=["row", "text_hash", "fp", "bits", "n", "shingles"],
             )
 
     return run
 
 
-def _similar_pairs(sets: DataFrame, similarity: float) -> DataFrame:
-    """Candidates (a, b) among distinct sets (fp, n, shingles of the prefix).
+def _met(sets: DataFrame) -> DataFrame:
+    """(shingle, fp, n, rest) for the prefix shingles of distinct sets that two of them share at least.
 
-    What two sets share up to the smaller end of their prefixes is counted; behind it they share at most
-    what that set has left. Pairs that cannot reach the similarity by that go before whole sets are read.
+    ``rest`` is the number of elements from this one on. All shingles are counted by themselves; most stand
+    in one prefix only and are ruled out by a bitmap before anything else of them is shuffled.
     """
-    entries = sets.select("fp", "n", F.explode("shingles").alias("shingle"))
-    a, b = (entries.select("shingle", F.col("fp").alias(side), F.col("n").alias(f"n_{side}")) for side in "ab")
-    sized = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6
-    met = a.join(b, "shingle").where((F.col("a") < F.col("b")) & sized).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    ends = sets.select("fp", "n", F.element_at("shingles", -1).alias("end"), (F.col("n") - F.size("shingles")).alias("left")).where("n > 0")
+    shared = materialize(sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where("count > 1").select("shingle"), "shared_shingles")
+    entries = sets.select("fp", "n", F.posexplode("shingles").alias("at", "shingle")).select("shingle", "fp", "n", (F.col("n") - F.col("at")).alias("rest"))
+    marked = Filter(shared, ["shingle"]).mark(entries, ["shingle"], "shared").where("shared").drop("shared")
+    return materialize(marked.join(shared, "shingle", "left_semi"), "met_shingles")
+
+
+def _near_fingerprints(sets: DataFrame) -> DataFrame:
+    """Candidates (a, b) among distinct sets (fp, bits): equal fingerprints, tied to one set, and linked ones, by ``links``."""
+    first = materialize(sets.groupBy("bits").agg(F.min("fp").alias("a")), "set_fingerprints")
+    equal = sets.join(first, "bits").where("a <> fp").select("a", F.col("fp").alias("b"))
+    of = links(first.select(F.col("bits").alias("fp")))
     for side in "ab":
-        met = met.join(ends.select(F.col("fp").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "end", "left"))), side)
-    left = F.when(F.col("end_a") < F.col("end_b"), F.col("left_a")).when(F.col("end_a") > F.col("end_b"), F.col("left_b")).otherwise(F.least("left_a", "left_b"))
-    return met.where((F.col("shared") + left) * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b")
+        of = of.join(first.select(F.col("bits").alias(side), F.col("a").alias(f"set_{side}")), side)
+    return equal.unionByName(of.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")))
+
+
+def _tied(met: DataFrame) -> DataFrame:
+    """Candidates (a, b) that tie the sets of each crowded posting to the one that meets them earliest in its own order."""
+    centres = met.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct(F.col("rest") - F.col("n"), "fp"))["fp"].alias("a")).where(F.col("size") > POSTING_ROWS)
+    return met.join(centres, "shingle").where("a <> fp").select("a", F.col("fp").alias("b"))
+
+
+def _similar_pairs(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (a, b) of different components among the sets that meet in a posting.
+
+    Two similar sets share elements from the first common one on only, so that as many must be left of both
+    there. A posting within one component gives nothing and goes before the join.
+    """
+    entries = met.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    entries = materialize(entries, "met_roots")
+    mixed = entries.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("shingle")
+    entries = entries.join(mixed, "shingle")
+    a, b = (entries.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("fp", "n", "rest", "root"))) for side in "ab")
+    enough = F.least("rest_a", "rest_b") * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - 1e-6
+    return a.join(b, "shingle").where((F.col("fp_a") < F.col("fp_b")) & (F.col("root_a") != F.col("root_b")) & enough).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
 
 
 def similar_documents(docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
@@ -214,20 +281,28 @@ def similar_documents(docs: DataFrame, shingle_words: int, similarity: float) ->
     without a word have equal sets. Nulls, repeated rows and other columns are treated as there.
     """
     texts = docs.select(docs["doc_id"].alias("row"), text_hash(docs["text"]).alias("text_hash"), docs["text"].alias("text"))
-    kinds = f"row {texts.schema['row'].dataType.simpleString()}, text_hash bigint, fp bigint, n int, shingles array<bigint>"
-    rows = materialize(texts.mapInArrow(_sets(shingle_words, similarity), kinds), "shingle_prefixes")
-    pairs = materialize(_similar_pairs(rows.dropDuplicates(["fp"]).select("fp", "n", "shingles"), similarity), "similar_candidates")
-    # whole sets of the candidates only
-    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    chosen = rows.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("text_hash").alias("text_hash")).select("text_hash")
-    whole = texts.join(chosen, "text_hash", "left_semi").select("row", "text_hash", "text").mapInArrow(_sets(shingle_words, None), kinds)
-    whole = materialize(whole.select("fp", "n", "shingles").dropDuplicates(["fp"]), "shingle_sets")
-    sides = pairs.join(whole.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a")), "a").join(
-        whole.select(F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b")), "b"
-    )
-    shared = F.size(F.array_intersect("s_a", "s_b"))
-    linked = sides.where(shared >= similarity * (F.col("n_a") + F.col("n_b") - shared) - 1e-6).select("a", "b")
-    of = components(linked)
+    kinds = f"row {texts.schema['row'].dataType.simpleString()}, text_hash bigint, fp bigint, bits bigint, n int, shingles array<bigint>"
+    counters = docs.sparkSession.sparkContext.broadcast(_tally(texts, shingle_words))
+    rows = materialize(texts.mapInArrow(_sets(shingle_words, similarity, counters), kinds), "shingle_prefixes")
+    sets = rows.dropDuplicates(["fp"])
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        pairs = materialize(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar_candidates")
+        # whole sets of the candidates only
+        wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+        chosen = rows.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("text_hash").alias("text_hash")).select("text_hash")
+        whole = texts.join(chosen, "text_hash", "left_semi").select("row", "text_hash", "text").mapInArrow(_sets(shingle_words, None), kinds)
+        whole = materialize(whole.select("fp", "n", "shingles").dropDuplicates(["fp"]), "shingle_sets")
+        sides = pairs.join(whole.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a")), "a").join(
+            whole.select(F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b")), "b"
+        )
+        shared = F.size(F.array_intersect("s_a", "s_b"))
+        return materialize(sides.where(shared >= similarity * (F.col("n_a") + F.col("n_b") - shared) - 1e-6).select("a", "b"), "similar_links")
+
+    met = _met(sets.select("fp", "n", "shingles"))
+    close = verified(_near_fingerprints(sets.select("fp", "bits")).unionByName(_tied(met)))
+    rest = verified(_similar_pairs(met, components(close), similarity))
+    of = components(close.unionByName(rest))
     least = materialize(rows.groupBy("fp").agg(F.min("row").alias("least")), "distinct_sets")
     roots = least.join(of.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")

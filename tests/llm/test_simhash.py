@@ -148,3 +148,53 @@ def test_keep_one_with_clashing_columns(spark, similarity):
     df = spark.createDataFrame(docs, "doc_id long, text string, _copies long, _id string, _hash string, component_id string")
     out = simhash.keep_one(df, similarity=similarity)
     assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [docs[0], docs[2]]
+
+
+def near_copies(seed, copies, rates, words=150):
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    return [(i, " ".join(f"n{i}x{j}" if r.random() < rates[i % len(rates)] else w for j, w in enumerate(base))) for i in range(copies)]
+
+
+def recorded(monkeypatch):
+    """Row counts of the tables that the operator stores."""
+    seen, stored = {}, simhash.materialize
+
+    def counting(df, name, *rest):
+        out = stored(df, name, *rest)
+        seen.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counting)
+    return seen
+
+
+def test_pairs_of_a_large_group_of_near_copies_do_not_grow_with_its_square(spark, monkeypatch):
+    seen = recorded(monkeypatch)
+    words = [f"w{i}" for i in range(150)]
+    docs = [(i, " ".join([*words[: i % 150], f"n{i}", *words[i % 150 + 1 :]])) for i in range(600)]
+    assert [x["doc_id"] for x in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string"), 5, 0.8).collect()] == [0]
+    assert sum(seen["similar_candidates"]) < 2400
+
+
+@pytest.mark.parametrize("posting_rows", [1, 4, 48])
+def test_crowded_postings_lose_no_link(spark, monkeypatch, posting_rows):
+    monkeypatch.setattr(simhash, "POSTING_ROWS", posting_rows)
+    docs = near_copies(posting_rows, 90, [0.004, 0.01, 0.02, 0.03])
+    sets = {d: plain_set(t, 5) for d, t in docs}
+    component = plain_components(sorted(sets), {d: d for d in sets}, lambda a, b: plain_jaccard(sets[a], sets[b]) >= 0.8)
+    assert 1 < len(set(component.values())) < 90
+    got = simhash.similar_documents(spark.createDataFrame(docs, "doc_id long, text string"), 5, 0.8).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == component
+
+
+def test_similarity_starts_from_verified_links_of_fingerprints(spark, monkeypatch):
+    seen = recorded(monkeypatch)
+    words = [f"w{i}" for i in range(3000)]
+    docs = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, " ".join(f"far{i}" for i in range(100)))]
+    bits = [simhash.majority(simhash.shingle_set(t, 5)) for _, t in docs]
+    assert (bits[0] ^ bits[1]).bit_count() <= 2
+    kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string"), 5, 0.8).collect()
+    assert sorted(x["doc_id"] for x in kept) == [1, 3]
+    # the pair comes from the fingerprints and is verified; nothing is left for the join
+    assert seen["similar_candidates"] == [1, 0] and seen["similar_links"] == [1, 0]
