@@ -189,8 +189,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     learned = materialize(learnable(labels, "toxic").where(bucket_of(F.col("doc_id"), 4) != HELD_OUT), "toxic_labels")
     counting = learned.where(bucket_of(F.col("doc_id"), 4) != CALIBRATION)
     once = materialize(rows.select("doc_id", "text_hash").join(counting, "doc_id").groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")), "toxic_texts")
-    # most unlabelled texts are ruled out before the join, so that they are not shuffled
-    labelled = Filter(once, ["doc_id", "text_hash"]).mark(rows, ["doc_id", "text_hash"], "labelled").where("labelled").join(once, ["doc_id", "text_hash"])
+    # most unlabelled texts are ruled out before the join, so that they are not shuffled; the same join at every size
+    labelled = Filter(once, ["doc_id", "text_hash"]).mark(rows, ["doc_id", "text_hash"], "labelled").where("labelled").join(once.hint("merge"), ["doc_id", "text_hash"])
     counts = materialize(word_counts(labelled.select("text", "label")), "words")
     ratios = materialize(log_ratios(counts), "word_ratios")
     is_frequent = F.col("times") * FREQUENT_WORDS > (ratios.agg(F.sum("times")).first()[0] or 0)

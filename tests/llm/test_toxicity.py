@@ -116,3 +116,14 @@ def test_frequent_words_are_weighed_like_others(spark, monkeypatch):
         found.append({r["doc_id"]: r["evidence"] for r in t.score_toxicity(d, lab).collect()})
     assert any(found[0].values()) and len(found[0]) == len(docs)
     assert all(other[i] == pytest.approx(v) for other in found[1:] for i, v in found[0].items())
+
+
+def test_labelled_texts_meet_by_the_same_join_at_every_size(spark, monkeypatch, capsys):
+    plans, count = [], t.word_counts
+    monkeypatch.setattr(t, "word_counts", lambda texts: plans.append(texts) or count(texts))
+    docs = spark.createDataFrame([(i, f"word{i % 7} text of row {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert t.score_toxicity(docs, labels).count() == 40
+    plans[0].explain()
+    joins = [line for line in capsys.readouterr().out.splitlines() if "Join [doc_id" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
