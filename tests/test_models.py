@@ -397,3 +397,35 @@ def test_trees_do_not_grow_with_the_rows(spark, monkeypatch):
         tree = models.fit(models.TREE, rows, ["x"]).model
         forest = models.fit(models.FOREST, rows, ["x"], {"n_estimators": 3}).model
         assert (tree.numNodes + 1) / 2 <= 60 and sum((t.numNodes + 1) / 2 for t in forest.trees) <= 60 * 1.7
+
+
+def test_blocks_of_trees_are_whole_and_bounded():
+    assert models.tree_blocks(1697, 100, 1) == [100]
+    assert models.tree_blocks(16959, 100, models.smallest_leaf(16959, 100)) == [20] * 5
+    assert models.tree_blocks(10**9, 7, models.smallest_leaf(10**9, 7)) == [1] * 7
+    for rows, trees in ((1, 1), (40_000, 200), (10**6, 100), (10**10, 13)):
+        leaf = models.smallest_leaf(rows, trees)
+        sizes = models.tree_blocks(rows, trees, leaf)
+        assert sum(sizes) == trees and (max(sizes) == 1 or max(sizes) * rows <= models.BLOCK_LEAVES * leaf)
+
+
+def test_a_forest_grown_in_blocks_is_one_forest(spark, train, monkeypatch, tmp_path):
+    params = {"n_estimators": 7, "max_depth": 4, "min_samples_leaf": 2}
+    whole = models.fit(models.FOREST, train, NAMES, params).model
+    alone = models.estimator(models.FOREST, params, 240, 1.0).setCacheNodeIds(False).fit(models.assemble(train, NAMES))
+    assert [t.toDebugString.split("\n", 1)[1] for t in whole.trees] == [t.toDebugString.split("\n", 1)[1] for t in alone.trees]
+
+    monkeypatch.setattr(models, "BLOCK_LEAVES", 360)  # 120 leaves a tree
+    fitted = models.fit(models.FOREST, train, NAMES, params)
+    assert [b.getNumTrees for b in fitted.model.blocks] == [3, 2, 2]
+    texts = {t.toDebugString.split("\n", 1)[1] for t in fitted.model.trees}
+    assert len(texts) == 7  # no block repeats the samples of another
+    each = np.array([t.featureImportances.toArray() for t in fitted.model.trees])
+    assert coefficients(fitted) == pytest.approx(each.mean(0)) and coefficients(fitted).sum() == pytest.approx(1)
+    rows = models.assemble(train, NAMES)
+    votes = [[r[0] for r in t.transform(rows).orderBy("id", "date").select("prediction").collect()] for t in fitted.model.trees]
+    fitted.save(str(tmp_path), spark)
+    for model in (fitted, models.load(str(tmp_path), spark)):
+        got = [r[0] for r in model.predict(train).orderBy("id", "date").select("prediction").collect()]
+        assert got == pytest.approx(np.mean(votes, axis=0))
+    assert set(fitted.predict(train).columns) == {*train.columns, "prediction"}
