@@ -409,10 +409,29 @@ def test_blocks_of_trees_are_whole_and_bounded():
         assert sum(sizes) == trees and (max(sizes) == 1 or max(sizes) * rows <= models.BLOCK_LEAVES * leaf)
 
 
+def test_few_rows_in_many_partitions_make_no_more_work_for_nodes(train, monkeypatch):
+    assert models.tree_partitions(16959, 30, 2) == 1 and models.tree_partitions(1, 30, 1) == 1
+    assert models.tree_partitions(10**6, 30, 100) == 4 and models.tree_partitions(10**9, 30, 10**5) == 3125
+    assert models.tree_partitions(10**8, 30, 100) == 200 and models.tree_partitions(10**6, 5, 1) == 977
+    seen = []
+
+    class Chosen:
+        def __getattr__(self, name):
+            return lambda: 1
+
+        def fit(self, matrix):
+            seen.append(matrix.rdd.getNumPartitions())
+
+    monkeypatch.setattr(models, "estimator", lambda *a: Chosen())
+    for model in (models.TREE, models.FOREST):
+        models.fit(model, train.repartition(40), NAMES)
+    assert seen == [4, 4]  # 240 rows, two leaves
+
+
 def test_a_forest_grown_in_blocks_is_one_forest(spark, train, monkeypatch, tmp_path):
     params = {"n_estimators": 7, "max_depth": 4, "min_samples_leaf": 2}
     whole = models.fit(models.FOREST, train, NAMES, params).model
-    alone = models.estimator(models.FOREST, params, 240, 1.0).setCacheNodeIds(False).fit(models.assemble(train, NAMES))
+    alone = models.estimator(models.FOREST, params, 240, 1.0).setCacheNodeIds(False).fit(models.assemble(train, NAMES).coalesce(1))
     assert [t.toDebugString.split("\n", 1)[1] for t in whole.trees] == [t.toDebugString.split("\n", 1)[1] for t in alone.trees]
 
     monkeypatch.setattr(models, "BLOCK_LEAVES", 360)  # 120 leaves a tree
