@@ -399,6 +399,16 @@ def test_trees_do_not_grow_with_the_rows(spark, monkeypatch):
         assert (tree.numNodes + 1) / 2 <= 60 and sum((t.numNodes + 1) / 2 for t in forest.trees) <= 60 * 1.7
 
 
+def test_leaves_hold_one_row_however_many_the_rows(spark):
+    for rows in (10, 16_959, 10**9):
+        for model in (models.TREE, models.FOREST, models.BOOSTED):
+            assert models.estimator(model, {}, rows, 1.0).getMinInstancesPerNode() == 1
+            assert models.estimator(model, {"min_samples_leaf": 3}, rows, 1.0).getMinInstancesPerNode() == 3
+    rows = spark.range(10_001).select((F.col("id") == 7).cast("double").alias("x"), F.when(F.col("id") == 7, 100.0).otherwise(0.0).alias("label"))
+    fitted = models.fit(models.FOREST, rows, ["x"], {"n_estimators": 100, "max_depth": 1, "bootstrap": False})
+    assert [r["prediction"] for r in fitted.predict(rows).orderBy("x").collect()] == [0.0] * 10_000 + [100.0]
+
+
 def test_blocks_of_trees_are_whole_and_bounded():
     assert models.tree_blocks(1697, 100, 1) == [100]
     assert models.tree_blocks(16959, 100, models.smallest_leaf(16959, 100)) == [20] * 5
