@@ -438,6 +438,15 @@ def test_few_rows_in_many_partitions_make_no_more_work_for_nodes(train, monkeypa
     assert seen == [4, 4]  # 240 rows, two leaves
 
 
+def test_importances_of_a_forest_that_keeps_no_trees(train, monkeypatch):
+    params = {"n_estimators": 7, "max_depth": 4, "min_samples_leaf": 2}
+    for leaves in (10**6, 360):
+        monkeypatch.setattr(models, "BLOCK_LEAVES", leaves)
+        kept, dropped = (models.fit(models.FOREST, train, NAMES, params, importances_only=o) for o in (False, True))
+        assert dropped.importances() == kept.importances() and len(kept.importances()) == len(NAMES)
+    assert not hasattr(dropped.model, "blocks")
+
+
 def test_a_forest_grown_in_blocks_is_one_forest(spark, train, monkeypatch, tmp_path):
     params = {"n_estimators": 7, "max_depth": 4, "min_samples_leaf": 2}
     whole = models.fit(models.FOREST, train, NAMES, params).model
